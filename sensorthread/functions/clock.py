@@ -22,8 +22,7 @@ def micros(ts: Column | str) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
     return (
         F.unix_date(ts.cast("date")).cast("long") * DAY
-        + F.hour(ts) * F.lit(60 * MINUTE)
-        + F.minute(ts) * F.lit(MINUTE)
+        + (F.hour(ts) * 60 + F.minute(ts)).cast("long") * MINUTE
         + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
     )
 

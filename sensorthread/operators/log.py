@@ -25,28 +25,28 @@ class EventLog(dict[str, DataFrame]):
         return f"{kind}_{suffix}"
 
     def event_times(self, types: list[str] | None = None) -> DataFrame:
-        """`ocel_id` and `ocel_time` of the events of the given types (all types by default)."""
+        """`ocel_id`, `ocel_type` and `ocel_time` of the events of the given types (all types by default). The
+        table of a type holds the events of that type, so the `event` table is not needed."""
         names = self.type_map("event")
         wanted = sorted(names) if types is None else [t for t in sorted(set(types)) if t in names]
         if not wanted:
             raise ValueError(f"no event tables for types {types}")
-        tables = sorted({f"event_{names[t]}" for t in wanted})
+        if len({names[t] for t in wanted}) < len(wanted):
+            raise ValueError("two event types share a table")
         return reduce(
             DataFrame.unionByName,
-            [self[t].select("ocel_id", naive("ocel_time").alias("ocel_time")) for t in tables],
+            [
+                self[f"event_{names[t]}"].select(
+                    "ocel_id", F.lit(t).alias("ocel_type"), naive("ocel_time").alias("ocel_time")
+                )
+                for t in wanted
+            ],
         )
 
     def related_events(self, types: list[str] | None = None) -> DataFrame:
         """One row per event-object relation: `ocel_event_id`, `ocel_type`, `place` (the object), `event_time`."""
-        events = self["event"].select(F.col("ocel_id").alias("ocel_event_id"), "ocel_type")
-        if types is not None:
-            events = events.where(F.col("ocel_type").isin(sorted(set(types))))
         times = self.event_times(types).select(
-            F.col("ocel_id").alias("ocel_event_id"), F.col("ocel_time").alias("event_time")
+            F.col("ocel_id").alias("ocel_event_id"), "ocel_type", F.col("ocel_time").alias("event_time")
         )
         relations = self["event_object"].select("ocel_event_id", F.col("ocel_object_id").alias("place"))
-        return (
-            relations.join(events, "ocel_event_id")
-            .join(times, "ocel_event_id")
-            .select("ocel_event_id", "ocel_type", "place", "event_time")
-        )
+        return relations.join(times, "ocel_event_id")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorthread.functions.clock import MINUTE
+from sensorthread.session import written
 
 
 @dataclass(frozen=True)
@@ -59,46 +60,36 @@ def lookback_states(
         return probes.select("key", "us").distinct().join(seen, ["key", "us"])
 
     slot = max(isqrt(span - 1) + 1, 1)
-    none = [F.lit(None).alias(n) for n in measures]
     yes, no = F.lit(True), F.lit(False)
-    moments = (
-        states.select("key", "us", *measures, yes.alias("_read"), no.alias("_ends"), no.alias("_starts"))
-        .unionByName(
-            probes.select("key", "us", *none, no.alias("_read"), yes.alias("_ends"), no.alias("_starts"))
-        )
-        .unionByName(
-            probes.select(
-                "key",
-                (F.col("us") - span).alias("us"),
-                *none,
-                no.alias("_read"),
-                no.alias("_ends"),
-                yes.alias("_starts"),
-            )
-        )
+    ends = F.struct(F.col("us"), yes.alias("_ends"), no.alias("_starts"))
+    starts = F.struct((F.col("us") - span).alias("us"), no.alias("_ends"), yes.alias("_starts"))
+    edges = probes.select("key", F.inline(F.array(ends, starts))).withColumn("_read", no)
+    # Both levels below start from these rows, so they are computed once and kept.
+    moments = written(
+        states.withColumns({"_read": yes, "_ends": no, "_starts": no})
+        .unionByName(edges, allowMissingColumns=True)
         .groupBy("key", "us")
-        .agg(
-            *merged,
-            F.max("_read").alias("_read"),
-            F.max("_ends").alias("_ends"),
-            F.max("_starts").alias("_starts"),
-        )
+        .agg(*merged, *[F.max(flag).alias(flag) for flag in ("_read", "_ends", "_starts")])
         .withColumn("_span", F.expr(f"(us - pmod(us, {span})) div {span}"))
-        .withColumn("_slot", F.expr(f"(us - _span * {span}) div {slot}"))
+        .withColumn("_slot", F.expr(f"(us - _span * {span}) div {slot}")),
+        "moments",
     )
 
     place = ["key", "_span", "_slot"]
-    slots = moments.groupBy(*place).agg(*merged, F.max("_read").alias("_read"))
+    slots = moments.groupBy(*place).agg(
+        *merged, F.max("_read").alias("_read"), F.max(F.col("_ends") | F.col("_starts")).alias("_edge")
+    )
     in_span = Window.partitionBy("key", "_span")
     earlier = in_span.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     later = in_span.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
     around = slots.select(
         *place,
+        "_edge",
         F.coalesce(F.max("_read").over(earlier), no).alias("_read_earlier"),
         F.coalesce(F.max("_read").over(later), no).alias("_read_later"),
         *[m.merge(n).over(earlier).alias(f"{n}_earlier") for n, m in measures.items()],
         *[m.merge(n).over(later).alias(f"{n}_later") for n, m in measures.items()],
-    )
+    ).where("_edge")
 
     in_slot = Window.partitionBy(*place)
     upto = in_slot.orderBy("us").rowsBetween(Window.unboundedPreceding, 0)

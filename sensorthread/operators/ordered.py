@@ -21,11 +21,17 @@ def packed(keys: list[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys])
 
 
-def split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of hot groups (None if there are none)."""
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
+    """Keys (as `_key`) with more than `hot_rows` rows, or None if there are none. Counting combines on the map
+    side, so a hot key costs no more to find than any other."""
     sizes = df.groupBy(packed(keys).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = freeze(sizes.where(F.col("_rows") > hot_rows).select("_key"))
-    if hot.isEmpty():
+    hot = sizes.where(F.col("_rows") > hot_rows).select("_key")
+    return None if hot.isEmpty() else freeze(hot)
+
+
+def split_hot(df: DataFrame, keys: list[str], hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary groups, and rows of hot groups (None if there are none)."""
+    if hot is None:
         return df, None
     keyed = df.withColumn("_key", packed(keys))
     return (
@@ -42,11 +48,11 @@ def ordered_chunks(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def with_successor(
-    df: DataFrame, group: list[str], order: list[str], carry: list[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, group: list[str], order: list[str], carry: list[str], hot: DataFrame | None
 ) -> DataFrame:
     """Add `next_<c>` for each carried column: its value in the next row of the group, null in the last.
-    `group` and `order` together must identify a row."""
-    calm, busy = split_hot(df, group, hot_rows)
+    `group` and `order` together must identify a row; `hot` holds the hot groups, from `hot_keys`."""
+    calm, busy = split_hot(df, group, hot)
     in_order = Window.partitionBy(*group).orderBy(*order)
     result = calm.select("*", *[F.lead(c).over(in_order).alias(f"next_{c}") for c in carry])
     if busy is None:
@@ -83,7 +89,7 @@ def group_median(
     df: DataFrame, keys: list[str], value: str, out: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Exact median (interpolated) per group; null where a group has no value."""
-    calm, busy = split_hot(df, keys, hot_rows)
+    calm, busy = split_hot(df, keys, hot_keys(df, keys, hot_rows))
     result = calm.groupBy(*keys).agg(F.median(value).alias(out))
     if busy is None:
         return result

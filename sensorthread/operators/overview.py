@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorthread.operators.log import EventLog
-from sensorthread.operators.ordered import HOT_ROWS, with_successor
+from sensorthread.operators.ordered import HOT_ROWS, hot_keys, with_successor
 
 
 def overview(log: EventLog) -> DataFrame:
@@ -63,11 +63,9 @@ def activities_per_object_type(log: EventLog) -> DataFrame:
 
 def events_over_time(log: EventLog, unit: str = "day") -> DataFrame:
     """Events per activity and period."""
-    types = log["event"].select("ocel_id", F.col("ocel_type").alias("activity"))
     return (
         log.event_times()
-        .join(types, "ocel_id")
-        .groupBy("activity", F.date_trunc(unit, "ocel_time").cast("timestamp_ntz").alias("period"))
+        .groupBy(F.col("ocel_type").alias("activity"), F.date_trunc(unit, "ocel_time").cast("timestamp_ntz").alias("period"))
         .agg(F.count(F.lit(1)).alias("events"))
     )
 
@@ -92,9 +90,10 @@ def _steps(log: EventLog) -> DataFrame:
 def directly_follows(log: EventLog, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per object type, how often activity b comes right after activity a in the life of an object: occurrences,
     objects, and pairs of events. Events of an object are ordered by time, then by id."""
-    steps = with_successor(
-        _steps(log), ["object"], ["time", "event"], ["event", "activity"], hot_rows
-    ).where(F.col("next_event").isNotNull())
+    # An object has no more steps than relations, so hot objects show without the joins.
+    relations = log["event_object"].select(F.col("ocel_object_id").alias("object"))
+    hot = hot_keys(relations, ["object"], hot_rows)
+    steps = with_successor(_steps(log), ["object"], ["time", "event"], ["event", "activity"], hot).where(F.col("next_event").isNotNull())
     return steps.groupBy("object_type", "activity", F.col("next_activity")).agg(
         F.count(F.lit(1)).alias("occurrences"),
         F.count_distinct("object").alias("objects"),

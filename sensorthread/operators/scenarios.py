@@ -18,6 +18,7 @@ from sensorthread.operators.log import EventLog
 from sensorthread.operators.lookback import Measure, lookback_states
 from sensorthread.operators.maps import device_places
 from sensorthread.operators.ordered import HOT_ROWS, group_median, packed
+from sensorthread.session import written
 
 CLOSEST_LOOKBACK = 60  # Fixed value: minutes a reading may be older than the event it is picked for.
 
@@ -81,10 +82,11 @@ def object_payload_by_window(readings: DataFrame, func: str, width: int, hot_row
 # Scenario A
 
 
-def _held_places(readings: DataFrame, events: DataFrame) -> DataFrame:
-    """(device_id, place) for the places that have events."""
+def _held_places(readings: DataFrame, log: EventLog) -> DataFrame:
+    """(device_id, place) for the places that take part in events."""
     places = device_places(readings).select("device_id", F.col("location").alias("place"))
-    return places.join(events.select("place"), "place", "left_semi")
+    eventful = log["event_object"].select(F.col("ocel_object_id").alias("place"))
+    return places.join(eventful, "place", "left_semi")
 
 
 def readings_at_events(
@@ -100,7 +102,7 @@ def readings_at_events(
     meetings = (
         timed.select("device_id", F.col("result_time").alias("event_time"))
         .distinct()
-        .join(_held_places(readings, events), "device_id")
+        .join(_held_places(readings, log), "device_id")
         .join(events, ["place", "event_time"])
         .select("device_id", F.col("event_time").alias("result_time"), "ocel_event_id")
     )
@@ -194,9 +196,8 @@ def matches_before_events(
     if mapped:
         events = _related(log, event_type)
         per_device = timed.groupBy("device_id", "us").agg(F.count(F.lit(1)).alias("n"))
-        keyed = per_device.join(_held_places(readings, events), "device_id").select(
-            F.struct("place").alias("key"), "place", "us", "n"
-        )
+        at_places = per_device.join(_held_places(readings, log), "device_id")
+        keyed = at_places.groupBy(F.struct("place").alias("key"), "place", "us").agg(F.sum("n").alias("n"))
         by = ["place"]
     else:
         events = _target_events(log, event_type)
@@ -204,6 +205,7 @@ def matches_before_events(
             F.struct(F.lit(0)).alias("key"), "us", "n"
         )
         by = []
+    keyed = written(keyed, "readings")
     probes = _probes(keyed, events.select(*by, "us").distinct(), by, lookback)
     measures = {
         "n": Measure(F.col("n"), F.sum),
@@ -243,7 +245,7 @@ def closest_before_events(
     if mapped:
         events = _related(log, event_type)
         by = ["place"]
-        keyed = timed.join(_held_places(readings, events), "device_id").withColumn(
+        keyed = timed.join(_held_places(readings, log), "device_id").withColumn(
             "key", F.struct("place", "property")
         )
     else:
@@ -251,18 +253,16 @@ def closest_before_events(
         by = []
         keyed = timed.withColumn("key", F.struct("property"))
 
-    # The windows carry only the newest time; which reading that is comes from a join on key and time.
-    probes = _probes(keyed, events.select(*by, "us").distinct(), by, lookback)
-    newest = lookback_states(keyed, probes, lookback, {"last": Measure(F.col("us"), F.max)})
     ordered = [
         part
         for c in ("device_id", "property_value", "location", "device_type")
         for part in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))
     ]
-    wanted = newest.select("key", "last").distinct()
-    at_time = keyed.withColumnRenamed("us", "last").join(wanted, ["key", "last"], "left_semi")
-    best = at_time.groupBy("key", "last").agg(F.min(F.struct(*ordered)).alias("best"))
-    picks = newest.join(best, ["key", "last"])
+    best = written(keyed.groupBy(*by, "key", "us").agg(F.min(F.struct(*ordered)).alias("best")), "readings")
+    # The windows carry only the newest time; which reading that is comes from a join on key and time.
+    probes = _probes(best, events.select(*by, "us").distinct(), by, lookback)
+    newest = lookback_states(best, probes, lookback, {"last": Measure(F.col("us"), F.max)})
+    picks = newest.join(best.select("key", F.col("us").alias("last"), "best"), ["key", "last"])
     if mapped:
         picks = picks.withColumn("place", F.col("key.place"))
     # An event with several objects has one pick per object; the least (age, reading) is the event's.
@@ -304,11 +304,12 @@ def aggregate_before_events(
     if mapped:
         events = _related(log, event_type)
         times = events.select("place", "us").distinct()
-        met = (
+        met = written(
             _active_spans(keyed, ["device_id"], lookback)
-            .join(_held_places(readings, events), "device_id")
+            .join(_held_places(readings, log), "device_id")
             .join(_with_span(times, lookback), ["place", "span"])
-            .select("device_id", "place", "us")
+            .select("device_id", "place", "us"),
+            "met",
         )
         by = ["device_id"]
         probes = _probes(keyed, met.select("device_id", "us").distinct(), by, lookback)
