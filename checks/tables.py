@@ -28,14 +28,17 @@ def _hour(ts: str) -> Column:
     return F.date_trunc("hour", ts).cast("timestamp_ntz")
 
 
+def named(prefix: str, *parts: str | Column) -> Column:
+    """An id such as `cust-12`. Unlike `concat`, `concat_ws` is never null, so no plan tests the ids for null."""
+    return F.concat_ws("-", F.lit(prefix), *[F.col(p) if isinstance(p, str) else p for p in parts])
+
+
 def iot_wide(spark: SparkSession, sf_dir: str, hourly: bool = True) -> DataFrame:
     """One row per reading time, one column per property."""
     events = table(spark, sf_dir, "events").where(F.col("event_type").isin(SENSORS))
-    place = F.concat(F.lit("cust-"), F.col("user_id").cast("string"))
+    place = named("cust", "user_id")
     return events.select(
-        F.concat(
-            F.lit("dev-"), (F.col("event_id") % 3).cast("string"), F.lit("-"), F.col("user_id").cast("string")
-        ).alias("device_id"),
+        named("dev", F.col("event_id") % 3, "user_id").alias("device_id"),
         F.col("event_type").alias("device_type"),
         F.when(F.col("event_type") != "error", place).alias("location"),
         (_hour("ts") if hourly else F.col("ts")).alias("result_time"),
@@ -59,8 +62,8 @@ def _type_table(spark: SparkSession, types: dict[str, str]) -> DataFrame:
 def field_log(spark: SparkSession, sf_dir: str, hourly: bool = True, object_tables: bool = False) -> EventLog:
     customers = table(spark, sf_dir, "customer")
     events = table(spark, sf_dir, "events").where(F.col("event_type").isin(FIELD_EVENTS))
-    customer_id = F.concat(F.lit("cust-"), F.col("c_custkey").cast("string"))
-    event_id = F.concat(F.lit("ev-"), F.col("event_id").cast("string"))
+    customer_id = named("cust", "c_custkey")
+    event_id = named("ev", "event_id")
     log = EventLog(
         {
             "object": customers.select(customer_id.alias("ocel_id"), F.col("c_mktsegment").alias("ocel_type")),
@@ -69,7 +72,7 @@ def field_log(spark: SparkSession, sf_dir: str, hourly: bool = True, object_tabl
             "event_map_type": _type_table(spark, {t: t for t in FIELD_EVENTS}),
             "event_object": events.select(
                 event_id.alias("ocel_event_id"),
-                F.concat(F.lit("cust-"), F.col("user_id").cast("string")).alias("ocel_object_id"),
+                named("cust", "user_id").alias("ocel_object_id"),
                 F.lit("by").alias("ocel_qualifier"),
             ),
         }
@@ -89,36 +92,37 @@ def field_log(spark: SparkSession, sf_dir: str, hourly: bool = True, object_tabl
 
 
 def trade_log(spark: SparkSession, sf_dir: str) -> EventLog:
-    def named(prefix: str, column: str) -> Column:
-        return F.concat(F.lit(f"{prefix}-"), F.col(column).cast("string"))
-
     def objects(name: str, column: str, kind: str) -> DataFrame:
         return table(spark, sf_dir, name).select(
             named(kind, column).alias("ocel_id"), F.lit(kind).alias("ocel_type")
         )
 
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    placed = orders.select(
+    placed = table(spark, sf_dir, "orders").select(
         named("place", "o_orderkey").alias("ocel_id"),
         F.lit("place order").alias("ocel_type"),
         F.col("o_orderdate").alias("ocel_time"),
-        F.array(named("order", "o_orderkey"), named("customer", "o_custkey")).alias("objects"),
+        named("order", "o_orderkey").alias("order"),
+        named("customer", "o_custkey").alias("customer"),
     )
-    lines = table(spark, sf_dir, "lineitem")
-    shipped = lines.select(
-        F.concat_ws(
-            "-",
-            F.lit("ship"),
-            *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
-            F.date_format("l_shipdate", "yyyyMMdd"),
+    shipped = table(spark, sf_dir, "lineitem").select(
+        named(
+            "ship", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_date(F.col("l_shipdate").cast("date"))
         ).alias("ocel_id"),
         F.when(F.col("l_returnflag") == "R", "ship returned item").otherwise("ship item").alias("ocel_type"),
         F.col("l_shipdate").alias("ocel_time"),
-        F.array(named("order", "l_orderkey"), named("part", "l_partkey"), named("supplier", "l_suppkey")).alias(
-            "objects"
-        ),
+        named("order", "l_orderkey").alias("order"),
+        named("part", "l_partkey").alias("part"),
+        named("supplier", "l_suppkey").alias("supplier"),
     )
-    events = placed.unionByName(shipped)
+
+    def relations(events: DataFrame, kind: str) -> DataFrame:
+        return events.select(
+            F.col("ocel_id").alias("ocel_event_id"),
+            F.col(kind).alias("ocel_object_id"),
+            F.lit("").alias("ocel_qualifier"),
+        )
+
+    events = placed.select("ocel_id", "ocel_type").unionByName(shipped.select("ocel_id", "ocel_type"))
     log = EventLog(
         {
             "object": objects("customer", "c_custkey", "customer")
@@ -126,13 +130,13 @@ def trade_log(spark: SparkSession, sf_dir: str) -> EventLog:
             .unionByName(objects("part", "p_partkey", "part"))
             .unionByName(objects("supplier", "s_suppkey", "supplier")),
             "object_map_type": _type_table(spark, TRADE_OBJECTS),
-            "event": events.select("ocel_id", "ocel_type"),
+            "event": events,
             "event_map_type": _type_table(spark, TRADE_EVENTS),
-            "event_object": events.select(
-                F.col("ocel_id").alias("ocel_event_id"),
-                F.explode("objects").alias("ocel_object_id"),
-                F.lit("").alias("ocel_qualifier"),
-            ),
+            "event_object": relations(placed, "order")
+            .unionByName(relations(placed, "customer"))
+            .unionByName(relations(shipped, "order"))
+            .unionByName(relations(shipped, "part"))
+            .unionByName(relations(shipped, "supplier")),
         }
     )
     for kind, suffix in TRADE_EVENTS.items():
@@ -201,7 +205,7 @@ placed AS (
   SELECT 'place-' || o_orderkey AS ocel_id, 'place order' AS ocel_type, CAST(o_orderdate AS TIMESTAMP) AS ocel_time,
          ['order-' || o_orderkey, 'customer-' || o_custkey] AS objects FROM orders),
 shipped AS (
-  SELECT concat_ws('-', 'ship', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS ocel_id,
+  SELECT concat_ws('-', 'ship', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS ocel_id,
          CASE WHEN l_returnflag = 'R' THEN 'ship returned item' ELSE 'ship item' END AS ocel_type,
          CAST(l_shipdate AS TIMESTAMP) AS ocel_time,
          ['order-' || l_orderkey, 'part-' || l_partkey, 'supplier-' || l_suppkey] AS objects FROM lineitem),

@@ -71,11 +71,11 @@ def events_over_time(log: EventLog, unit: str = "day") -> DataFrame:
 
 
 def _steps(log: EventLog) -> DataFrame:
-    """Each event of each object once: object_type, object, time, event, activity."""
+    """One row per relation: object_type, object, time, event, activity. A relation that stands twice in the log
+    (under two qualifiers) gives equal rows."""
     objects = log["object"].select(F.col("ocel_id").alias("place"), F.col("ocel_type").alias("object_type"))
     return (
         log.related_events()
-        .distinct()
         .join(objects, "place")
         .select(
             "object_type",
@@ -93,7 +93,10 @@ def directly_follows(log: EventLog, hot_rows: int = HOT_ROWS) -> DataFrame:
     # An object has no more steps than relations, so hot objects show without the joins.
     relations = log["event_object"].select(F.col("ocel_object_id").alias("object"))
     hot = hot_keys(relations, ["object"], hot_rows)
-    steps = with_successor(_steps(log), ["object"], ["time", "event"], ["event", "activity"], hot).where(F.col("next_event").isNotNull())
+    steps = with_successor(_steps(log), ["object"], ["time", "event"], ["event", "activity"], hot).where(
+        # Equal rows are neighbours; a step from an event to itself is none.
+        F.col("next_event") != F.col("event")
+    )
     return steps.groupBy("object_type", "activity", F.col("next_activity")).agg(
         F.count(F.lit(1)).alias("occurrences"),
         F.count_distinct("object").alias("objects"),
