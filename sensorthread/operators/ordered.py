@@ -67,7 +67,7 @@ def with_successor(
     )
     # Heads of the chunks: the least row of each, handed to the chunk before it.
     heads = chunks.groupBy(*group, "_chunk").agg(
-        F.min(F.struct(*[F.col(c) for c in [*order, *carry]])).alias("_head")
+        F.min(F.struct(*[F.col(c) for c in dict.fromkeys([*order, *carry])])).alias("_head")
     )
     handed = heads.select(
         packed(group).alias("_key"),

@@ -61,7 +61,7 @@ def payload_properties(payload: DataFrame) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
-def pivot_first(payload: DataFrame, keys: list[str], properties: list[str] | None) -> DataFrame:
+def pivot_first(payload: DataFrame, keys: list[str], properties: list[str] | None = None) -> DataFrame:
     """One row per key that has any property, one column per property."""
     if properties is None:
         properties = payload_properties(payload)
