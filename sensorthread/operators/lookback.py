@@ -4,11 +4,14 @@ Two time-ordered tables meet on `at - lookback <= reading time <= at`, both ends
 would emit every reading once per moment that sees it, so the work is done on mergeable partial states instead
 (counts, sums, extremes, latest time).
 
-Time is cut into spans as long as the lookback, and each span into about sqrt(span) slots. A window then is made
-of four pieces: the rest of the slot where it begins, the later slots of that span, the earlier slots of the span
-where it ends, and the part of the last slot up to the moment. All four are running aggregates. Rows are first
-reduced to one per key and time, so a slot holds at most one row per microsecond of it and a span one row per
-slot: at a lookback of one hour no window group can pass 60,000 rows, however the data is skewed.
+Time is cut into spans as long as the lookback. A window then is the end of one span and the beginning of the next,
+and both are running aggregates: over the rows of the span up to a time, and from a time on. Rows are first reduced
+to one per key and time, on the map side.
+
+A span that still has too many rows for one task is cut again, into about sqrt(span) slots. Its part of a window is
+then the rest of the slot where it begins and all later slots, or all earlier slots and the part of the slot where it
+ends. A slot holds at most one row per microsecond and a span one row per slot: at a lookback of one hour neither can
+pass 60,000 rows, however the data is skewed.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorthread.functions.clock import MINUTE
+from sensorthread.operators.ordered import HOT_ROWS, hot_keys, split_hot
 from sensorthread.session import written
 
 
@@ -33,6 +37,10 @@ class Measure:
     merge: Callable[[Column | str], Column]
 
 
+# Whether a window holds a reading at all is a state like the others.
+_READ = "_read"
+
+
 def _merge_columns(merge: Callable, columns: list[Column]) -> Column:
     if merge is F.max:
         return F.greatest(*columns)
@@ -43,7 +51,11 @@ def _merge_columns(merge: Callable, columns: list[Column]) -> Column:
 
 
 def lookback_states(
-    readings: DataFrame, probes: DataFrame, lookback: int, measures: dict[str, Measure]
+    readings: DataFrame,
+    probes: DataFrame,
+    lookback: int,
+    measures: dict[str, Measure],
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Merged states per probe.
 
@@ -53,83 +65,94 @@ def lookback_states(
     span = int(lookback) * MINUTE
     if span < 0:
         raise ValueError("a lookback cannot be negative")
-    merged = [m.merge(name).alias(name) for name, m in measures.items()]
+    merges = {name: m.merge for name, m in measures.items()}
     states = readings.select("key", "us", *[m.per_row.alias(n) for n, m in measures.items()])
     if span == 0:
-        seen = states.groupBy("key", "us").agg(*merged)
+        seen = states.groupBy("key", "us").agg(*_merged(merges))
         return probes.select("key", "us").distinct().join(seen, ["key", "us"])
 
-    slot = max(isqrt(span - 1) + 1, 1)
+    merges = {_READ: F.max, **merges}
     yes, no = F.lit(True), F.lit(False)
     ends = F.struct(F.col("us"), yes.alias("_ends"), no.alias("_starts"))
     starts = F.struct((F.col("us") - span).alias("us"), no.alias("_ends"), yes.alias("_starts"))
-    edges = probes.select("key", F.inline(F.array(ends, starts))).withColumn("_read", no)
-    # Both levels below start from these rows, so they are computed once and kept.
+    edges = probes.select("key", F.inline(F.array(ends, starts)))
+    # Read below by the check for hot spans and by both ways through, so it is computed once and kept.
     moments = written(
-        states.withColumns({"_read": yes, "_ends": no, "_starts": no})
+        states.withColumns({_READ: yes, "_ends": no, "_starts": no})
         .unionByName(edges, allowMissingColumns=True)
         .groupBy("key", "us")
-        .agg(*merged, *[F.max(flag).alias(flag) for flag in ("_read", "_ends", "_starts")])
-        .withColumn("_span", F.expr(f"(us - pmod(us, {span})) div {span}"))
-        .withColumn("_slot", F.expr(f"(us - _span * {span}) div {slot}")),
+        .agg(*_merged(merges), F.max("_ends").alias("_ends"), F.max("_starts").alias("_starts"))
+        .withColumn("_span", F.expr(f"(us - pmod(us, {span})) div {span}")),
         "moments",
     )
+    place = ["key", "_span"]
+    # The number of rows of a written table stands in its file footers.
+    hot = hot_keys(moments, place, hot_rows) if moments.count() > hot_rows else None
+    calm, busy = split_hot(moments, place, hot)
+    pieces = _running(calm, place, merges)
+    if busy is not None:
+        pieces = pieces.unionByName(_running_in_slots(busy, span, merges))
+
+    def side(flag: str, shift: int, suffix: str) -> Column:
+        values = [F.col(f"{n}_{suffix}").alias(n) for n in merges]
+        return F.when(F.col(flag), F.struct((F.col("us") + shift).alias("us"), *values))
+
+    # A time can end one window and begin another, so a row gives one or two pieces.
+    sides = F.array_compact(F.array(side("_ends", 0, "upto"), side("_starts", span, "onward")))
+    return (
+        pieces.select("key", F.inline(sides))
+        .where(_READ)
+        .groupBy("key", "us")
+        .agg(*_merged({n: m for n, m in merges.items() if n != _READ}))
+    )
+
+
+def _merged(merges: dict[str, Callable]) -> list[Column]:
+    return [merge(name).alias(name) for name, merge in merges.items()]
+
+
+def _running(moments: DataFrame, place: list[str], merges: dict[str, Callable]) -> DataFrame:
+    """The rows where a window begins or ends, with the states of their place up to their time and from it on."""
+    group = Window.partitionBy(*place)
+    upto = group.orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
+    onward = group.orderBy(F.desc("us")).rowsBetween(Window.unboundedPreceding, 0)
+    return moments.select(
+        *place,
+        "us",
+        "_ends",
+        "_starts",
+        *[merge(n).over(upto).alias(f"{n}_upto") for n, merge in merges.items()],
+        *[merge(n).over(onward).alias(f"{n}_onward") for n, merge in merges.items()],
+    ).where("_ends OR _starts")
+
 
+def _running_in_slots(moments: DataFrame, span: int, merges: dict[str, Callable]) -> DataFrame:
+    """The same for spans too large for one task, by way of their slots."""
+    slot = max(isqrt(span - 1) + 1, 1)
     place = ["key", "_span", "_slot"]
-    slots = moments.groupBy(*place).agg(
-        *merged, F.max("_read").alias("_read"), F.max(F.col("_ends") | F.col("_starts")).alias("_edge")
-    )
-    in_span = Window.partitionBy("key", "_span")
-    earlier = in_span.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    later = in_span.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
-    around = slots.select(
+    slotted = moments.withColumn("_slot", F.expr(f"(us - _span * {span}) div {slot}"))
+    totals = slotted.groupBy(*place).agg(*_merged(merges), F.max(F.col("_ends") | F.col("_starts")).alias("_edge"))
+    group = Window.partitionBy("key", "_span")
+    earlier = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    later = group.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    around = totals.select(
         *place,
         "_edge",
-        F.coalesce(F.max("_read").over(earlier), no).alias("_read_earlier"),
-        F.coalesce(F.max("_read").over(later), no).alias("_read_later"),
-        *[m.merge(n).over(earlier).alias(f"{n}_earlier") for n, m in measures.items()],
-        *[m.merge(n).over(later).alias(f"{n}_later") for n, m in measures.items()],
+        *[merge(n).over(earlier).alias(f"{n}_earlier") for n, merge in merges.items()],
+        *[merge(n).over(later).alias(f"{n}_later") for n, merge in merges.items()],
     ).where("_edge")
-
-    in_slot = Window.partitionBy(*place)
-    upto = in_slot.orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
-    onward = in_slot.orderBy(F.desc("us")).rowsBetween(Window.unboundedPreceding, 0)
-    pieces = (
-        moments.select(
-            *place,
-            "us",
-            "_ends",
-            "_starts",
-            F.max("_read").over(upto).alias("_read_upto"),
-            F.max("_read").over(onward).alias("_read_onward"),
-            *[m.merge(n).over(upto).alias(f"{n}_upto") for n, m in measures.items()],
-            *[m.merge(n).over(onward).alias(f"{n}_onward") for n, m in measures.items()],
-        )
-        .where("_ends OR _starts")
-        .join(around, place)
-    )
-
-    def side(flag: str, shift: int, near: str, far: str) -> Column:
-        return F.when(
-            F.col(flag),
-            F.struct(
-                (F.col("us") + shift).alias("us"),
-                (F.col(f"_read_{near}") | F.col(f"_read_{far}")).alias("_read"),
-                *[
-                    _merge_columns(m.merge, [F.col(f"{n}_{near}"), F.col(f"{n}_{far}")]).alias(n)
-                    for n, m in measures.items()
-                ],
-            ),
-        )
-
-    # A time can end one window and start another, so a row gives one or two pieces.
-    sides = F.array_compact(
-        F.array(side("_ends", 0, "upto", "earlier"), side("_starts", span, "onward", "later"))
-    )
-    return (
-        pieces.select("key", F.explode(sides).alias("_side"))
-        .select("key", "_side.*")
-        .where("_read")
-        .groupBy("key", "us")
-        .agg(*merged)
+    joined = _running(slotted, place, merges).join(around, place)
+
+    def both(name: str, near: str, far: str) -> Column:
+        columns = [F.col(f"{name}_{near}"), F.col(f"{name}_{far}")]
+        return _merge_columns(merges[name], columns).alias(f"{name}_{near}")
+
+    return joined.select(
+        "key",
+        "_span",
+        "us",
+        "_ends",
+        "_starts",
+        *[both(n, "upto", "earlier") for n in merges],
+        *[both(n, "onward", "later") for n in merges],
     )

@@ -18,6 +18,7 @@ from sensorthread.operators.log import EventLog
 from sensorthread.operators.lookback import Measure, lookback_states
 from sensorthread.operators.maps import device_places
 from sensorthread.operators.ordered import HOT_ROWS, group_median, packed
+from sensorthread.operators.window_median import SLIDING_ROWS, window_medians
 from sensorthread.session import written
 
 CLOSEST_LOOKBACK = 60  # Fixed value: minutes a reading may be older than the event it is picked for.
@@ -186,7 +187,12 @@ def is_mapped(readings: DataFrame, log: EventLog, event_type: str) -> bool:
 
 
 def matches_before_events(
-    readings: DataFrame, log: EventLog, event_type: str, lookback: int, mapped: bool
+    readings: DataFrame,
+    log: EventLog,
+    event_type: str,
+    lookback: int,
+    mapped: bool,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """How many readings of the last `lookback` minutes each event meets, and the earliest and latest of them.
 
@@ -212,7 +218,7 @@ def matches_before_events(
         "first": Measure(F.col("us"), F.min),
         "last": Measure(F.col("us"), F.max),
     }
-    states = lookback_states(keyed, probes, lookback, measures)
+    states = lookback_states(keyed, probes, lookback, measures, hot_rows)
     if mapped:
         states = states.withColumn("place", F.col("key.place"))
     age = "CAST((us - {0}) div 60000000 AS BIGINT)"
@@ -237,6 +243,7 @@ def closest_before_events(
     mapped: bool,
     lookback: int = CLOSEST_LOOKBACK,
     keep: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The newest reading per event and property, then `keep` on the picked readings only: an event whose newest
     reading fails it gets none. Equal times are settled by device_id, property_value, location, device_type,
@@ -261,7 +268,7 @@ def closest_before_events(
     best = written(keyed.groupBy(*by, "key", "us").agg(F.min(F.struct(*ordered)).alias("best")), "readings")
     # The windows carry only the newest time; which reading that is comes from a join on key and time.
     probes = _probes(best, events.select(*by, "us").distinct(), by, lookback)
-    newest = lookback_states(best, probes, lookback, {"last": Measure(F.col("us"), F.max)})
+    newest = lookback_states(best, probes, lookback, {"last": Measure(F.col("us"), F.max)}, hot_rows)
     picks = newest.join(best.select("key", F.col("us").alias("last"), "best"), ["key", "last"])
     if mapped:
         picks = picks.withColumn("place", F.col("key.place"))
@@ -355,10 +362,10 @@ def _window_values(
     v = F.col("v")
     one = F.when(v.isNotNull(), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
     if func == "median":
-        return _window_medians(keyed, probes, lookback, hot_rows)
+        return window_medians(keyed, probes, lookback, min(hot_rows, SLIDING_ROWS))
     if func in ("max", "min"):
         merge = BUILT_IN[func]
-        return lookback_states(keyed, probes, lookback, {"value": Measure(v, merge)})
+        return lookback_states(keyed, probes, lookback, {"value": Measure(v, merge)}, hot_rows)
     if func == "stddev":
         # Squares are taken around the mean of the key, which keeps them small.
         means = keyed.groupBy("key").agg(F.avg("v").alias("center"))
@@ -368,25 +375,9 @@ def _window_values(
             "off": Measure(off, F.sum),
             "square": Measure(off * off, F.sum),
         }
-        states = lookback_states(keyed.join(means, "key"), probes, lookback, parts)
+        states = lookback_states(keyed.join(means, "key"), probes, lookback, parts, hot_rows)
         spread = F.greatest(F.col("square") - F.col("off") * F.col("off") / F.nullif("n", F.lit(0)), F.lit(0.0))
         return states.withColumn("spread", spread)
-    states = lookback_states(
-        keyed, probes, lookback, {"n": Measure(one, F.sum), "total": Measure(v, F.sum)}
-    )
+    parts = {"n": Measure(one, F.sum), "total": Measure(v, F.sum)}
+    states = lookback_states(keyed, probes, lookback, parts, hot_rows)
     return states.withColumn("value", F.col("total") / F.nullif("n", F.lit(0)))
-
-
-def _window_medians(keyed: DataFrame, probes: DataFrame, lookback: int, hot_rows: int) -> DataFrame:
-    """A median has no mergeable state of fixed size, so here readings do meet the windows that see them, on key and
-    span with the exact bounds after; only matches within the window leave the join."""
-    reach = lookback * MINUTE
-    seen = _with_span(keyed.select("key", "us", "v"), lookback)
-    if lookback:
-        seen = seen.withColumn("span", F.explode(F.array(F.col("span"), F.col("span") + 1)))
-    seen = seen.withColumnRenamed("us", "read_us")
-    windows = _with_span(probes.distinct(), lookback)
-    matched = windows.join(seen, ["key", "span"]).where(
-        F.col("read_us").between(F.col("us") - reach, F.col("us"))
-    )
-    return group_median(matched.select("key", "us", "v"), ["key", "us"], "v", "value", hot_rows)

@@ -84,7 +84,8 @@ MINUTE = 60_000_000
 
 @pytest.mark.parametrize("lookback", [0, 1, 7, 60])
 @pytest.mark.parametrize("unit", [1, 1000, 20_000_000])
-def test_lookback_against_brute_force(spark, lookback, unit):
+@pytest.mark.parametrize("hot_rows", [20, 10**9])
+def test_lookback_against_brute_force(spark, lookback, unit, hot_rows):
     rng = random.Random(lookback + unit)
     reach = lookback * MINUTE
     horizon = max(4 * reach // unit, 50)
@@ -110,6 +111,7 @@ def test_lookback_against_brute_force(spark, lookback, unit):
             "high": Measure(v, F.max),
             "last": Measure(F.col("us"), F.max),
         },
+        hot_rows,
     )
     got = sorted(
         (tuple(x) for x in states.select("key.k", "us", "n", "known", "total", "low", "high", "last").collect()), key=repr

@@ -31,7 +31,6 @@ def test_contract(spark):
         "event_closest_mapped",
         "event_closest_by_time",
         "event_mean_by_time_30",
-        "event_median_mapped_1440",
         "log_overview",
         "directly_follows",
     ],

@@ -93,7 +93,8 @@ def frames(spark, world):
 
 
 @pytest.mark.parametrize("mapped", [True, False])
-def test_closest(spark, world, mapped):
+@pytest.mark.parametrize("hot_rows", [10, 10**9])
+def test_closest(spark, world, mapped, hot_rows):
     readings, log = frames(spark, world)
     best = {}
     for r, e, t in joined(world, "go", 60, mapped):
@@ -101,7 +102,7 @@ def test_closest(spark, world, mapped):
         key = (e, r[3])
         if key not in best or rank < best[key][0]:
             best[key] = (rank, (r[0], r[1], r[2], r[3], r[4], e, t))
-    got = scenarios.closest_before_events(readings, log, "go", mapped)
+    got = scenarios.closest_before_events(readings, log, "go", mapped, hot_rows=hot_rows)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted((b[1] for b in best.values()), key=repr)
     keep = threshold_predicate([Condition("x", lower=Bound(2))])
     got = scenarios.closest_before_events(readings, log, "go", mapped, keep=keep)
@@ -145,10 +146,42 @@ def test_matches(spark, world, mapped, lookback):
     for r, e, t in joined(world, "stop", lookback, mapped):
         groups.setdefault((e, t), []).append(int((t - r[5]).total_seconds() // 60))
     want = sorted((e, t, len(a), max(a), min(a)) for (e, t), a in groups.items())
-    got = scenarios.matches_before_events(readings, log, "stop", lookback, mapped)
+    got = scenarios.matches_before_events(readings, log, "stop", lookback, mapped, hot_rows=10)
     assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("lookback", [0, 75])
+@pytest.mark.parametrize("mapped", [True, False])
+def test_window_medians_with_and_without_hot_spans(spark, world, mapped, lookback):
+    readings, log = frames(spark, world)
+    groups = {}
+    for r, e, t in joined(world, "go", lookback, mapped, once=True):
+        groups.setdefault((r[0], r[2], r[3], e), []).append(r[4])
+    want = {k: [v for v in vs if v is not None] for k, vs in groups.items()}
+    want = {k: statistics.median(vs) if vs else None for k, vs in want.items()}
+    for hot_rows in (3, 10**9):
+        got = scenarios.aggregate_before_events(readings, log, "go", "median", lookback, mapped, hot_rows=hot_rows)
+        assert {(r.device_id, r.location, r.property, r.ocel_event_id): r.property_value for r in got.collect()} == want
+
+
+def test_ranks_of_several_digits(spark):
+    from pyspark.sql import functions as F
+
+    from sensorthread.operators.window_median import window_medians
+
+    rng = random.Random(5)
+    data = [(m * 1000, rng.choice([None, rng.random(), 0.5])) for m in range(1500)]
+    probes = [rng.randrange(0, 1600) * 1000 for _ in range(60)]
+    r = spark.createDataFrame(data, "us long, v double").withColumn("key", F.struct(F.lit("a").alias("k")))
+    p = spark.createDataFrame([(t,) for t in probes], "us long").withColumn("key", F.struct(F.lit("a").alias("k")))
+    want = {}
+    for t in probes:
+        seen = [v for us, v in data if us <= t and v is not None]
+        want[t] = statistics.median(seen) if seen else None
+    for rows in (50, 10**9):
+        assert {x.us: x.value for x in window_medians(r, p, 1, rows).collect()} == want
+
+
 @pytest.mark.parametrize("once", [True, False])
 def test_at_events(spark, world, once):
     readings, log = frames(spark, world)
