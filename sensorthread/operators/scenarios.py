@@ -18,7 +18,7 @@ from sensorthread.operators.log import EventLog
 from sensorthread.operators.lookback import Measure, lookback_states
 from sensorthread.operators.maps import device_places
 from sensorthread.operators.ordered import HOT_ROWS, group_median, packed
-from sensorthread.operators.window_median import SLIDING_ROWS, window_medians
+from sensorthread.operators.window_median import ARRAY_ROWS, window_medians
 from sensorthread.session import written
 
 CLOSEST_LOOKBACK = 60  # Fixed value: minutes a reading may be older than the event it is picked for.
@@ -362,7 +362,7 @@ def _window_values(
     v = F.col("v")
     one = F.when(v.isNotNull(), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
     if func == "median":
-        return window_medians(keyed, probes, lookback, min(hot_rows, SLIDING_ROWS))
+        return window_medians(keyed, probes, lookback, min(hot_rows, ARRAY_ROWS))
     if func in ("max", "min"):
         merge = BUILT_IN[func]
         return lookback_states(keyed, probes, lookback, {"value": Measure(v, merge)}, hot_rows)

@@ -1,38 +1,32 @@
 """Exact medians of what was read in the last n minutes before a moment.
 
-A median has no mergeable state of fixed size. Windows of one key in time order slide forward, though, so a task that
-holds the readings of two neighbouring spans finds the medians of all windows that end in the second one by adding
-and dropping one reading at a time; no pair of reading and window is ever made.
+A median has no mergeable state of fixed size. The readings of two neighbouring spans of a key are few as a rule: they
+become one array in value order, and each window that ends in the second span takes the middle of the part it sees.
 
-A span too large for that is searched by rank. Every reading gets its place in the value order of its group. The
+Spans with more readings are searched by rank. Every reading gets its place in the value order of its group. The
 median's place is then narrowed down digit by digit: how many readings of a window have each next digit is a count
-over the last n minutes, which `lookback_states` gives for groups of any size.
+over the last n minutes, which `lookback_states` gives for groups of any size. Neither way makes a row per pair of
+reading and window.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sensorthread.functions.clock import MINUTE
 from sensorthread.operators.lookback import Measure, lookback_states
 from sensorthread.operators.ordered import hot_keys, ordered_chunks, split_hot
 from sensorthread.session import written
 
-# Rows of two neighbouring spans of one key that a task slides over.
-SLIDING_ROWS = 100_000
+# Rows of two neighbouring spans of one key that may become an array.
+ARRAY_ROWS = 2_000
 
 _DIGIT = 256
 
 
 def window_medians(
-    readings: DataFrame, probes: DataFrame, lookback: int, sliding_rows: int = SLIDING_ROWS
+    readings: DataFrame, probes: DataFrame, lookback: int, array_rows: int = ARRAY_ROWS
 ) -> DataFrame:
     """`value` per probe (`key`, `us`) that sees a reading: the median of `v`, null if all it sees are null."""
     reach = lookback * MINUTE
@@ -48,45 +42,43 @@ def window_medians(
         "windows",
     )
     place = ["key", "span"]
-    hot = hot_keys(rows, place, sliding_rows) if rows.count() > sliding_rows else None
+    hot = hot_keys(rows, place, array_rows) if rows.count() > array_rows else None
     calm, busy = split_hot(rows, place, hot)
-    schema = T.StructType(
-        [rows.schema["key"], T.StructField("us", T.LongType()), T.StructField("value", T.DoubleType())]
-    )
-    result = calm.groupBy(*place).applyInPandas(_slide(reach), schema)
+    result = _from_arrays(calm, place, reach)
     if busy is None:
         return result
-    return result.unionByName(_by_rank(busy, lookback, sliding_rows))
-
-
-def _slide(reach: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def medians(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        seen = rows[~rows["probe"]].sort_values("us")
-        times, values = seen["us"].to_numpy(), seen["v"].to_numpy()
-        moments = np.sort(rows.loc[rows["probe"], "us"].to_numpy())
-        firsts = np.searchsorted(times, moments - reach, "left")
-        ends = np.searchsorted(times, moments, "right")
-        window: list[float] = []
-        at = dropped = 0
-        found = []
-        for first, end in zip(firsts, ends):
-            for v in values[at:end]:
-                if v == v:
-                    insort(window, v)
-            for v in values[dropped:first]:
-                if v == v:
-                    del window[bisect_left(window, v)]
-            at, dropped = end, first
-            n = len(window)
-            found.append((window[(n - 1) // 2] + window[n // 2]) / 2 if n else None)
-        known = ends > firsts
-        keys = pd.Series([group[0]] * int(known.sum()), dtype=object)
-        return pd.DataFrame({"key": keys, "us": moments[known], "value": np.array(found, dtype=float)[known]})
-
-    return medians
-
-
-def _by_rank(rows: DataFrame, lookback: int, hot_rows: int) -> DataFrame:
+    return result.unionByName(_by_rank(busy, lookback))
+
+
+def _from_arrays(rows: DataFrame, place: list[str], reach: int) -> DataFrame:
+    reading, us = ~F.col("probe"), F.col("us")
+    groups = rows.groupBy(*place).agg(
+        F.collect_list(F.when(F.col("probe"), us)).alias("moments"),
+        F.collect_list(F.when(reading, us)).alias("times"),
+        F.array_sort(F.collect_list(F.when(reading & F.col("v").isNotNull(), F.struct("v", "us")))).alias("known"),
+    )
+
+    def sees(at: Column, moment: Column) -> Column:
+        return (at >= moment - reach) & (at <= moment)
+
+    def middle(values: Column) -> Column:
+        n = F.size(values)
+        low, high = F.get(values, F.floor((n - 1) / 2).cast("int")), F.get(values, F.floor(n / 2).cast("int"))
+        return F.when(n > 0, (low["v"] + high["v"]) / 2)
+
+    def window(moment: Column) -> Column:
+        values = F.filter("known", lambda r: sees(r["us"], moment))
+        # Through an array of one, so that the filter runs once however often its result is named.
+        value = F.get(F.transform(F.array(values), middle), F.lit(0))
+        return F.when(
+            F.exists("times", lambda at: sees(at, moment)), F.struct(moment.alias("us"), value.alias("value"))
+        )
+
+    windows = F.array_compact(F.transform("moments", window))
+    return groups.select("key", F.inline(windows))
+
+
+def _by_rank(rows: DataFrame, lookback: int) -> DataFrame:
     grouped = rows.withColumn("key", F.struct("key", "span"))
     probes = grouped.where("probe").select("key", "us")
     readings = grouped.where("NOT probe").select("key", "us", "v")
@@ -95,7 +87,7 @@ def _by_rank(rows: DataFrame, lookback: int, hot_rows: int) -> DataFrame:
 
     one = Measure(F.lit(1).cast("long"), F.sum)
     known = Measure(F.when(F.col("v").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"), F.sum)
-    sizes = written(lookback_states(readings, probes, lookback, {"n": known}, hot_rows), "sizes")
+    sizes = written(lookback_states(readings, probes, lookback, {"n": known}), "sizes")
     # The two middle places of each window, the same one if the number of values is odd.
     searches = (
         sizes.where("n > 0")
@@ -115,7 +107,7 @@ def _by_rank(rows: DataFrame, lookback: int, hot_rows: int) -> DataFrame:
     while highest is not None and _DIGIT ** (level + 1) <= highest:
         level += 1
     for size in [_DIGIT**i for i in range(level, -1, -1)] if highest is not None else []:
-        searches = written(_next_digit(ranked, searches, size, lookback, one, hot_rows), "searches")
+        searches = written(_next_digit(ranked, searches, size, lookback, one), "searches")
     middles = (
         searches.join(ranked.select("key", F.col("rank").alias("prefix"), "v"), ["key", "prefix"])
         .groupBy("key", "us")
@@ -141,7 +133,7 @@ def _ranked(readings: DataFrame) -> DataFrame:
 
 
 def _next_digit(
-    ranked: DataFrame, searches: DataFrame, size: int, lookback: int, one: Measure, hot_rows: int
+    ranked: DataFrame, searches: DataFrame, size: int, lookback: int, one: Measure
 ) -> DataFrame:
     """Each search moved into the sub-range of `size` ranks that holds the place it needs."""
     part = F.expr(f"rank div {size}")
@@ -154,7 +146,6 @@ def _next_digit(
         options.select(F.struct("key", "part").alias("key"), "us").distinct(),
         lookback,
         {"n": one},
-        hot_rows,
     ).select(F.col("key.key").alias("key"), F.col("key.part").alias("part"), "us", "n")
     running = (
         Window.partitionBy("key", "us", "side").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)

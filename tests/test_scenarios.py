@@ -159,7 +159,7 @@ def test_window_medians_with_and_without_hot_spans(spark, world, mapped, lookbac
         groups.setdefault((r[0], r[2], r[3], e), []).append(r[4])
     want = {k: [v for v in vs if v is not None] for k, vs in groups.items()}
     want = {k: statistics.median(vs) if vs else None for k, vs in want.items()}
-    for hot_rows in (3, 10**9):
+    for hot_rows in (30, 10**9):
         got = scenarios.aggregate_before_events(readings, log, "go", "median", lookback, mapped, hot_rows=hot_rows)
         assert {(r.device_id, r.location, r.property, r.ocel_event_id): r.property_value for r in got.collect()} == want
 
