@@ -15,6 +15,9 @@ from sensorthread.session import freeze
 # Rows of one group that a single task may sort or hold.
 HOT_ROWS = 2_000_000
 
+# Rows of one group whose values a single task may hold in memory, which the built-in median does.
+MEDIAN_ROWS = 200_000
+
 
 def packed(keys: list[str]) -> Column:
     """The key columns as one struct; struct equality takes two nulls as equal, as grouping does."""
@@ -89,7 +92,7 @@ def group_median(
     df: DataFrame, keys: list[str], value: str, out: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Exact median (interpolated) per group; null where a group has no value."""
-    calm, busy = split_hot(df, keys, hot_keys(df, keys, hot_rows))
+    calm, busy = split_hot(df, keys, hot_keys(df, keys, min(hot_rows, MEDIAN_ROWS)))
     result = calm.groupBy(*keys).agg(F.median(value).alias(out))
     if busy is None:
         return result

@@ -1,6 +1,7 @@
 """Write a payload into the log: new attribute rows, filled attribute columns, and links to the devices.
 
-Each function returns the new table together with its counts, and leaves the old table as it was.
+Each function returns the rows to add, or the whole table where rows change, together with its counts. Nothing is
+written over what it read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from sensorthread.operators.reshape import (
     pivot_first,
 )
 from sensorthread.schema import PROPERTY, PROPERTY_VALUE
+from sensorthread.session import written
 
 
 @dataclass(frozen=True)
@@ -28,10 +30,11 @@ class Association:
 
 @dataclass(frozen=True)
 class Write:
-    """The table after a write, and a one-row frame (`inserted`, `skipped`)."""
+    """The table after a write, a one-row frame (`inserted`, `skipped`), and the rows added, if a write only adds."""
 
     table: DataFrame
     counts: DataFrame
+    added: DataFrame | None = None
 
 
 def add_property_columns(table: DataFrame, properties: list[str]) -> tuple[DataFrame, dict[str, str]]:
@@ -48,9 +51,11 @@ def add_property_columns(table: DataFrame, properties: list[str]) -> tuple[DataF
 
 
 def _marked(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates with `_there`: whether the table has their key. A null in the key never matches."""
+    """Candidates with `_there`: whether the table has their key. A null in the key never matches. Rows and counts
+    both come from this, so it is computed once and kept."""
     there = existing.select(*keys, F.lit(True).alias("_there")).distinct()
-    return candidates.join(there, keys, "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
+    marked = candidates.join(there, keys, "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
+    return written(marked, "marked")
 
 
 def _counts(marked: DataFrame, skipped: str = "_there") -> DataFrame:
@@ -82,7 +87,7 @@ def insert_object_attributes(
     rows = marked.where(~F.col("_there")).select(
         "ocel_id", "ocel_time", "ocel_changed_field", *columns.values()
     )
-    return Write(grown.unionByName(rows, allowMissingColumns=True), _counts(marked))
+    return Write(grown.unionByName(rows, allowMissingColumns=True), _counts(marked), rows)
 
 
 def fill_event_attributes(
@@ -173,7 +178,7 @@ def object_links(
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
         .select(*keys)
     )
-    return Write(links.unionByName(rows), counts)
+    return Write(links.unionByName(rows), counts, rows)
 
 
 def event_links(links: DataFrame, payload: DataFrame, qualifier: str = "") -> Write:
@@ -190,7 +195,7 @@ def event_links(links: DataFrame, payload: DataFrame, qualifier: str = "") -> Wr
     )
     marked = _marked(candidates, links, keys)
     rows = marked.where(~F.col("_there")).select(*keys)
-    return Write(links.unionByName(rows), _counts(marked))
+    return Write(links.unionByName(rows), _counts(marked), rows)
 
 
 def tick_ledger(ledger: DataFrame, device_type: str, object_type: str) -> DataFrame:

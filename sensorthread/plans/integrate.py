@@ -139,7 +139,12 @@ def integrate(readings: DataFrame, workspace: Workspace, config: Config) -> Resu
         _or_empty(log, LEDGER, LEDGER_SCHEMA, spark), config.device_type, config.selected_type
     )
     main_counts, link_counts = main.counts.first(), linked.counts.first()
-    log = workspace.commit({target: main.table, name: linked.table, LEDGER: ledger})
+    changed, added = {LEDGER: ledger}, {name: linked.added}
+    if main.added is None:
+        changed[target] = main.table
+    else:
+        added[target] = main.added
+    log = workspace.commit(changed, added)
     remaining = maps.remaining_count(readings, log["object"], log[LEDGER]).first()["remaining"]
     return _result(
         main_counts["inserted"],

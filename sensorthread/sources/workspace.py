@@ -1,13 +1,15 @@
-"""A workspace: the tables of an event log as Parquet, one folder per version of a table.
+"""A workspace: the tables of an event log as Parquet folders.
 
-A run writes the tables it changed to new folders, then one manifest that names the folder of every table. A reader
-follows the newest manifest, so it sees all of a run or nothing of it, and no run overwrites what it reads.
+A run writes new rows, and tables whose rows changed, to new folders, then one manifest that names the folders of
+every table. A reader follows the newest manifest, so it sees all of a run or nothing of it, and no run overwrites
+what it reads. Adding rows costs their own size, not that of the table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sensorthread.operators.combine import combine
 from sensorthread.operators.log import EventLog
 from sensorthread.schema import WORK_TABLES
 
@@ -38,33 +40,46 @@ class Workspace:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _manifest(self) -> tuple[int, dict[str, str]]:
-        """Number of the newest version and its folders by table; a manifest has one row per table."""
+    def _manifest(self) -> tuple[int, dict[str, list[str]]]:
+        """Number of the newest version and its folders by table; a manifest has one row per folder."""
         folder = f"{self.root}/manifest"
         if not exists(self.spark, folder):
             return 0, {}
-        rows = self.spark.read.schema("name string, path string, version long").json(folder)
+        rows = self.spark.read.schema("name string, position int, path string, version long").json(folder)
         newest = rows.agg({"version": "max"}).first()[0]
         if newest is None:
             return 0, {}
-        return newest, {r.name: r.path for r in rows.where(rows.version == newest).collect()}
+        paths: dict[str, list[str]] = {}
+        for r in sorted(rows.where(rows.version == newest).collect(), key=lambda r: (r.name, r.position)):
+            paths.setdefault(r.name, []).append(r.path)
+        return newest, paths
 
     def exists(self) -> bool:
         return self._manifest()[0] > 0
 
     def read(self) -> EventLog:
         _, paths = self._manifest()
-        return EventLog({n: self.spark.read.parquet(f"{self.root}/{p}") for n, p in paths.items()})
-
-    def commit(self, changed: dict[str, DataFrame], replace: bool = False) -> EventLog:
-        """Save the changed tables as a new version; the others stay as they are, or go if `replace`."""
+        return EventLog(
+            {name: combine([self.spark.read.parquet(f"{self.root}/{p}") for p in ps]) for name, ps in paths.items()}
+        )
+
+    def commit(
+        self,
+        changed: dict[str, DataFrame],
+        added: dict[str, DataFrame] | None = None,
+        replace: bool = False,
+    ) -> EventLog:
+        """Save a new version: tables in `changed` get new rows only, tables in `added` keep theirs and get more,
+        the others stay as they are, or go if `replace`."""
         version, paths = self._manifest()
         version += 1
-        paths = {} if replace else dict(paths)
-        for name, df in changed.items():
-            paths[name] = f"tables/{name}/v{version}"
-            _write(df, f"{self.root}/{paths[name]}")
-        manifest = self.spark.createDataFrame(sorted(paths.items()), "name string, path string")
+        paths = {} if replace else paths
+        for name, df in [*changed.items(), *(added or {}).items()]:
+            path = f"tables/{name}/v{version}"
+            _write(df, f"{self.root}/{path}")
+            paths[name] = [path] if name in changed else [*paths.get(name, []), path]
+        rows = [(name, i, path) for name, ps in sorted(paths.items()) for i, path in enumerate(ps)]
+        manifest = self.spark.createDataFrame(rows, "name string, position int, path string")
         manifest.coalesce(1).write.json(f"{self.root}/manifest/version={version}")
         return self.read()
 
