@@ -86,9 +86,7 @@ def lookback_states(
         "moments",
     )
     place = ["key", "_span"]
-    # The number of rows of a written table stands in its file footers.
-    hot = hot_keys(moments, place, hot_rows) if moments.count() > hot_rows else None
-    calm, busy = split_hot(moments, place, hot)
+    calm, busy = split_hot(moments, place, hot_keys(moments, place, hot_rows, stored=moments))
     pieces = _running(calm, place, merges)
     if busy is not None:
         pieces = pieces.unionByName(_running_in_slots(busy, span, merges))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sensorthread.session import freeze
 
 # Rows of one group that a single task may sort or hold.
-HOT_ROWS = 2_000_000
+HOT_ROWS = 4_000_000
 
 # Rows of one group whose values a single task may hold in memory, which the built-in median does.
 MEDIAN_ROWS = 200_000
@@ -24,9 +24,14 @@ def packed(keys: list[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
+def hot_keys(
+    df: DataFrame, keys: list[str], hot_rows: int, stored: DataFrame | None = None
+) -> DataFrame | None:
     """Keys (as `_key`) with more than `hot_rows` rows, or None if there are none. Counting combines on the map
-    side, so a hot key costs no more to find than any other."""
+    side, so a hot key costs no more to find than any other. `stored` is a table with at least as many rows whose
+    number is quick to get (from file footers); if it is small, nothing can be hot."""
+    if stored is not None and stored.count() <= hot_rows:
+        return None
     sizes = df.groupBy(packed(keys).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.where(F.col("_rows") > hot_rows).select("_key")
     return None if hot.isEmpty() else freeze(hot)
@@ -89,10 +94,15 @@ def with_successor(
 
 
 def group_median(
-    df: DataFrame, keys: list[str], value: str, out: str, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    out: str,
+    hot_rows: int = HOT_ROWS,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Exact median (interpolated) per group; null where a group has no value."""
-    calm, busy = split_hot(df, keys, hot_keys(df, keys, min(hot_rows, MEDIAN_ROWS)))
+    calm, busy = split_hot(df, keys, hot_keys(df, keys, min(hot_rows, MEDIAN_ROWS), stored))
     result = calm.groupBy(*keys).agg(F.median(value).alias(out))
     if busy is None:
         return result

@@ -92,7 +92,7 @@ def directly_follows(log: EventLog, hot_rows: int = HOT_ROWS) -> DataFrame:
     objects, and pairs of events. Events of an object are ordered by time, then by id."""
     # An object has no more steps than relations, so hot objects show without the joins.
     relations = log["event_object"].select(F.col("ocel_object_id").alias("object"))
-    hot = hot_keys(relations, ["object"], hot_rows)
+    hot = hot_keys(relations, ["object"], hot_rows, stored=relations)
     steps = with_successor(_steps(log), ["object"], ["time", "event"], ["event", "activity"], hot).where(
         # Equal rows are neighbours; a step from an event to itself is none.
         F.col("next_event") != F.col("event")

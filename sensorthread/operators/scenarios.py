@@ -42,13 +42,13 @@ def choose_scenario(attribute_type: str, associations: list) -> Scenario:
 
 
 def aggregate_values(
-    df: DataFrame, keys: list[str], func: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], func: str, hot_rows: int = HOT_ROWS, stored: DataFrame | None = None
 ) -> DataFrame:
-    """`property_value` as the named aggregate of its values, per key."""
+    """`property_value` as the named aggregate of its values, per key; `stored` as for `hot_keys`."""
     func = aggregate_name(func)
     valued = df.withColumn("property_value", F.col("property_value").cast("double"))
     if func == "median":
-        return group_median(valued, keys, "property_value", "property_value", hot_rows)
+        return group_median(valued, keys, "property_value", "property_value", hot_rows, stored)
     value = BUILT_IN[func]("property_value").cast("double").alias("property_value")
     return valued.groupBy(*keys).agg(value)
 
@@ -74,7 +74,7 @@ def object_payload_by_window(readings: DataFrame, func: str, width: int, hot_row
             F.max("result_time").alias("result_time"), value.alias("property_value")
         )
     last = timed.groupBy(packed(keys).alias("_key")).agg(F.max("result_time").alias("result_time"))
-    medians = aggregate_values(timed, keys, func, hot_rows).select(
+    medians = aggregate_values(timed, keys, func, hot_rows, stored=readings).select(
         packed(keys).alias("_key"), "property_value"
     )
     return last.join(medians, "_key").select("_key.*", "result_time", "property_value")
