@@ -127,8 +127,8 @@ def object_links(
     """Distinct (object, device, qualifier, time) per association that the link table lacks. An association with
     an event type takes only payload rows of events of that type, which needs the log's `event` table.
 
-    The reference order is one association after the other, so a link two of them give is inserted by the first
-    and skipped by the second.
+    Associations are written one after the other, so a link two of them give is inserted by the first and skipped by
+    the second.
     """
     associations = associations or [Association()]
     wanted = F.array(
