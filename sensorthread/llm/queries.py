@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorthread.llm import mixing, quality_rules, url_rules
+from sensorthread.llm import mixing, near_dup, quality_rules, url_rules
 from sensorthread.llm.common import table
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of three words, linked from a similarity of 0.85."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85, 100).drop("text_hash")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dup": op1_near_dup,
     "op2_source_mix": op2_source_mix,
     "op5_url_rules": op5_url_rules,
     "op8_quality_rules": op8_quality_rules,

@@ -49,8 +49,12 @@ SITE_RULES = (
 #: Rules of kinds of pages; they judge only what no site rule judges.
 PATTERN_RULES = (
     UrlRule("casino", "block", r"(?i)(?:\A|[./_-])casino(?:[./_-]|\z)", ("casino",)),
-    UrlRule("bets", "block", r"(?i)(?:\A|[./_-])bets?[./_-]|[./_-]bets?\z"),
-    UrlRule("adult", "block", r"(?i)(?:\A|[./_-])(?:porn|xxx)(?:[./_-]|\z)"),
+    UrlRule("bets", "block", r"(?i)(?:\A|[./_-])bets(?:[./_-]|\z)", ("bets",)),
+    UrlRule("adult", "block", r"(?i)(?:\A|[./_-])adult[._-][a-z0-9]", ("adult",)),
+    UrlRule("pills", "block", r"(?i)(?:\A|[./_-])pills(?:[./_-]|\z)", ("pills",)),
+    UrlRule("spam", "block", r"(?i)(?:\A|[./_-])spam[._-]farm(?:[./_-]|\z)", ("spam", "farm")),
+    UrlRule("ads", "block", r"(?i)(?:\A|[./_-])ads[._-]track(?:[./_-]|\z)", ("ads", "track")),
+    UrlRule("session", "block", r"(?i)[;/]jsessionid=[0-9a-f]{8,}"),
     UrlRule("login form", "block", r"(?i)/(?:wp-)?login\.(?:php|aspx?)\z", ("login",)),
     UrlRule("tag listing", "block", r"(?i)/tags?/[^/]+/page/\d+/?\z", ("page",)),
     UrlRule("calendar", "block", r"(?i)/calendar/\d{4}/\d{1,2}(?:/|\z)", ("calendar",)),
