@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorthread.llm import mixing, near_dup, quality_rules, url_rules
+from sensorthread.llm import language_id, mixing, near_dup, quality_rules, toxicity, url_rules
 from sensorthread.llm.common import table
+from sensorthread.llm.labelled import held_out
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +30,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    found = language_id.identify(docs, docs.where("NOT held_out"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_source_mix": op2_source_mix,
     "op5_url_rules": op5_url_rules,
+    "op6_toxicity": op6_toxicity,
     "op8_quality_rules": op8_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
