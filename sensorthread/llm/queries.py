@@ -12,6 +12,7 @@ from sensorthread.llm import (
     near_dup,
     quality_classifier,
     quality_rules,
+    repeats,
     secret_scan,
     toxicity,
     url_rules,
@@ -78,6 +79,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
     found = language_id.identify(docs, docs.where("NOT held_out"))
@@ -93,6 +98,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_repeats": op9_repeats,
     "op10_language_id": op10_language_id,
 }
 
