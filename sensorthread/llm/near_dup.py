@@ -6,7 +6,9 @@ with equal sets form a class. Of each class one sketch goes on:
 1. Inverted lists. Two sets at the threshold share at least `least_shared` retained values (but for one pair in 1e9).
    With the values of a sketch ordered from rare to common, such a pair shares one among the first
    size - least_shared + 1 of both. Only these are listed, and only if two classes or more retain them, so passages
-   that many documents share make no lists of documents that hold more of their own.
+   that many documents share make no lists of documents that hold more of their own. Short sketches, of K values, tell
+   which classes have a list in common at all. Those, few as they are, get sketches of WIDE values and new lists: these
+   part sets that are almost alike, and for sets of up to WIDE shingles they are exact.
 2. Each class is compared with the hub of its lists: the class whose values are the most common. Groups of near copies
    become a star around it, and only classes of one list that are not yet in one component are compared otherwise.
    What a list holds outside of its largest component is compared with all of the list.
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,8 +35,9 @@ from sensorthread.llm.common import map_batches
 from sensorthread.llm.graph import connected_components
 from sensorthread.session import written
 
-#: Values a sketch retains.
+#: Values that a sketch retains, at first and for classes that have a list in common.
 K = 32
+WIDE = 256
 #: Pairs of one hub that are verified together at most.
 CHUNK = 256
 
@@ -92,8 +95,8 @@ def sketched(docs: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def inverted_lists(classes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(value, class, n_shingles, weight): where a class may find another at the threshold. weight is greater for
-    classes whose values are more common."""
+    """(value, class, n_shingles, weight, place): where a class may find another at the threshold. weight is greater for
+    classes whose values are more common, place is the value's among those of the class from rare to common."""
     rows = classes.select("class", "n_shingles", F.explode("sketch").alias("value"))
     holders = rows.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
     own = Window.partitionBy("class")
@@ -112,7 +115,7 @@ def inverted_lists(classes: DataFrame, k: int, threshold: float) -> DataFrame:
             (size - must_share + 1).alias("last"),
         )
         .where("place <= last")
-        .drop("place", "last")
+        .drop("last")
     )
 
 
@@ -173,12 +176,24 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, part: int, whole: i
     return ordered.mapInArrow(compare, "a bigint, b bigint")
 
 
-def _alike(part: int, whole: int):
-    """Sizes of two sets that can reach the threshold at all."""
-    return (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part)
+def _alike(part: int, whole: int, k: int) -> Column:
+    """Can two classes (n_a, n_b) of one list, whose sketches hold its value at place_a and place_b, reach the threshold?
+
+    Their sizes must allow it, and so must the values that come after, if this is the first one they share.
+    """
+    sizes = F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part
+    left_a, left_b = (F.least(F.lit(k), F.col(f"n_{x}")) - F.col(f"place_{x}") for x in "ab")
+    most = 1 + F.least(left_a, left_b)
+    retained = F.least(F.lit(least_shared(k, part / whole)), F.ceil(F.lit(part / whole) * F.greatest("n_a", "n_b") - 1e-9))
+    whole_sets = F.greatest("n_a", "n_b") <= k
+    return sizes & F.when(whole_sets, most * (part + whole) >= part * (F.col("n_a") + F.col("n_b"))).otherwise(
+        most >= retained
+    )
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100, k: int = K) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100, k: int = K, wide: int = WIDE
+) -> DataFrame:
     """Per row doc_id, n_shingles, component_id (least doc_id reachable by links), kept (is it that document) and
     text_hash (xxhash64 of the text).
 
@@ -199,23 +214,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
         ),
         "classes",
     )
-    lists = written(inverted_lists(classes, k, threshold), "lists")
-    texts = written(_texts(docs, classes.join(lists.select("class").distinct(), "class", "left_semi")), "texts")
+    near = classes.join(_listed(inverted_lists(classes, k, threshold)), "class", "left_semi")
+    texts = written(_texts(docs, near), "texts")
+    near = written(_wide(texts, width, wide), "wide")
+    lists = written(inverted_lists(near, wide, threshold), "lists")
 
-    hubs = lists.groupBy("value").agg(F.max(F.struct("weight", "class", "n_shingles")).alias("hub"))
+    hubs = lists.groupBy("value").agg(F.max(F.struct("weight", "class", "n_shingles", "place")).alias("hub"))
     star = (
         lists.join(hubs, "value")
         .select(
-            F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), "hub", F.col("hub.n_shingles").alias("n_a")
+            F.col("class").alias("b"),
+            F.col("n_shingles").alias("n_b"),
+            F.col("place").alias("place_b"),
+            "hub",
+            F.col("hub.n_shingles").alias("n_a"),
+            F.col("hub.place").alias("place_a"),
         )
-        .where((F.col("hub.class") != F.col("b")) & _alike(part, whole))
+        .where((F.col("hub.class") != F.col("b")) & _alike(part, whole, wide))
         .groupBy("b")
         .agg(F.max("hub")["class"].alias("a"))
         .select("a", "b")
     )
-    star = written(verified(may_reach(star, classes, k, threshold), texts, width, part, whole), "star")
+    star = written(verified(may_reach(star, near, wide, threshold), texts, width, part, whole), "star")
     roots = connected_components(star)
-    rest = written(may_reach(_across(lists, roots, part, whole), classes, k, threshold), "rest")
+    rest = written(may_reach(_across(lists, roots, part, whole, wide), near, wide, threshold), "rest")
     links = star.unionAll(verified(rest, texts, width, part, whole))
     roots = connected_components(links)
 
@@ -250,7 +272,58 @@ def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.groupBy("class").agg(F.first("text").alias("text"))
 
 
-def _across(lists: DataFrame, roots: DataFrame, part: int, whole: int) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+    """The rows of docs, with all their columns, without all but one document of each group of near-duplicates.
+
+    The document with the least doc_id stays, and of rows that share a doc_id any one: they count as one group. Rows
+    without a doc_id go where their group has one; else one row of each text stays. Documents without words stay.
+    """
+    found = near_duplicates(docs, width, part, whole)
+    rows = written(
+        found.select(
+            "text_hash", F.col("doc_id").alias("id"), "kept", (F.col("n_shingles") > 0).alias("worded"), "component_id"
+        ),
+        "near-duplicates",
+    )
+    of_text = ["text_hash", "id"]
+    gone = rows.where("NOT kept").select(*of_text)
+    kept = rows.where("kept AND worded")
+    # Kept rows that meet in one group: they share their doc_id, or have none.
+    many = kept.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
+    doubtful = kept.join(many, kept["id"].eqNullSafe(many["id"]), "left_semi").select(*of_text).distinct()
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(own, F.xxhash64("text").alias("text_hash"), F.col("doc_id").alias("id"))
+
+    def matches(other: DataFrame):
+        return (keyed["text_hash"] == other["text_hash"]) & keyed["id"].eqNullSafe(other["id"])
+
+    leave = gone.unionAll(doubtful).distinct()
+    sure = keyed.join(leave, matches(leave), "left_anti")
+    if doubtful.isEmpty():
+        return sure.select("row.*")
+    settled = keyed.join(doubtful, matches(doubtful), "left_semi")
+    one = Window.partitionBy(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("-"), F.col("text_hash")))).orderBy("text_hash")
+    settled = settled.withColumn("place", F.row_number().over(one)).where("place = 1")
+    return sure.select("row.*").unionAll(settled.select("row.*"))
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    """The classes that are not alone in all of their lists."""
+    shared = lists.groupBy("value").agg(F.min("class").alias("first"), F.max("class").alias("last"))
+    return lists.join(shared.where("first <> last").select("value"), "value").select("class").distinct()
+
+
+def _wide(texts: DataFrame, width: int, k: int) -> DataFrame:
+    """(class, n_shingles, sketch) of texts, with sketches of k values."""
+
+    def columns(text, **key):
+        sets = [shingle_set(t, width) for t in text]
+        return key | {"n_shingles": [len(s) for s in sets], "sketch": [s[:k] for s in sets]}
+
+    return map_batches(texts, columns, "class bigint, n_shingles bigint, sketch array<bigint>", ["class", "text"])
+
+
+def _across(lists: DataFrame, roots: DataFrame, part: int, whole: int, k: int) -> DataFrame:
     """Pairs (a, b) of one list that are in different components, at least one of them outside of its largest."""
     placed = lists.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn(
         "root", F.coalesce("root", "class")
@@ -262,20 +335,25 @@ def _across(lists: DataFrame, roots: DataFrame, part: int, whole: int) -> DataFr
         .where("roots > 1")
         .select("value", F.col("main.root").alias("main"))
     )
-    open_lists = placed.join(main, "value").select("value", "class", "n_shingles", "root", "main")
+    open_lists = placed.join(main, "value").select("value", "class", "n_shingles", "place", "root", "main")
     outside = open_lists.where("root <> main").select(
-        "value", F.col("class").alias("a"), F.col("n_shingles").alias("n_a"), F.col("root").alias("root_a")
+        "value",
+        F.col("class").alias("a"),
+        F.col("n_shingles").alias("n_a"),
+        F.col("place").alias("place_a"),
+        F.col("root").alias("root_a"),
     )
     others = open_lists.select(
         "value",
         F.col("class").alias("b"),
         F.col("n_shingles").alias("n_b"),
+        F.col("place").alias("place_b"),
         F.col("root").alias("root_b"),
         (F.col("root") == F.col("main")).alias("in_main"),
     )
     return (
         outside.join(others, "value")
-        .where((F.col("root_a") != F.col("root_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _alike(part, whole))
+        .where((F.col("root_a") != F.col("root_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _alike(part, whole, k))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
