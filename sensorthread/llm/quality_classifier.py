@@ -158,8 +158,8 @@ class Model:
 
 
 def co_train(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS) -> Model:
-    """labelled: (text, source, lang, n_chars, label); pool: the same without labels. Every fourth labelled row is kept
-    for the calibration. Rows of one label alone, or none, give a model that scores all documents alike."""
+    """labelled: (text, source, lang, n_chars, label); pool: the same without labels. Every fourth row of either label is
+    kept for the calibration. Rows of one label alone, or none, give a model that scores all documents alike."""
     y0 = np.array([r[4] for r in labelled], float)
     if len(set(y0)) < 2:
         return Model(np.zeros(BUCKETS), np.zeros(META), (0.0, 0.0), (0.0, 0.0), float(y0[0]) if len(y0) else 1.0)
@@ -168,7 +168,10 @@ def co_train(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS) ->
     sizes = (BUCKETS, META)
     n = len(labelled)
     known = np.arange(len(everything)) < n
-    kept = known & (np.arange(len(everything)) % 4 == 0)
+    kept = known.copy()
+    for label in (0.0, 1.0):
+        own = np.flatnonzero(y0 == label)
+        kept[np.delete(own, np.s_[::4])] = False
     y = [np.concatenate([y0, np.zeros(len(pool))]) for _ in views]
     use = [known & ~kept for _ in views]
     for left in range(rounds, -1, -1):
