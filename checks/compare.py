@@ -38,7 +38,7 @@ def differences(spark: SparkSession, connection: duckdb.DuckDBPyConnection, name
     problems = []
     if sorted(df.columns) != sorted(relation.columns):
         problems.append(f"columns {sorted(df.columns)} instead of {sorted(relation.columns)}")
-    spark_types = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP"}
+    spark_types = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "int": "INTEGER", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
     types = {n: spark_types.get(t, t) for n, t in df.dtypes}
     wanted_types = dict(zip(relation.columns, map(str, relation.types)))
     if types != wanted_types:

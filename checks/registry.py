@@ -16,6 +16,7 @@ from sensorthread.plans.conform import Mapping, conform
 from sensorthread.plans.integrate import Config, integrate
 from sensorthread.schema import EVENT_LINK, LEDGER, OBJECT_LINK
 from sensorthread.session import apply_session_defaults, scratch_path
+from sensorthread.sources.csv import csv_columns
 from sensorthread.sources.parquet import read_combined, write_adjusted, write_combined
 from sensorthread.sources.workspace import Workspace, export_ocel, init_workspace
 
@@ -100,7 +101,7 @@ UNION ALL SELECT device_id, device_type, location, result_time, 'k', CAST(CAST(k
 def _(spark, sf):
     wide = t.iot_wide(spark, sf).withColumn("k", F.col("k").cast("long"))
     names = ["device_id", "device_type", "property", "result_time", "location"]
-    return reshape.stack_properties(wide, ["value", "k"], names)[0]
+    return reshape.stack_properties(wide, ["value", "k"], names)
 
 
 @check(
@@ -142,6 +143,130 @@ def _(spark, sf):
     return conform(spark, path, mapping)[0]
 
 
+RAW = """
+WITH raw AS (
+  SELECT event_id, 'dev-' || user_id AS device_id, event_type AS device_type, CAST(ts AS TIMESTAMP) AS result_time,
+         'cust-' || user_id AS location, value, event_id AS n FROM events)
+"""
+RAW_NAMES = {"sensor": "device_id", "kind": "device_type", "at": "result_time", "place": "location", "v": "property"}
+
+
+def _raw(spark, sf, value, **columns):
+    """Rows of events as a sensor file would have them, with the value and any other columns given."""
+    made = {
+        "sensor": F.concat(F.lit("dev-"), F.col("user_id").cast("string")),
+        "kind": F.col("event_type"),
+        "at": F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        "place": F.concat(F.lit("cust-"), F.col("user_id").cast("string")),
+        "v": value,
+    }
+    return t.table(spark, sf, "events").select(*[c.alias(n) for n, c in (made | columns).items()])
+
+
+def _csv(spark, df, **options) -> str:
+    path = scratch_path(spark, "csv")
+    df.write.options(header=True, **options).csv(path)
+    return path
+
+
+@check(
+    "conform_csv_late_types",
+    RAW
+    + """SELECT device_id, device_type, result_time, location, 'v' AS property,
+       CAST(CASE WHEN n >= 0.9 * (SELECT max(n) FROM raw) THEN n + 0.5 ELSE n END AS DOUBLE) AS property_value FROM raw""",
+)
+def _(spark, sf):
+    last = t.table(spark, sf, "events").agg(F.max("event_id")).first()[0]
+    whole = F.col("event_id").cast("string")
+    late = F.when(F.col("event_id") >= 0.9 * last, F.concat(whole, F.lit(".5"))).otherwise(whole)
+    path = _csv(spark, _raw(spark, sf, late).coalesce(1))
+    return conform(spark, path, Mapping(RAW_NAMES, dtypes={"at": "Datetime"}))[0]
+
+
+@check(
+    "conform_csv_offsets",
+    RAW + "SELECT device_id, device_type, result_time, location, 'v' AS property, value AS property_value FROM raw",
+)
+def _(spark, sf):
+    ahead = F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    at = F.when(F.col("event_id") % 2 == 0, F.concat(ahead, F.lit("+02:00"))).otherwise(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    )
+    path = _csv(spark, _raw(spark, sf, F.col("value"), at=at))
+    return conform(spark, path, Mapping(RAW_NAMES, dtypes={"at": "Datetime"}))[0]
+
+
+@check(
+    "conform_csv_quoted",
+    RAW
+    + """SELECT device_id || chr(10) || '"line" two' AS device_id, device_type, result_time, location, 'v' AS property,
+       value AS property_value FROM raw""",
+)
+def _(spark, sf):
+    sensor = F.concat(F.lit("dev-"), F.col("user_id").cast("string"), F.lit('\n"line" two'))
+    path = _csv(spark, _raw(spark, sf, F.col("value"), sensor=sensor), escape='"', quoteAll=True)
+    return conform(spark, path, Mapping(RAW_NAMES, dtypes={"at": "Datetime"}, multi_line=True))[0]
+
+
+@check(
+    "conform_csv_null_location",
+    RAW
+    + """SELECT device_id, device_type, result_time, CAST(NULL AS VARCHAR) AS location, 'v' AS property,
+       value AS property_value FROM raw""",
+)
+def _(spark, sf):
+    path = _csv(spark, _raw(spark, sf, F.col("value")).drop("place"))
+    names = {c: n for c, n in RAW_NAMES.items() if n != "location"}
+    return conform(spark, path, Mapping(names, dtypes={"at": "Datetime"}, null_location=True))[0]
+
+
+@check(
+    "csv_columns",
+    "SELECT * FROM (VALUES (0, 'sensor'), (1, 'kind'), (2, 'at'), (3, 'place'), (4, 'v')) AS t(place, name)",
+)
+def _(spark, sf):
+    names = csv_columns(spark, _csv(spark, _raw(spark, sf, F.col("value"))))
+    return spark.createDataFrame(list(enumerate(names)), "place int, name string")
+
+
+@check(
+    "conform_notices",
+    "SELECT * FROM (VALUES ('absent_properties', 'gone'), ('unread_times', 'kind')) AS t(kind, columns)",
+)
+def _(spark, sf):
+    path = _csv(spark, _raw(spark, sf, F.col("value")))
+    names = RAW_NAMES | {"gone": "property"}
+    _, notices = conform(spark, path, Mapping(names, dtypes={"at": "Datetime", "kind": "Datetime"}))
+    return spark.createDataFrame([(n.kind, ",".join(n.columns)) for n in notices], "kind string, columns string")
+
+
+@check("adhoc_query_all_rows", t.with_tables(", dataset AS (SELECT * FROM iot) SELECT * FROM dataset"))
+def _(spark, sf):
+    return profile.query_dataset(t.iot(spark, sf), "SELECT * FROM dataset")
+
+
+@check(
+    "table_summary",
+    t.with_tables(
+        """SELECT (SELECT count(*) FROM iot_wide) AS nrows, 6::BIGINT AS ncols, least(20, (SELECT count(*) FROM iot_wide)) AS head,
+       'device_id:Utf8,device_type:Utf8,location:Utf8,result_time:Datetime,value:Float64,k:Float64' AS columns"""
+    ),
+)
+def _(spark, sf):
+    found = profile.table_summary(t.iot_wide(spark, sf))
+    columns = ",".join(f"{c['name']}:{c['dtype']}" for c in found["columns"])
+    row = (found["nrows"], found["ncols"], len(found["head"]), columns)
+    return spark.createDataFrame([row], "nrows bigint, ncols bigint, head bigint, columns string")
+
+
+@check("preview", t.with_tables("SELECT least(20, count(*)) AS n, 0::BIGINT AS strange FROM iot"))
+def _(spark, sf):
+    readings = t.iot(spark, sf)
+    some = profile.preview(readings)
+    strange = some.exceptAll(readings).count()
+    return some.agg(F.count(F.lit(1)).alias("n"), F.lit(strange).cast("bigint").alias("strange"))
+
+
 @check(
     "combine_sources",
     t.with_tables(
@@ -149,8 +274,8 @@ def _(spark, sf):
 SELECT device_id, device_type, result_time, location, property, property_value, CAST(NULL AS VARCHAR) AS note
 FROM iot WHERE device_type = 'view'
 UNION ALL
-SELECT device_id, device_type, result_time, location, property, CAST(CAST(property_value AS BIGINT) AS DOUBLE), NULL
-FROM iot WHERE device_type = 'click' AND property = 'k'
+SELECT device_id, device_type, result_time, location, property, CAST(CAST(floor(property_value) AS BIGINT) AS DOUBLE), NULL
+FROM iot WHERE device_type = 'click'
 UNION ALL
 SELECT device_id, device_type, result_time, NULL, property, property_value, 'faulty'
 FROM iot WHERE device_type = 'error'
@@ -166,9 +291,7 @@ def _(spark, sf):
     base = ["device_id", "device_type", "result_time"]
     sources = [
         of("view").select(*base, "location", "property", "property_value"),
-        of("click")
-        .where("property = 'k'")
-        .select(*base, "location", "property", F.col("property_value").cast("long").alias("property_value")),
+        of("click").select(*base, "location", "property", F.floor("property_value").alias("property_value")),
         of("error").select(*base, "property", "property_value", F.lit("faulty").alias("note")),
     ]
     folder = scratch_path(spark, "adjusted")
@@ -373,12 +496,13 @@ for _func, _width in [("mean", 60), ("max", 7), ("min", 60), ("median", 1440), (
     _add_object_by_window(_func, _width)
 
 
-AT_EVENTS = """, joined AS (
-  SELECT b.device_id, b.device_type, b.location, b.property, b.property_value, e.ocel_id AS ocel_event_id,
-         e.ocel_time AS result_time
-  FROM iot b JOIN event_map m ON b.device_id = m.device_id AND b.device_type = m.device_type
-  JOIN event_time e ON m.ocel_event_id = e.ocel_id AND b.result_time = e.ocel_time
-  WHERE m.ocel_type IN ('purchase', 'signup'))
+# J7: which device meets which event when, then the readings of that moment.
+AT_EVENTS = """, meetings AS (
+  SELECT device_id, device_type, ocel_event_id, ocel_time
+  FROM event_map JOIN event_time ON ocel_id = ocel_event_id AND event_map.ocel_type IN ('purchase', 'signup')),
+joined AS (
+  SELECT device_id, device_type, iot.location, property, property_value, ocel_event_id, result_time
+  FROM meetings JOIN iot USING (device_id, device_type) WHERE result_time = ocel_time)
 """
 
 
@@ -417,21 +541,24 @@ def _(spark, sf):
 
 
 def before_events(lookback: int, mapped: bool, sensor: str = "view", event: str = "purchase") -> str:
-    through = (
-        f"""JOIN event_map m ON b.device_id = m.device_id AND m.device_type = '{sensor}'
-  JOIN event_time e ON m.ocel_event_id = e.ocel_id AND"""
-        if mapped
-        else "JOIN event_time e ON"
-    )
-    return f""", base AS (
-  SELECT b.device_id, b.device_type, b.location, b.property, b.property_value, b.result_time AS iot_time,
-         e.ocel_id AS ocel_event_id, e.ocel_time AS result_time
-  FROM iot b {through} e.ocel_type = '{event}'
-   AND b.result_time <= e.ocel_time AND b.result_time >= e.ocel_time - INTERVAL {lookback} MINUTE
-  WHERE b.device_type = '{sensor}'),
+    """J8 or J9 as `base`, a row per reading and event that looks back on it; J10 and W1 as `closest`."""
+    source, meets = "spans", "true"
+    if mapped:
+        # A device that is at two objects of an event looks on it twice.
+        source = "spans JOIN event_map m USING (ocel_event_id)"
+        meets = f"m.device_type = '{sensor}' AND m.device_id = x.device_id"
+    return f""", spans AS (
+  SELECT ocel_id AS ocel_event_id, ocel_time AS until, ocel_time - INTERVAL {lookback} MINUTE AS since
+  FROM event_time WHERE ocel_type = '{event}'),
+base AS (
+  SELECT x.device_id, x.device_type, x.location, x.property, x.property_value, x.result_time AS iot_time,
+         spans.ocel_event_id, spans.until AS result_time
+  FROM {source}, (SELECT * FROM iot WHERE device_type = '{sensor}') x
+  WHERE {meets} AND x.result_time BETWEEN spans.since AND spans.until),
 closest AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ocel_event_id, property
-    ORDER BY iot_time DESC, device_id, property_value, location) AS rn FROM base) WHERE rn = 1)
+  SELECT * FROM base
+  QUALIFY 1 = row_number() OVER (
+    PARTITION BY property, ocel_event_id ORDER BY iot_time DESC, device_id, property_value, location))
 """
 
 
@@ -805,6 +932,69 @@ def _(spark, sf):
     return exported["event_purchase"]
 
 
+@check(
+    "integrate_ledger",
+    t.with_tables("SELECT * FROM (VALUES ('click', 'BUILDING'), ('view', 'MACHINERY')) AS t(device_type, ocel_type)"),
+)
+def _(spark, sf):
+    workspace = _workspace(spark, sf)
+    for kind, place in (("view", "MACHINERY"), ("click", "BUILDING"), ("view", "MACHINERY")):
+        integrate(t.iot(spark, sf), workspace, Config(kind, place, selected_type=place))
+    return workspace.read()[LEDGER].where("timestamp IS NOT NULL").select("device_type", "ocel_type")
+
+
+@check(
+    "integrate_result",
+    t.with_tables(
+        """, chosen AS (
+  SELECT * FROM iot WHERE device_type = 'view' AND device_id IN (
+    SELECT p.device_id FROM iot p JOIN object o ON p.location = o.ocel_id
+    WHERE p.device_type = 'view' AND o.ocel_type = 'MACHINERY')),
+n AS (
+  SELECT (SELECT count(*) FROM (SELECT DISTINCT location, result_time, property FROM chosen
+                                WHERE property_value IS NOT NULL)) AS main,
+         (SELECT count(*) FROM (SELECT DISTINCT location, device_id, result_time FROM chosen)) AS links)
+SELECT 1 AS run, 'success' AS status, false AS all_done, main AS main_inserted, 0::BIGINT AS main_skipped,
+       links AS links_inserted, 0::BIGINT AS links_skipped FROM n
+UNION ALL SELECT 2, 'warning', false, 0, main, 0, links FROM n
+"""
+    ),
+)
+def _(spark, sf):
+    workspace = _workspace(spark, sf)
+    config = Config("view", "MACHINERY", selected_type="MACHINERY")
+    rows = []
+    for run in (1, 2):
+        r = integrate(t.iot(spark, sf), workspace, config)
+        rows.append((run, r.status, r.all_done, r.main_inserted, r.main_skipped, r.links_inserted, r.links_skipped))
+    counts = "main_inserted bigint, main_skipped bigint, links_inserted bigint, links_skipped bigint"
+    return spark.createDataFrame(rows, f"run int, status string, all_done boolean, {counts}")
+
+
+@check(
+    "fill_event_attributes_names",
+    t.with_tables(
+        before_events(60, True)
+        + """, s AS (
+  SELECT ocel_event_id, first(property_value ORDER BY device_id, property_value)
+           FILTER (WHERE property = 'k' AND property_value IS NOT NULL) AS k,
+         first(property_value ORDER BY device_id, property_value)
+           FILTER (WHERE property = 'value' AND property_value IS NOT NULL) AS value FROM closest GROUP BY 1)
+SELECT e.ocel_id, e.ocel_time, s.k AS "Temp", s.value AS "a.b`c"
+FROM event_time e LEFT JOIN s ON s.ocel_event_id = e.ocel_id WHERE e.ocel_type = 'purchase'
+"""
+    ),
+)
+def _(spark, sf):
+    """Properties that differ in case alone share a column, and any sign may be in a name."""
+    source = maps.source_iot(t.iot(spark, sf), "view")
+    log = t.field_log(spark, sf)
+    payload = scenarios.closest_before_events(source, log, "purchase", True)
+    spelled = F.when(F.crc32(F.col("ocel_event_id").cast("binary")) % 2 == 0, F.lit("Temp")).otherwise(F.lit("temp"))
+    renamed = payload.withColumn("property", F.when(F.col("property") == "k", spelled).otherwise(F.lit("a.b`c")))
+    return persist.fill_event_attributes(log["event_purchase"].select("ocel_id", "ocel_time"), renamed).table
+
+
 # The log itself
 
 

@@ -17,6 +17,18 @@ def naive(ts: Column | str) -> Column:
     return ts.cast("timestamp_ntz")
 
 
+# A text that ends with a zone or an offset, after a time of day.
+_WITH_OFFSET = r":\d{2}(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})\s*$"
+
+
+def read_time(text: Column) -> Column:
+    """A text in an ISO form as a zone-free timestamp, null if it is none. With an offset, it is the moment in UTC,
+    whatever the session zone is."""
+    seconds = (F.unix_micros(text.try_cast("timestamp")).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    in_utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.when(text.rlike(_WITH_OFFSET), in_utc).otherwise(text.try_cast("timestamp_ntz"))
+
+
 def micros(ts: Column | str) -> Column:
     """Microseconds since 1970 of a zone-free timestamp, whatever the session zone is."""
     ts = F.col(ts) if isinstance(ts, str) else ts

@@ -86,7 +86,7 @@ def lookback_states(
         "moments",
     )
     place = ["key", "_span"]
-    calm, busy = split_hot(moments, place, hot_keys(moments, place, hot_rows, stored=moments))
+    calm, busy = split_hot(moments, place, hot_keys(moments, place, hot_rows))
     pieces = _running(calm, place, merges)
     if busy is not None:
         pieces = pieces.unionByName(_running_in_slots(busy, span, merges))

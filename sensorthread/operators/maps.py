@@ -52,11 +52,15 @@ def device_event_map(
     related = event_object.select(F.col("ocel_object_id").alias("location"), "ocel_event_id").join(
         typed, "ocel_event_id", "left"
     )
-    return (
-        device_places(readings)
-        .join(related, "location", "left")
-        .select("device_id", "location", "ocel_event_id", "ocel_type", "ocel_type_map", "event_table_name")
-    )
+    columns = ["device_id", "location", "ocel_event_id", "ocel_type", "ocel_type_map", "event_table_name"]
+    places = device_places(readings)
+    # Adaptive execution splits either side of an inner join, also the place with most of the events, but not the right
+    # side of a left join. Devices without events come by themselves.
+    met = places.join(related, "location").select(*columns)
+    eventful = related.select("location").distinct()
+    bare = places.join(eventful, "location", "left_anti")
+    empty = [F.lit(None).cast(met.schema[c].dataType).alias(c) for c in columns[2:]]
+    return met.unionAll(bare.select("device_id", "location", *empty))
 
 
 def refine_source(

@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorthread.session import freeze
+from sensorthread.session import freeze, written
 
 # Rows of one group that a single task may sort or hold.
 HOT_ROWS = 4_000_000
 
+# Rows that a piece of a hot group has, about.
+CHUNK_ROWS = 1_000_000
+
 # Rows of one group whose values a single task may hold in memory, which the built-in median does.
 MEDIAN_ROWS = 200_000
 
@@ -24,14 +27,9 @@ def packed(keys: list[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys])
 
 
-def hot_keys(
-    df: DataFrame, keys: list[str], hot_rows: int, stored: DataFrame | None = None
-) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
     """Keys (as `_key`) with more than `hot_rows` rows, or None if there are none. Counting combines on the map
-    side, so a hot key costs no more to find than any other. `stored` is a table with at least as many rows whose
-    number is quick to get (from file footers); if it is small, nothing can be hot."""
-    if stored is not None and stored.count() <= hot_rows:
-        return None
+    side, so a hot key costs no more to find than any other."""
     sizes = df.groupBy(packed(keys).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.where(F.col("_rows") > hot_rows).select("_key")
     return None if hot.isEmpty() else freeze(hot)
@@ -49,9 +47,12 @@ def split_hot(df: DataFrame, keys: list[str], hot: DataFrame | None) -> tuple[Da
 
 
 def ordered_chunks(df: DataFrame, order: list[str]) -> DataFrame:
-    """Number the contiguous, evenly sized pieces of the rows in `order`. The numbers are saved with the
-    rows, because the cut points come from a sample that a second run of the plan would draw anew."""
-    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Number the contiguous, evenly sized pieces of the rows in `order`, as many as bound a piece by CHUNK_ROWS. The
+    numbers are saved with the rows, because the cut points come from a sample that a second run of the plan would draw
+    anew."""
+    df = written(df, "to-chunk")
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = max(least, -(-df.count() // CHUNK_ROWS))
     return freeze(df.repartitionByRange(pieces, *order).withColumn("_chunk", F.spark_partition_id()))
 
 
@@ -99,10 +100,9 @@ def group_median(
     value: str,
     out: str,
     hot_rows: int = HOT_ROWS,
-    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Exact median (interpolated) per group; null where a group has no value."""
-    calm, busy = split_hot(df, keys, hot_keys(df, keys, min(hot_rows, MEDIAN_ROWS), stored))
+    calm, busy = split_hot(df, keys, hot_keys(df, keys, min(hot_rows, MEDIAN_ROWS)))
     result = calm.groupBy(*keys).agg(F.median(value).alias(out))
     if busy is None:
         return result
@@ -146,7 +146,8 @@ def _median_in_chunks(df: DataFrame, keys: list[str], value: str, out: str) -> D
         ranked.withColumn("_hits", hits)
         .where(F.col("_hits") > 0)
         .groupBy("_key")
-        .agg((F.sum(F.col("_v") * F.col("_hits")) / 2).alias(out))
+        # Halved before they are added, as the built-in median does: sums of great values stay finite.
+        .agg(F.sum(F.col("_v") / 2 * F.col("_hits")).alias(out))
     )
     # Groups whose values are all null keep their row.
     groups = df.select(packed(keys).alias("_key")).distinct()

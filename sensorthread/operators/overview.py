@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorthread.operators.log import EventLog
 from sensorthread.operators.ordered import HOT_ROWS, hot_keys, with_successor
+from sensorthread.session import written
 
 
 def overview(log: EventLog) -> DataFrame:
@@ -92,24 +93,31 @@ def directly_follows(log: EventLog, hot_rows: int = HOT_ROWS) -> DataFrame:
     objects, and pairs of events. Events of an object are ordered by time, then by id."""
     # An object has no more steps than relations, so hot objects show without the joins.
     relations = log["event_object"].select(F.col("ocel_object_id").alias("object"))
-    hot = hot_keys(relations, ["object"], hot_rows, stored=relations)
+    hot = hot_keys(relations, ["object"], hot_rows)
     steps = with_successor(_steps(log), ["object"], ["time", "event"], ["event", "activity"], hot).where(
         # Equal rows are neighbours; a step from an event to itself is none.
         F.col("next_event") != F.col("event")
     )
-    return steps.groupBy("object_type", "activity", F.col("next_activity")).agg(
-        F.count(F.lit(1)).alias("occurrences"),
-        F.count_distinct("object").alias("objects"),
-        F.count_distinct("event", "next_event").alias("event_pairs"),
-    )
+    edge = ["object_type", "activity", "next_activity"]
+    # Read by two counts, which each group the steps once: rows that differ in object, and in the pair of events.
+    steps = written(steps.select(*edge, "object", "event", "next_event"), "steps")
+    by_object = steps.groupBy(*edge, "object").agg(F.count(F.lit(1)).alias("n"))
+    objects = by_object.groupBy(*edge).agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("objects"))
+    pairs = steps.select(*edge, "event", "next_event").distinct().groupBy(*edge).agg(F.count(F.lit(1)).alias("event_pairs"))
+    same = [objects[c].eqNullSafe(pairs[c]) for c in edge]
+    return objects.join(pairs, same).select(*[objects[c] for c in edge], "occurrences", "objects", "event_pairs")
 
 
 def start_and_end_activities(log: EventLog) -> DataFrame:
     """Per object type and activity, the number of objects whose life starts and ends with it."""
+    life = ["object_type", "object"]
+    steps = _steps(log)
+    # Least and greatest time first, which groups by hash; then events and activities are settled among the few steps of
+    # these times.
+    span = steps.groupBy(*life).agg(F.min("time").alias("born"), F.max("time").alias("gone"))
+    edges = steps.join(span, life).where((F.col("time") == F.col("born")) | (F.col("time") == F.col("gone")))
     moment = F.struct("time", "event", "activity")
-    ends = _steps(log).groupBy("object_type", "object").agg(
-        F.min(moment).alias("first"), F.max(moment).alias("last")
-    )
+    ends = edges.groupBy(*life).agg(F.min(moment).alias("first"), F.max(moment).alias("last"))
     sides = F.array(
         F.struct(F.col("first.activity").alias("activity"), F.lit(1).alias("s"), F.lit(0).alias("e")),
         F.struct(F.col("last.activity").alias("activity"), F.lit(0).alias("s"), F.lit(1).alias("e")),

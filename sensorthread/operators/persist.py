@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorthread.operators.reshape import (
+    column_names,
     first_object_values,
     payload_properties,
     pivot_first,
@@ -50,6 +51,11 @@ def add_property_columns(table: DataFrame, properties: list[str]) -> tuple[DataF
     return grown, {p: names[p.lower()] for p in properties}
 
 
+def _quoted(name: str) -> Column:
+    """A column by its exact name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _marked(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates with `_there`: whether the table has their key. A null in the key never matches. Rows and counts
     both come from this, so it is computed once and kept."""
@@ -71,6 +77,7 @@ def insert_object_attributes(
     """One new row per place, time and property, unless the table has that change already."""
     if properties is None:
         properties = payload_properties(payload)
+    column_names(properties, ["ocel_id", "ocel_time", "ocel_changed_field"])
     grown, column_of = add_property_columns(table, properties)
     changes = first_object_values(payload).select(
         F.col("location").alias("ocel_id"),
@@ -97,24 +104,22 @@ def fill_event_attributes(
     any cell is filled, else as skipped; payload events the table lacks count as neither."""
     if properties is None:
         properties = payload_properties(payload)
+    own = column_names(properties, ["ocel_id", "ocel_time"])
     grown, column_of = add_property_columns(table, properties)
-    source = pivot_first(payload, ["ocel_event_id"], properties).select(
-        F.col("ocel_event_id").alias("ocel_id"),
-        F.lit(True).alias("_in_payload"),
-        *[F.col(f"`{p}`").alias(f"_new_{i}") for i, p in enumerate(properties)],
+    places = {c: f"_new_{i}" for i, c in enumerate(own)}
+    source = (
+        pivot_first(payload, ["ocel_event_id"], properties)
+        .toDF("ocel_id", *places.values())
+        .withColumn("_in_payload", F.lit(True))
     )
-    joined = grown.join(source, "ocel_id", "left")
-    fresh: dict[str, list[Column]] = {}
-    for i, prop in enumerate(properties):
-        column = column_of[prop]
-        value = F.col(f"_new_{i}").cast(grown.schema[column].dataType)
-        fresh.setdefault(column, []).append(value)
-    gains = [F.col(f"`{c}`").isNull() & F.coalesce(*v).isNotNull() for c, v in fresh.items()]
+    # Kept, as rows and counts both come from it: the pivot and the join run once.
+    joined = written(grown.join(source, "ocel_id", "left"), "joined")
+    fresh = {
+        column_of[c]: F.col(place).cast(grown.schema[column_of[c]].dataType) for c, place in places.items()
+    }
+    gains = [_quoted(c).isNull() & v.isNotNull() for c, v in fresh.items()]
     filled = joined.select(
-        *[
-            F.coalesce(F.col(f"`{c}`"), *fresh[c]).alias(c) if c in fresh else F.col(f"`{c}`")
-            for c in grown.columns
-        ]
+        *[F.coalesce(_quoted(c), fresh[c]).alias(c) if c in fresh else _quoted(c) for c in grown.columns]
     )
     gained = F.greatest(F.lit(False), F.lit(False), *gains)
     counts = _counts(joined.where("_in_payload").select((~gained).alias("_there")))

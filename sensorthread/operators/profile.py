@@ -48,11 +48,12 @@ def device_type_stats(readings: DataFrame) -> DataFrame:
     )
 
 
-def query_dataset(df: DataFrame, sql: str, limit: int = 1_000) -> DataFrame:
-    """Run a SELECT (or WITH ... SELECT) on the relation `dataset`, at most `limit` rows."""
+def query_dataset(df: DataFrame, sql: str, limit: int | None = None) -> DataFrame:
+    """Run a SELECT (or WITH ... SELECT) on the relation `dataset`: all rows, or at most `limit` if one is given."""
     text = sql.strip().rstrip(";")
     if not text.lower().startswith(("select", "with")):
         raise ValueError("only SELECT queries are allowed")
     df.createOrReplaceTempView("dataset")
     # As a subquery, nothing but a query parses, and a LIMIT of its own stays inside.
-    return df.sparkSession.sql(f"SELECT * FROM ({text}) AS q").limit(limit)
+    rows = df.sparkSession.sql(f"SELECT * FROM ({text}) AS q")
+    return rows if limit is None else rows.limit(limit)

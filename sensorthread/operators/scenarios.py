@@ -42,13 +42,13 @@ def choose_scenario(attribute_type: str, associations: list) -> Scenario:
 
 
 def aggregate_values(
-    df: DataFrame, keys: list[str], func: str, hot_rows: int = HOT_ROWS, stored: DataFrame | None = None
+    df: DataFrame, keys: list[str], func: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """`property_value` as the named aggregate of its values, per key; `stored` as for `hot_keys`."""
     func = aggregate_name(func)
     valued = df.withColumn("property_value", F.col("property_value").cast("double"))
     if func == "median":
-        return group_median(valued, keys, "property_value", "property_value", hot_rows, stored)
+        return group_median(valued, keys, "property_value", "property_value", hot_rows)
     value = BUILT_IN[func]("property_value").cast("double").alias("property_value")
     return valued.groupBy(*keys).agg(value)
 
@@ -74,7 +74,7 @@ def object_payload_by_window(readings: DataFrame, func: str, width: int, hot_row
             F.max("result_time").alias("result_time"), value.alias("property_value")
         )
     last = timed.groupBy(packed(keys).alias("_key")).agg(F.max("result_time").alias("result_time"))
-    medians = aggregate_values(timed, keys, func, hot_rows, stored=readings).select(
+    medians = aggregate_values(timed, keys, func, hot_rows).select(
         packed(keys).alias("_key"), "property_value"
     )
     return last.join(medians, "_key").select("_key.*", "result_time", "property_value")
@@ -265,11 +265,15 @@ def closest_before_events(
         for c in ("device_id", "property_value", "location", "device_type")
         for part in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))
     ]
-    best = written(keyed.groupBy(*by, "key", "us").agg(F.min(F.struct(*ordered)).alias("best")), "readings")
-    # The windows carry only the newest time; which reading that is comes from a join on key and time.
-    probes = _probes(best, events.select(*by, "us").distinct(), by, lookback)
-    newest = lookback_states(best, probes, lookback, {"last": Measure(F.col("us"), F.max)}, hot_rows)
-    picks = newest.join(best.select("key", F.col("us").alias("last"), "best"), ["key", "last"])
+    # The windows carry only the newest time, from distinct keys and times, which are grouped by hash. Which reading that
+    # is, and which of equally new ones, is settled among the readings of the few picked times.
+    moments = written(keyed.select(*by, "key", "us").distinct(), "moments")
+    probes = _probes(moments, events.select(*by, "us").distinct(), by, lookback)
+    newest = lookback_states(moments, probes, lookback, {"last": Measure(F.col("us"), F.max)}, hot_rows)
+    newest = written(newest, "newest")
+    wanted = newest.select("key", F.col("last").alias("us")).distinct()
+    best = keyed.join(wanted, ["key", "us"], "left_semi").groupBy("key", "us").agg(F.min(F.struct(*ordered)).alias("best"))
+    picks = newest.join(best.withColumnRenamed("us", "last"), ["key", "last"])
     if mapped:
         picks = picks.withColumn("place", F.col("key.place"))
     # An event with several objects has one pick per object; the least (age, reading) is the event's.

@@ -65,7 +65,7 @@ def _from_arrays(rows: DataFrame, place: list[str], reach: int) -> DataFrame:
     def middle(values: Column) -> Column:
         n = F.size(values)
         low, high = F.get(values, F.floor((n - 1) / 2).cast("int")), F.get(values, F.floor(n / 2).cast("int"))
-        return F.when(n > 0, (low["v"] + high["v"]) / 2)
+        return F.when(n > 0, low["v"] / 2 + high["v"] / 2)
 
     def window(moment: Column) -> Column:
         values = F.filter("known", lambda r: sees(r["us"], moment))
@@ -112,7 +112,7 @@ def _by_rank(rows: DataFrame, lookback: int) -> DataFrame:
     middles = (
         searches.join(ranked.select("key", F.col("rank").alias("prefix"), "v"), ["key", "prefix"])
         .groupBy("key", "us")
-        .agg((F.sum("v") / 2).alias("value"))
+        .agg(F.sum(F.col("v") / 2).alias("value"))
     )
     return sizes.join(middles, ["key", "us"], "left").select(F.col("key.key"), "us", "value")
 

@@ -12,7 +12,7 @@ from sensorthread.functions.conditions import Bound, Condition, threshold_predic
 from sensorthread.operators import maps, persist, scenarios
 from sensorthread.operators.log import EventLog
 from sensorthread.operators.persist import Association
-from sensorthread.operators.reshape import payload_properties
+from sensorthread.operators.reshape import column_names, payload_properties
 from sensorthread.operators.scenarios import Scenario
 from sensorthread.schema import (
     EVENT_LINK,
@@ -31,6 +31,10 @@ PAYLOAD = "processed_iot_payload"
 PASS, FILTER, AGGREGATE = "1", "2", "3"
 
 
+# Columns of the target tables that no property may be named like.
+KEY_COLUMNS = {"1": ["ocel_id", "ocel_time", "ocel_changed_field"], "2": ["ocel_id", "ocel_time"]}
+
+
 @dataclass(frozen=True)
 class Config:
     """What to integrate: readings of `device_type` at objects of `selected_type` (or NONE for all), written as
@@ -54,14 +58,22 @@ class Config:
 
 @dataclass(frozen=True)
 class Result:
-    status: str
-    message: str
+    """Rows written and rows that were there already, of the attributes and of the links; `all_done` says that no pair
+    of device and object type is left to integrate."""
+
     all_done: bool
     main_inserted: int
     main_skipped: int
     links_inserted: int
     links_skipped: int
 
+    @property
+    def status(self) -> str:
+        """`warning` if there was something to write and all of it existed."""
+        wrote = self.main_inserted + self.links_inserted > 0
+        existed = self.main_skipped + self.links_skipped > 0
+        return "warning" if existed and not wrote else "success"
+
 
 def _keep(config: Config) -> Column | None:
     if config.logic != FILTER:
@@ -111,15 +123,30 @@ def _target_table(readings: DataFrame, log: EventLog, config: Config) -> str:
     return log.table_name("object", config.ocel_type)
 
 
+def _check_events(readings: DataFrame, log: EventLog, config: Config) -> None:
+    """Readings at events need an event at a place of the chosen devices, of a type that has a table."""
+    if config.attribute_type != "1" or not config.associations:
+        return
+    places = maps.device_places(readings).select(F.col("location").alias("ocel_object_id"))
+    related = log["event_object"].join(places, "ocel_object_id", "left_semi").select("ocel_event_id")
+    mapped = log["event"].join(log["event_map_type"].select("ocel_type"), "ocel_type", "left_semi")
+    if related.join(mapped.select(F.col("ocel_id").alias("ocel_event_id")), "ocel_event_id", "left_semi").isEmpty():
+        raise ValueError("no event of a mapped type takes place where the chosen devices are")
+
+
 def integrate(readings: DataFrame, workspace: Workspace, config: Config) -> Result:
     """Run one integration on the combined readings and save the log as a new version."""
     spark = readings.sparkSession
     log = workspace.read()
     chosen = maps.refine_source(readings, config.device_type, log["object"], config.selected_type)
     target = _target_table(chosen, log, config)
+    _check_events(chosen, log, config)
 
+    made = process(chosen, log, config)
+    # Names that cannot become columns end the run before it has written anything.
+    column_names(payload_properties(chosen), KEY_COLUMNS[config.attribute_type])
     # The payload is saved first: the writes below read it several times, and it is part of the record.
-    log = workspace.commit({PAYLOAD: process(chosen, log, config)})
+    log = workspace.commit({PAYLOAD: made})
     payload = log[PAYLOAD]
     properties = payload_properties(payload)
 
@@ -146,29 +173,10 @@ def integrate(readings: DataFrame, workspace: Workspace, config: Config) -> Resu
         added[target] = main.added
     log = workspace.commit(changed, added)
     remaining = maps.remaining_count(readings, log["object"], log[LEDGER]).first()["remaining"]
-    return _result(
+    return Result(
+        remaining == 0,
         main_counts["inserted"],
         main_counts["skipped"],
         link_counts["inserted"],
         link_counts["skipped"],
-        remaining == 0,
     )
-
-
-def _result(
-    main_inserted: int, main_skipped: int, links_inserted: int, links_skipped: int, all_done: bool
-) -> Result:
-    inserted, skipped = main_inserted + links_inserted, main_skipped + links_skipped
-    status, message = "success", "Integration completed."
-    if inserted == 0 and skipped > 0:
-        status, message = "warning", "Data already exists. No new data was inserted."
-    elif inserted > 0:
-        parts = []
-        if main_inserted:
-            parts.append(f"{main_inserted} attributes inserted")
-        if links_inserted:
-            parts.append(f"{links_inserted} object links created")
-        if skipped:
-            parts.append(f"{skipped} entries skipped")
-        message = f"{message} ({', '.join(parts)})."
-    return Result(status, message, all_done, main_inserted, main_skipped, links_inserted, links_skipped)

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorthread.functions.clock import read_time
 from sensorthread.schema import TYPE_LABELS
 
-INFER_ROWS = 5_000  # Fixed value: rows looked at to propose a schema.
-
 # Texts that are a date, or a date and a time.
 _DATE_LIKE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?\s*$"
 
@@ -24,11 +23,9 @@ def csv_columns(spark: SparkSession, path: str) -> list[str]:
     return _as_text(spark, path, False).columns
 
 
-def infer_types(text: DataFrame, sample_rows: int = INFER_ROWS) -> T.StructType:
-    """The narrowest type that every value of the first rows can be read as."""
+def infer_types(text: DataFrame) -> T.StructType:
+    """The narrowest type that every value can be read as. One aggregate over all rows, so no later value can differ."""
     columns = text.columns
-    # take() reads only as many partitions as it needs; the sample is bounded, whatever the file size.
-    sample = text.sparkSession.createDataFrame(text.take(sample_rows), text.schema)
 
     def all_read(readable: Column, value: Column) -> Column:
         return F.bool_and(F.when(value.isNotNull(), readable))
@@ -39,12 +36,12 @@ def infer_types(text: DataFrame, sample_rows: int = INFER_ROWS) -> T.StructType:
         whole = value.rlike(r"^\s*[+-]?\d+\s*$") & value.try_cast("long").isNotNull()
         number = value.try_cast("double").isNotNull() & value.rlike(r"\d|(?i)nan|inf")
         flag = F.lower(F.trim(value)).isin("true", "false")
-        time = value.rlike(_DATE_LIKE) & value.try_cast("timestamp_ntz").isNotNull()
+        time = value.rlike(_DATE_LIKE) & read_time(F.trim(value)).isNotNull()
         tests += [
             all_read(test, value).alias(f"{label}_{i}")
             for label, test in (("Int64", whole), ("Float64", number), ("Boolean", flag), ("Datetime", time))
         ]
-    found = sample.agg(*tests).first()
+    found = text.agg(*tests).first()
     fields = []
     for i, name in enumerate(columns):
         # A column without values reads as anything; it stays text.
@@ -57,22 +54,21 @@ def _typed(name: str, dtype: T.DataType) -> Column:
     value = F.col(f"`{name}`")
     if isinstance(dtype, T.StringType):
         return value
+    if isinstance(dtype, T.TimestampNTZType):
+        return read_time(F.trim(value)).alias(name)
     return F.trim(value).cast(dtype).alias(name)
 
 
-def read_iot_csv(
-    spark: SparkSession, path: str, sample_rows: int = INFER_ROWS, multi_line: bool = False
-) -> DataFrame:
-    """A CSV with types inferred from its first rows; a later value that does not fit is an error."""
+def read_iot_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV with types inferred from all of its rows."""
     text = _as_text(spark, path, multi_line)
-    return text.select(*[_typed(f.name, f.dataType) for f in infer_types(text, sample_rows)])
+    return text.select(*[_typed(f.name, f.dataType) for f in infer_types(text)])
 
 
 def read_with_overrides(
     spark: SparkSession,
     path: str,
     dtypes: dict[str, str],
-    sample_rows: int = INFER_ROWS,
     multi_line: bool = False,
 ) -> tuple[DataFrame, list[str]]:
     """A CSV with the labelled columns of the given types and the others inferred. Columns labelled Datetime come
@@ -83,7 +79,7 @@ def read_with_overrides(
         if label not in TYPE_LABELS:
             raise ValueError(f"unsupported type {label!r}; use one of {', '.join(TYPE_LABELS)}")
     rest = [c for c in text.columns if c not in given]
-    inferred = infer_types(text.select(*[F.col(f"`{c}`") for c in rest]), sample_rows) if rest else []
+    inferred = infer_types(text.select(*[F.col(f"`{c}`") for c in rest])) if rest else []
     types = {f.name: f.dataType for f in inferred}
     times = [c for c in text.columns if given.get(c) == "Datetime"]
     for c, label in given.items():

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timezone
 from pathlib import Path
 
 import pyarrow as pa
@@ -50,12 +50,19 @@ def _column_type(declared: str):
 
 def _time(value: str) -> datetime:
     parsed = datetime.fromisoformat(str(value).strip())
-    return parsed.replace(tzinfo=None)
+    return parsed.astimezone(timezone.utc).replace(tzinfo=None) if parsed.tzinfo else parsed
+
+
+def _whole(value) -> int:
+    whole = int(value)
+    if whole != value and str(whole) != str(value).strip():
+        raise ValueError(f"{value!r} in a column of whole numbers")
+    return whole
 
 
 _CONVERT = {
     TimestampNTZType: (_time, pa.timestamp("us")),
-    LongType: (int, pa.int64()),
+    LongType: (_whole, pa.int64()),
     DoubleType: (float, pa.float64()),
     StringType: (str, pa.string()),
 }

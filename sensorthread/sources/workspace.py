@@ -1,12 +1,16 @@
 """A workspace: the tables of an event log as Parquet folders.
 
-A run writes new rows, and tables whose rows changed, to new folders, then one manifest that names the folders of
-every table. A reader follows the newest manifest, so it sees all of a run or nothing of it, and no run overwrites
-what it reads. Adding rows costs their own size, not that of the table.
+A run writes new rows, and tables whose rows changed, to folders of its own with random names, then one manifest that
+names the folders of every table. A reader follows the newest manifest, so it sees all of a run or nothing of it, and no
+run overwrites what it reads. A run that fails leaves folders that no manifest names, and the next one is not disturbed.
+Of two runs at once the one that writes its manifest last fails, and can be run again. Adding rows costs their own size,
+not that of the table; `compact` makes one folder of many.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sensorthread.operators.combine import combine
@@ -41,18 +45,33 @@ class Workspace:
         self.root = root.rstrip("/")
 
     def _manifest(self) -> tuple[int, dict[str, list[str]]]:
-        """Number of the newest version and its folders by table; a manifest has one row per folder."""
-        folder = f"{self.root}/manifest"
-        if not exists(self.spark, folder):
-            return 0, {}
-        rows = self.spark.read.schema("name string, position int, path string, version long").json(folder)
-        newest = rows.agg({"version": "max"}).first()[0]
-        if newest is None:
+        """Number of the newest version and its folders by table; a manifest has one row per folder.
+
+        Versions are listed by name; only complete ones, which have a success mark, count, and one is read.
+        """
+        target, files = _hadoop_path(self.spark, f"{self.root}/manifest")
+        if not files.exists(target):
             return 0, {}
-        paths: dict[str, list[str]] = {}
-        for r in sorted(rows.where(rows.version == newest).collect(), key=lambda r: (r.name, r.position)):
-            paths.setdefault(r.name, []).append(r.path)
-        return newest, paths
+        names = [s.getPath().getName() for s in files.listStatus(target)]
+        numbers = sorted((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), reverse=True)
+        for number in numbers:
+            folder = f"{self.root}/manifest/version={number}"
+            if not exists(self.spark, f"{folder}/_SUCCESS"):
+                continue
+            paths: dict[str, list[str]] = {}
+            rows = self.spark.read.schema("name string, position int, path string").json(folder).collect()
+            for r in sorted(rows, key=lambda r: (r.name, r.position)):
+                paths.setdefault(r.name, []).append(r.path)
+            return number, paths
+        return 0, {}
+
+    def _newest_number(self) -> int:
+        """The greatest number of a manifest that was begun, complete or not."""
+        target, files = _hadoop_path(self.spark, f"{self.root}/manifest")
+        if not files.exists(target):
+            return 0
+        names = [s.getPath().getName() for s in files.listStatus(target)]
+        return max([int(n.removeprefix("version=")) for n in names if n.startswith("version=")], default=0)
 
     def exists(self) -> bool:
         return self._manifest()[0] > 0
@@ -71,18 +90,28 @@ class Workspace:
     ) -> EventLog:
         """Save a new version: tables in `changed` get new rows only, tables in `added` keep theirs and get more,
         the others stay as they are, or go if `replace`."""
-        version, paths = self._manifest()
-        version += 1
+        read, paths = self._manifest()
+        begun = self._newest_number()
         paths = {} if replace else paths
         for name, df in [*changed.items(), *(added or {}).items()]:
-            path = f"tables/{name}/v{version}"
+            path = f"tables/{name}/{uuid.uuid4().hex}"
             _write(df, f"{self.root}/{path}")
             paths[name] = [path] if name in changed else [*paths.get(name, []), path]
+        if self._manifest()[0] != read:
+            raise RuntimeError("another run has changed the workspace meanwhile; run this one again")
         rows = [(name, i, path) for name, ps in sorted(paths.items()) for i, path in enumerate(ps)]
         manifest = self.spark.createDataFrame(rows, "name string, position int, path string")
-        manifest.coalesce(1).write.json(f"{self.root}/manifest/version={version}")
+        # The writer refuses a number that is taken, so one of two runs fails here.
+        manifest.coalesce(1).write.json(f"{self.root}/manifest/version={begun + 1}")
         return self.read()
 
+    def compact(self, least: int = 2) -> EventLog:
+        """Write tables of `least` folders or more as one folder each; the rows stay the same."""
+        _, paths = self._manifest()
+        log = self.read()
+        many = {name: log[name] for name, ps in paths.items() if len(ps) >= least}
+        return self.commit(many) if many else log
+
 
 def init_workspace(source: EventLog, workspace: Workspace, overwrite: bool = False) -> bool:
     """Copy a log into the workspace. An existing copy is kept unless `overwrite`; returns whether it copied."""

@@ -3,6 +3,8 @@
 import random
 import statistics
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,14 @@ def test_chunks_are_even_and_in_order(skewed):
     assert all(key(x[1]) < key(y[0]) for x, y in zip(ordered, ordered[1:]))
 
 
+@pytest.mark.parametrize("hot_rows", [1, 10**9])
+def test_median_of_extremes(spark, hot_rows):
+    rows = [("a", 1.7e308), ("a", 1.7e308), ("b", math.inf), ("b", 1.0), ("c", -math.inf), ("c", 2.0), ("c", math.nan)]
+    df = spark.createDataFrame([*rows, ("d", None)], "g string, v double")
+    got = {r.g: r.m for r in group_median(df, ["g"], "v", "m", hot_rows).collect()}
+    assert got == {"a": 1.7e308, "b": math.inf, "c": 2.0, "d": None}
+
+
 @pytest.mark.parametrize("hot_rows", [10, 500, 10**9])
 def test_median(skewed, hot_rows):
     got = {r.g: r.m for r in group_median(skewed, ["g"], "v", "m", hot_rows).collect()}

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from sensorthread.operators.combine import combine
 from sensorthread.operators.profile import column_profile, preview, query_dataset, table_summary
 from sensorthread.operators.reshape import pivot_first, stack_properties
-from sensorthread.plans.conform import Mapping, conform, ensure_location, parse_times, select_allowed, validate_mapping
+from sensorthread.functions.clock import read_time
+from sensorthread.plans.conform import Notice, Mapping, conform, ensure_location, parse_times, select_allowed, validate_mapping
 from sensorthread.schema import CANONICAL_NAMES
 from sensorthread.sources.csv import csv_columns, read_iot_csv, read_with_overrides
 from sensorthread.sources.parquet import read_combined, write_adjusted, write_combined
@@ -32,8 +33,21 @@ def test_columns_and_inferred_types(spark, csv):
     types = dict(read_iot_csv(spark, csv).dtypes)
     assert types["temp"] == "double" and types["hum"] == "bigint" and types["state"] == "boolean"
     assert types["at"] == "string" and types["note"] == "string"
-    times = dict(read_iot_csv(spark, csv, sample_rows=2).dtypes)
-    assert times["at"] == "timestamp_ntz"
+
+
+def test_types_come_from_all_rows(spark, tmp_path):
+    lines = "".join(f"{i},2024-01-01 10:00:00\n" for i in range(6_000))
+    (tmp_path / "t.csv").write_text(f"a,b\n{lines}1.5,2024-01-01T10:00:00+02:00\n")
+    df = read_iot_csv(spark, str(tmp_path / "t.csv"))
+    assert dict(df.dtypes) == {"a": "double", "b": "timestamp_ntz"}
+    assert df.where("a = 1.5 AND b = timestamp_ntz'2024-01-01 08:00:00'").count() == 1
+
+
+def test_offsets_and_zones(spark):
+    texts = ["2024-01-01T10:00:00+02:00", "2024-01-01T08:00:00Z", "2024-01-01 08:00:00", "2024-01-01 06:30:00-0130", "x"]
+    df = spark.createDataFrame([(x,) for x in texts], "a string")
+    got = [r[0] for r in df.select(read_time(F.col("a"))).collect()]
+    assert got == [datetime(2024, 1, 1, 8)] * 4 + [None]
 
 
 def test_a_column_without_values_is_text(spark, tmp_path):
@@ -64,7 +78,7 @@ def test_conform_keeps_nulls_and_widens(spark, csv):
     assert dict(df.dtypes)["property_value"] == "double"
     assert df.count() == 6 and df.where("property_value IS NULL").count() == 1
     assert df.where("result_time IS NULL").count() == 2
-    assert any("gone" in w for w in warnings)
+    assert Notice("absent_properties", ("gone",)) in warnings
 
 
 def test_text_among_the_properties_makes_all_values_text(spark, csv):
@@ -75,7 +89,7 @@ def test_text_among_the_properties_makes_all_values_text(spark, csv):
 def test_times_that_never_parse_stay_text(spark):
     df = spark.createDataFrame([("x", "31.12.2024 10:00"), ("y", None)], "a string, b string")
     out, warnings = parse_times(df, ["a", "b"])
-    assert dict(out.dtypes)["a"] == "string" and len(warnings) == 2
+    assert dict(out.dtypes)["a"] == "string" and warnings == [Notice("unread_times", ("a", "b"))]
     out, warnings = parse_times(df, ["b"], ["dd.MM.yyyy HH:mm"])
     assert not warnings and [r.b for r in out.collect()] == [datetime(2024, 12, 31, 10), None]
 
@@ -94,7 +108,7 @@ def test_mapping_must_cover_the_schema():
 def test_null_location(spark, csv):
     names = {k: v for k, v in NAMES.items() if v != "location"} | {"temp": "property"}
     df, warnings = conform(spark, csv, Mapping(names, null_location=True))
-    assert df.where("location IS NULL").count() == 3 and warnings == ["Location column added with null values."]
+    assert df.where("location IS NULL").count() == 3 and warnings == [Notice("null_location", ("location",))]
     assert ensure_location(df, True)[1] == []
 
 
@@ -114,7 +128,7 @@ def test_select_keeps_input_order(spark):
 def test_stack_and_pivot_are_inverse(spark):
     rows = [("o1", "d1", 1.0, 2.0), ("o2", "d2", None, 4.0), ("o3", "d3", 5.0, None)]
     wide = spark.createDataFrame(rows, "location string, device_id string, a double, b double")
-    long, _ = stack_properties(wide, ["a", "b"], ["location", "device_id"])
+    long = stack_properties(wide, ["a", "b"], ["location", "device_id"])
     back = pivot_first(long, ["location"])
     assert sorted(tuple(r) for r in back.collect()) == sorted((r[0], r[2], r[3]) for r in rows)
 

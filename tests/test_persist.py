@@ -2,6 +2,7 @@ import sqlite3
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from sensorthread.operators import persist
 from sensorthread.operators.persist import Association
@@ -128,13 +129,48 @@ def workspace(spark, tmp_path, log):
     return ws
 
 
+def test_a_failed_write_does_no_harm(spark, tmp_path, small):
+    log, _ = small
+    ws = workspace(spark, tmp_path, log)
+    bad = spark.createDataFrame([("x",)], "a string").select(F.col("a").cast("int"))
+    with pytest.raises(Exception):
+        ws.commit({"extra": bad})
+    good = spark.createDataFrame([(1,)], "a int")
+    assert ws.commit({"extra": good})["extra"].count() == 1
+
+
+def test_two_writers_and_compaction(spark, tmp_path, small):
+    log, _ = small
+    ws = workspace(spark, tmp_path, log)
+    other = Workspace(spark, ws.root)
+    read = ws._manifest()
+    rows = spark.createDataFrame([(1,)], "a int")
+    other.commit({"extra": rows})
+    ws._manifest = iter([read, Workspace(spark, ws.root)._manifest()]).__next__
+    with pytest.raises(RuntimeError):
+        ws.commit({"extra": rows})
+    ws = Workspace(spark, ws.root)
+    for _ in range(3):
+        ws.commit({}, {"extra": rows})
+    assert len(ws._manifest()[1]["extra"]) == 4 and ws.read()["extra"].count() == 4
+    assert ws.compact()["extra"].count() == 4 and len(ws._manifest()[1]["extra"]) == 1
+
+
+def test_readings_at_events_need_an_event(spark, tmp_path, small):
+    log, readings = small
+    ws = workspace(spark, tmp_path, log)
+    before = ws._manifest()
+    with pytest.raises(ValueError):
+        integrate(readings, ws, Config("cam", "truck", associations=(Association("on", "go"),)))
+    assert ws._manifest() == before
+
+
 def test_object_run_twice(spark, tmp_path, small):
     log, readings = small
     ws = workspace(spark, tmp_path, log)
     config = Config("gauge", "truck", selected_type="truck", qualifier="on")
     first = integrate(readings, ws, config)
     assert (first.status, first.main_inserted, first.links_inserted) == ("success", 4, 4)
-    assert first.message == "Integration completed. (4 attributes inserted, 4 object links created)."
     assert not first.all_done
     second = integrate(readings, ws, config)
     assert (second.status, second.main_skipped, second.links_skipped) == ("warning", 4, 4)
