@@ -94,7 +94,7 @@ def test_toxic_words_anywhere_in_a_text():
 
     labels = [i % 2 for i in range(400)]
     model = toxicity.train([text(y, 80) for y in labels], labels)
-    long = [text(0, 70_000) + " vexola " + text(0, 100), text(0, 70_000)]
+    long = [text(0, 70_000) + " " + text(1, 100), text(0, 70_000)]
     assert model.score(long[0]) > 0.5 > model.score(long[1])
     checks = [(y, int(model.score(text(y, 60)) >= 0.5)) for y in labels]
     assert balanced(checks) > 0.95

@@ -65,7 +65,7 @@ def test_overlap_of_awkward_rows(spark, leaks):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(map(tuple, got), key=repr) == overlaps(rows, leaks[1] + [(30, "same")])
     clean = decontaminate.drop_contaminated(docs, bench)
-    assert clean.columns == docs.columns and clean.count() == 8
+    assert clean.columns == docs.columns and clean.count() == sum(r.n_hit == 0 for r in got)
     assert decontaminate.overlap(empty(spark), bench).count() == 0
     assert decontaminate.overlap(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
