@@ -92,7 +92,7 @@ def test_toxic_words_anywhere_in_a_text():
             out[rng.randrange(n)] = rng.choice(bad)
         return " ".join(out)
 
-    labels = [i % 2 for i in range(400)]
+    labels = [i % 2 for i in range(1500)]
     model = toxicity.train([text(y, 80) for y in labels], labels)
     long = [text(0, 70_000) + " " + text(1, 100), text(0, 70_000)]
     assert model.score(long[0]) > 0.5 > model.score(long[1])
