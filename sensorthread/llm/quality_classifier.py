@@ -34,7 +34,7 @@ SURE = 0.95
 LONG = 200
 PACK = 1 << 16
 #: Words up to which the evidence of a text is discounted: a few words say little, and such documents stay.
-FULL_WORDS = 30
+FULL_WORDS = 80
 #: Documents that score less are rejected: lower than one half, so that doubtful ones stay.
 LEAST_SCORE = 0.35
 
