@@ -58,7 +58,11 @@ def _quoted(name: str) -> Column:
 
 def _marked(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates with `_there`: whether the table has their key. A null in the key never matches. Rows and counts
-    both come from this, so it is computed once and kept."""
+    both come from this, so it is computed once and kept. Of a table with times only those of the candidates are read."""
+    if "ocel_time" in keys:
+        candidates = written(candidates, "candidates")
+        first, last = candidates.agg(F.min("ocel_time"), F.max("ocel_time")).first()
+        existing = existing.where(F.col("ocel_time").between(F.lit(first), F.lit(last)))
     there = existing.select(*keys, F.lit(True).alias("_there")).distinct()
     marked = candidates.join(there, keys, "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
     return written(marked, "marked")

@@ -23,6 +23,7 @@ from sensorthread.schema import (
     OBJECT_LINK,
     OBJECT_LINK_SCHEMA,
 )
+from sensorthread.session import temporary
 from sensorthread.sources.workspace import Workspace
 
 PAYLOAD = "processed_iot_payload"
@@ -135,7 +136,12 @@ def _check_events(readings: DataFrame, log: EventLog, config: Config) -> None:
 
 
 def integrate(readings: DataFrame, workspace: Workspace, config: Config) -> Result:
-    """Run one integration on the combined readings and save the log as a new version."""
+    """Run one integration on the combined readings and save the log as a new version. Its intermediates are removed."""
+    with temporary(readings.sparkSession):
+        return _integrate(readings, workspace, config)
+
+
+def _integrate(readings: DataFrame, workspace: Workspace, config: Config) -> Result:
     spark = readings.sparkSession
     log = workspace.read()
     chosen = maps.refine_source(readings, config.device_type, log["object"], config.selected_type)

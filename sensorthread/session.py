@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +40,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Paths given out within `temporary`, innermost last.
+_given: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other call has been given."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _given:
+        _given[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediates of what runs within when it ends, also by an error. Only for work whose results are
+    saved elsewhere by then."""
+    _given.append([])
+    try:
+        yield
+    finally:
+        for path in _given.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def freeze(df: DataFrame) -> DataFrame:

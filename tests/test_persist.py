@@ -1,3 +1,4 @@
+import os
 import sqlite3
 from datetime import datetime
 
@@ -9,6 +10,7 @@ from sensorthread.operators.persist import Association
 from sensorthread.plans.integrate import AGGREGATE, FILTER, Config, integrate
 from sensorthread.functions.conditions import Bound
 from sensorthread.schema import EVENT_LINK, EVENT_LINK_SCHEMA, LEDGER, OBJECT_LINK, OBJECT_LINK_SCHEMA, WORK_TABLES
+from sensorthread.session import shared_folder
 from sensorthread.sources.sqlite_log import read_sqlite_log
 from sensorthread.sources.workspace import Workspace, export_ocel, init_workspace
 from tests.test_scenarios import READINGS, T0, at, make_log
@@ -129,6 +131,20 @@ def workspace(spark, tmp_path, log):
     return ws
 
 
+def test_a_run_leaves_no_intermediates(spark, tmp_path, small):
+    log, readings = small
+    ws = workspace(spark, tmp_path, log)
+    folder = shared_folder(spark)
+
+    def tables():
+        return {p for p in os.listdir(folder) if "-" in p and not p.count("-") == 4}
+
+    before = tables()
+    integrate(readings, ws, Config("gauge", "truck", associations=(Association("on", "go"),)))
+    integrate(readings, ws, Config("gauge", "go", attribute_type="2"))
+    assert tables() == before
+
+
 def test_a_failed_write_does_no_harm(spark, tmp_path, small):
     log, _ = small
     ws = workspace(spark, tmp_path, log)
