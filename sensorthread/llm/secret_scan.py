@@ -67,10 +67,21 @@ def base_spans(text: str) -> list[tuple[Span, int]]:
 
 @dataclass
 class Tokens:
+    points: np.ndarray  # of the text
     start: np.ndarray
     end: np.ndarray
     small: np.ndarray  # token, feature: weights that are few
-    word: np.ndarray  # hash of the token
+
+    def words(self, which: np.ndarray) -> np.ndarray:
+        """Hashes of the tokens asked for, letters in either case alike."""
+        if not len(which):
+            return np.empty(0, np.int64)
+        length = (self.end - self.start)[which]
+        first = np.concatenate(([0], np.cumsum(length)[:-1]))
+        place = np.arange(length.sum()) - np.repeat(first, length)
+        low = self.points[np.repeat(self.start[which], length) + place].astype(np.uint64) | np.uint64(32)
+        sums = np.add.reduceat(low * _POWERS[place & 63], first)
+        return ((sums ^ (sums >> np.uint64(29))) % np.uint64(WORDS)).astype(np.int64)
 
 
 #: Sizes of the small features: length, mix of classes, changes of class, share of digits, separators before and after,
@@ -90,7 +101,7 @@ def tokenised(text: str) -> Tokens:
     start, end = edge[::2], edge[1::2]
     n = len(start)
     if not n:
-        return Tokens(start, end, np.zeros((0, len(SMALL)), np.int64), np.zeros(0, np.int64))
+        return Tokens(points, start, end, np.zeros((0, len(SMALL)), np.int64))
     length = end - start
     at = np.flatnonzero(inside)
     owner = np.repeat(np.arange(n), length)
@@ -112,10 +123,6 @@ def tokenised(text: str) -> Tokens:
         nxt = np.searchsorted(start, marked)  # the token that follows
         np.bitwise_or.at(before, nxt[nxt < n], bits[marked[nxt < n]])
         np.bitwise_or.at(after, nxt[nxt > 0] - 1, bits[marked[nxt > 0]])
-    low = points[at].astype(np.uint64) | np.uint64(32)
-    place = np.arange(len(at)) - np.repeat(np.concatenate(([0], np.cumsum(length)[:-1])), length)
-    sums = np.add.reduceat(low * _POWERS[place & 63], np.concatenate(([0], np.cumsum(length)[:-1])))
-    word = ((sums ^ (sums >> np.uint64(29))) % np.uint64(WORDS)).astype(np.int64)
     assigns = int((points == 61).sum())
     small = np.stack(
         [
@@ -130,7 +137,7 @@ def tokenised(text: str) -> Tokens:
         ],
         axis=1,
     )
-    return Tokens(start, end, small + _FIRST[:-1], word)
+    return Tokens(points, start, end, small + _FIRST[:-1])
 
 
 @dataclass
@@ -142,23 +149,30 @@ class Field:
     after: np.ndarray
     pairs: np.ndarray
 
-    def tags(self, tokens: Tokens) -> np.ndarray:
-        """0 O, 1 B, 2 I by token, the best sequence."""
-        n = len(tokens.word)
-        tags = np.zeros(n, np.int8)
-        if not n:
-            return tags
-        shape = self.small[tokens.small].sum(axis=1)
+    def most(self) -> np.ndarray:
+        """What neighbours can add at most to the score of B and of I."""
         t = self.pairs
         gain = t[:, None, 1:] + t[1:, :].T[None] - t[:, :1, None] - t[0][None, :, None]
         ends = np.maximum((t[:, 1:] - t[:, :1]).max(axis=0), (t[1:] - t[:1]).max(axis=1))
-        most = np.maximum(np.maximum(gain.max(axis=(0, 1)), ends), 0) + self.before.max(axis=0) + self.after.max(axis=0)
-        live = np.flatnonzero((shape + most >= 0).any(axis=1))
+        from_tags = np.maximum(np.maximum(gain.max(axis=(0, 1)), ends), 0)
+        return from_tags + self.before.max(axis=0) + self.after.max(axis=0)
+
+    def tags(self, tokens: Tokens, most: np.ndarray | None = None) -> np.ndarray:
+        """0 O, 1 B, 2 I by token, the best sequence. most: that of the field, if it is at hand."""
+        n = len(tokens.start)
+        tags = np.zeros(n, np.int8)
+        if not n:
+            return tags
+        shape = self.small[tokens.small[:, 0]]
+        for k in range(1, len(SMALL)):
+            shape += self.small[tokens.small[:, k]]
+        shape_and_most = shape + (self.most() if most is None else most)
+        live = np.flatnonzero((shape_and_most[:, 0] >= 0) | (shape_and_most[:, 1] >= 0))
         if not len(live):
             return tags
         score = shape[live]
-        score[live > 0] += self.before[tokens.word[live[live > 0] - 1]]
-        score[live < n - 1] += self.after[tokens.word[live[live < n - 1] + 1]]
+        score[live > 0] += self.before[tokens.words(live[live > 0] - 1)]
+        score[live < n - 1] += self.after[tokens.words(live[live < n - 1] + 1)]
         for run in np.split(np.arange(len(live)), np.flatnonzero(np.diff(live) > 1) + 1):
             first, last = live[run[0]], live[run[-1]]
             tags[first : last + 1] = self._viterbi(score[run], first > 0, last < n - 1)
@@ -188,14 +202,15 @@ def train(texts: list[str], rounds: int = ROUNDS, rate: float = 0.3, decay: floa
     rows, golds = [], []
     for text in texts:
         tokens = tokenised(text)
-        n = len(tokens.word)
+        n = len(tokens.start)
+        word = tokens.words(np.arange(n))
         gold = np.zeros(n, np.int64)
         for (_, _, _, end), begin in base_spans(text):
             own = np.flatnonzero((tokens.start < end) & (tokens.end > begin))
             gold[own] = np.where(gold[own] == 1, 1, 2)
             gold[own[:1]] = 1
-        before = np.concatenate(([WORDS], tokens.word[:-1]))
-        after = np.concatenate((tokens.word[1:], [WORDS]))
+        before = np.concatenate(([WORDS], word[:-1]))
+        after = np.concatenate((word[1:], [WORDS]))
         for s in range(0, n - n % WINDOW, WINDOW):
             e = s + WINDOW
             rows.append(np.concatenate([tokens.small[s:e], before[s:e, None], after[s:e, None]], axis=1))
@@ -245,7 +260,7 @@ def train(texts: list[str], rounds: int = ROUNDS, rate: float = 0.3, decay: floa
     return Field(weights[0], weights[1][:WORDS], weights[2][:WORDS], weights[3])
 
 
-def found_spans(text: str | None, field: Field | None) -> list[tuple[Span, int]]:
+def found_spans(text: str | None, field: Field | None, most: np.ndarray | None = None) -> list[tuple[Span, int]]:
     """All spans by start and kind, each with the place where the secret itself begins. Those of the field that touch
     no base span are added."""
     if not text:
@@ -253,7 +268,7 @@ def found_spans(text: str | None, field: Field | None) -> list[tuple[Span, int]]
     spans = base_spans(text)
     if field is not None:
         tokens = tokenised(text)
-        tags = field.tags(tokens)
+        tags = field.tags(tokens, most)
         at = np.flatnonzero(tags)
         if len(at):
             taken = [(s[2], s[3]) for s, _ in spans]
@@ -288,10 +303,11 @@ def find_secrets(docs: DataFrame, learned_from: DataFrame | None = None) -> Data
 
     def columns(doc_id, text):
         own = Field(**shared.value) if shared.value else None
+        most = own and own.most()
         return {
             "doc_id": doc_id,
             "spans": [
-                [{"kind": s[1], "start": s[2], "end": s[3], "secret": begin} for s, begin in found_spans(t, own)]
+                [{"kind": s[1], "start": s[2], "end": s[3], "secret": begin} for s, begin in found_spans(t, own, most)]
                 for t in text
             ],
         }
@@ -322,10 +338,11 @@ def redact(docs: DataFrame, learned_from: DataFrame | None = None) -> DataFrame:
 
     def run(batches):
         own = Field(**shared.value) if shared.value else None
+        most = own and own.most()
         for batch in batches:
             arrays = list(batch.columns)
             old = arrays[at].to_pylist()
-            new = [masked(t, found_spans(t, own)) for t in old]
+            new = [masked(t, found_spans(t, own, most)) for t in old]
             arrays[at] = pa.array(new, arrays[at].type)
             if sized is not None:
                 lengths = [

@@ -179,11 +179,12 @@ def test_viterbi_against_all_sequences():
         )
         text = " ".join("".join(rng.choice(list("aZ9-"), rng.integers(1, 9))) for _ in range(rng.integers(1, 7)))
         tokens = secret_scan.tokenised(text)
-        n = len(tokens.word)
+        n = len(tokens.start)
+        word = tokens.words(np.arange(n))
         score = np.zeros((n, 3))
         score[:, 1:] = field.small[tokens.small].sum(axis=1)
-        score[1:, 1:] += field.before[tokens.word[:-1]]
-        score[:-1, 1:] += field.after[tokens.word[1:]]
+        score[1:, 1:] += field.before[word[:-1]]
+        score[:-1, 1:] += field.after[word[1:]]
 
         def value(tags):
             return sum(score[i, t] for i, t in enumerate(tags)) + sum(field.pairs[a, b] for a, b in zip(tags, tags[1:]))
