@@ -37,7 +37,7 @@ from sensorthread.session import written
 
 #: Values that a sketch retains, at first and for classes that have a list in common.
 K = 32
-WIDE = 256
+WIDE = 1024
 #: Pairs of one hub that are verified together at most.
 CHUNK = 256
 
@@ -235,9 +235,9 @@ def near_duplicates(
         .agg(F.max("hub")["class"].alias("a"))
         .select("a", "b")
     )
-    star = written(verified(may_reach(star, near, wide, threshold), texts, width, part, whole), "star")
+    star = written(verified(may_reach(star, classes, k, threshold), texts, width, part, whole), "star")
     roots = connected_components(star)
-    rest = written(may_reach(_across(lists, roots, part, whole, wide), near, wide, threshold), "rest")
+    rest = written(may_reach(_across(lists, roots, part, whole, wide), classes, k, threshold), "rest")
     links = star.unionAll(verified(rest, texts, width, part, whole))
     roots = connected_components(links)
 
