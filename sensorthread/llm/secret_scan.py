@@ -281,14 +281,19 @@ def found_spans(text: str | None, field: Field | None, most: np.ndarray | None =
 
 
 def training_sample(docs: DataFrame, each: int = SAMPLE_EACH, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Texts with a base span and others, each documents at most of either, those with the least hash of their text
-    among those of chars characters at most."""
-    hint = F.rlike(F.lower("text"), F.lit(r"passw(?:or)?d|secret|token|api_?key|akia|[0-9a-f]{24}"))
-    texts = docs.where(F.length("text") <= chars).select("text", F.xxhash64("text").alias("text_hash")).distinct()
-    some = [
-        texts.where(condition).orderBy("text_hash").limit(each).select("text").collect() for condition in (hint, ~hint)
-    ]
-    return [row["text"] for rows in some for row in rows]
+    """Texts that hold a word of the base patterns and others, each texts at most of either, those with the least hashes
+    among texts of chars characters at most. Only hashes are sorted and broadcast, and copies of a text count once."""
+    low = F.lower("text")
+    hint = F.contains("text", F.lit("AKIA"))
+    for word in ("passw", "secret", "token", "apikey", "api_key"):
+        hint = hint | F.contains(low, F.lit(word))
+    texts = docs.where(F.length("text") <= chars).select("text", F.xxhash64("text").alias("text_hash"))
+    found = []
+    for condition in (hint, ~hint):
+        least = texts.where(condition).select("text_hash").distinct().orderBy("text_hash").limit(each)
+        chosen = texts.join(F.broadcast(least), "text_hash").groupBy("text_hash").agg(F.first("text").alias("text"))
+        found += [row["text"] for row in chosen.orderBy("text_hash").collect()]
+    return found
 
 
 def field_of(docs: DataFrame, each: int = SAMPLE_EACH) -> Field | None:
