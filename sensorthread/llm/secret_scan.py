@@ -149,30 +149,34 @@ class Field:
     after: np.ndarray
     pairs: np.ndarray
 
-    def most(self) -> np.ndarray:
-        """What neighbours can add at most to the score of B and of I."""
+    def most(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the tags beside a token can add at most to the score of B and of I, and what the words beside it can."""
         t = self.pairs
         gain = t[:, None, 1:] + t[1:, :].T[None] - t[:, :1, None] - t[0][None, :, None]
         ends = np.maximum((t[:, 1:] - t[:, :1]).max(axis=0), (t[1:] - t[:1]).max(axis=1))
         from_tags = np.maximum(np.maximum(gain.max(axis=(0, 1)), ends), 0)
-        return from_tags + self.before.max(axis=0) + self.after.max(axis=0)
+        return from_tags, self.before.max(axis=0) + self.after.max(axis=0)
 
-    def tags(self, tokens: Tokens, most: np.ndarray | None = None) -> np.ndarray:
+    def tags(self, tokens: Tokens, most: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """0 O, 1 B, 2 I by token, the best sequence. most: that of the field, if it is at hand."""
         n = len(tokens.start)
         tags = np.zeros(n, np.int8)
         if not n:
             return tags
+        from_tags, from_words = self.most() if most is None else most
         shape = self.small[tokens.small[:, 0]]
         for k in range(1, len(SMALL)):
             shape += self.small[tokens.small[:, k]]
-        shape_and_most = shape + (self.most() if most is None else most)
-        live = np.flatnonzero((shape_and_most[:, 0] >= 0) | (shape_and_most[:, 1] >= 0))
-        if not len(live):
-            return tags
+        # Outside whatever words and tags are beside it; then, with the words known, whatever tags are.
+        top = shape + (from_tags + from_words)
+        live = np.flatnonzero((top[:, 0] >= 0) | (top[:, 1] >= 0))
         score = shape[live]
         score[live > 0] += self.before[tokens.words(live[live > 0] - 1)]
         score[live < n - 1] += self.after[tokens.words(live[live < n - 1] + 1)]
+        open_still = (score + from_tags >= 0).any(axis=1)
+        live, score = live[open_still], score[open_still]
+        if not len(live):
+            return tags
         for run in np.split(np.arange(len(live)), np.flatnonzero(np.diff(live) > 1) + 1):
             first, last = live[run[0]], live[run[-1]]
             tags[first : last + 1] = self._viterbi(score[run], first > 0, last < n - 1)
@@ -260,7 +264,7 @@ def train(texts: list[str], rounds: int = ROUNDS, rate: float = 0.3, decay: floa
     return Field(weights[0], weights[1][:WORDS], weights[2][:WORDS], weights[3])
 
 
-def found_spans(text: str | None, field: Field | None, most: np.ndarray | None = None) -> list[tuple[Span, int]]:
+def found_spans(text: str | None, field: Field | None, most: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[Span, int]]:
     """All spans by start and kind, each with the place where the secret itself begins. Those of the field that touch
     no base span are added."""
     if not text:
