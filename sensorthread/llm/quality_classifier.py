@@ -9,8 +9,10 @@ and added up, the odds of the labels being counted once.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,15 @@ LONG = 200
 PACK = 1 << 16
 #: Words up to which the evidence of a text is discounted: a few words say little, and such documents stay.
 FULL_WORDS = 80
+#: Characters that count as a word in scripts without spaces, and bytes in any other run without white space.
+UNSPACED_CHARS = 2
+RUN_BYTES = 24
 #: Documents that score less are rejected: lower than one half, so that doubtful ones stay.
 LEAST_SCORE = 0.35
 
+#: Thai, Lao, Tibetan, Burmese, Khmer; kana and ideographs.
+_UNSPACED = re.compile("[\u0e01-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
 _SHAPE = bytes(
     97 if 97 <= b <= 122 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 120 if b > 127 else b for b in range(256)
 )
@@ -54,6 +62,17 @@ def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return ids, values / size if size else values
 
 
+def full_share(text: str | None) -> float:
+    """How much of FULL_WORDS a text has, 1 at most: words between any white space, as text_view splits them. Where they
+    are fewer, characters of scripts without spaces and bytes of long runs count too."""
+    words = text.encode("utf-8", "surrogatepass").split(None, FULL_WORDS) if text else []
+    n = len(words)
+    if 0 < n < FULL_WORDS:
+        unspaced = sum(1 for _ in islice(_UNSPACED.finditer(text), UNSPACED_CHARS * FULL_WORDS))
+        n = max(n, unspaced / UNSPACED_CHARS, sum(map(len, words)) / RUN_BYTES)
+    return min(1.0, n / FULL_WORDS)
+
+
 def _squeezed(word: bytes) -> bytes:
     """Kinds of characters, runs of one kind as one."""
     shape = word.translate(_SHAPE)
@@ -153,7 +172,7 @@ class Model:
         odds = self.text_line[0] * float(self.text[ids] @ values) + self.text_line[1]
         ids, values = metadata_view(text, source, lang, n_chars)
         odds += self.meta_line[0] * float(self.meta[ids] @ values) + self.meta_line[1]
-        odds *= min(1.0, (text or "").count(" ") / FULL_WORDS)
+        odds *= full_share(text)
         return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
 
 

@@ -136,6 +136,26 @@ def test_views_teach_each_other():
     assert balanced([(y, int(model.score(*row(y)) >= 0.5)) for y in [0, 1] * 50]) > 0.95
 
 
+def test_quality_of_texts_without_spaces():
+    """What parts the words of a long text, or that nothing does, is no reason to keep it."""
+    rng = random.Random(8)
+
+    def row(good, mark=" "):
+        words = [f"g{rng.randrange(30)}" if good else f"b{rng.randrange(30)}" for _ in range(120)]
+        return mark.join(words), "any", "en", 400
+
+    model = quality_classifier.co_train([(*row(i % 2), i % 2) for i in range(240)], [])
+    for mark in (" ", "\n", "\t", "\r\n", "\x0b"):
+        bad, good = model.score(*row(0, mark)), model.score(*row(1, mark))
+        assert bad < quality_classifier.LEAST_SCORE < 0.5 < good, mark
+    size = quality_classifier.BUCKETS, quality_classifier.META
+    against = quality_classifier.Model(np.zeros(size[0]), np.zeros(size[1]), (0.0, -2.0), (0.0, -2.0))
+    for unspaced in ("\u8bcd" * 160, "\u0e01" * 160, "x" * 2000):
+        assert against.score(unspaced, None, None, None) == pytest.approx(1 / (1 + np.exp(4)))
+    assert against.score("b " + " " * 200, None, None, None) > 0.45  # one word, whatever the spaces beside it
+    assert against.score("\u8bcd", None, None, None) > 0.45
+
+
 def test_quality_of_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 0), (4, 1), (7, 1), (5, None)], "doc_id bigint, quality int")
     docs = awkward(spark)
