@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorthread.llm.common import map_batches
@@ -284,16 +284,26 @@ def found_spans(text: str | None, field: Field | None, most: tuple[np.ndarray, n
     return sorted(spans, key=lambda x: (x[0][2], x[0][0]))
 
 
+def with_base_span(text: Column) -> Column:
+    """Whether base_spans finds anything: cheap tests come first, the patterns only where they may hold."""
+    low = F.lower(text)
+    word = F.lit(False)
+    for part in ("passw", "secret", "token", "apikey", "api_key"):
+        word = word | F.contains(low, F.lit(part))
+    # As base_spans does, matches are found one after another first, and then the short ones are left out.
+    values = F.regexp_extract_all(text, F.lit("(?i)" + ASSIGN), F.lit(2))
+    assign = word & F.exists(values, lambda v: F.length(v) >= LEAST_ASSIGN)
+    access = F.contains(text, F.lit("AKIA")) & F.rlike(text, F.lit(_ACCESS.pattern))
+    return assign | access | F.rlike(text, F.lit(_HEX.pattern))
+
+
 def training_sample(docs: DataFrame, each: int = SAMPLE_EACH, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Texts that hold a word of the base patterns and others, each texts at most of either, those with the least hashes
-    among texts of chars characters at most. Only hashes are sorted and broadcast, and copies of a text count once."""
-    low = F.lower("text")
-    hint = F.contains("text", F.lit("AKIA"))
-    for word in ("passw", "secret", "token", "apikey", "api_key"):
-        hint = hint | F.contains(low, F.lit(word))
+    """Texts that hold a base span and others, each texts at most of either, those with the least hashes among texts of
+    chars characters at most. Only hashes are sorted and broadcast, and copies of a text count once."""
+    spanned = with_base_span(F.col("text"))
     texts = docs.where(F.length("text") <= chars).select("text", F.xxhash64("text").alias("text_hash"))
     found = []
-    for condition in (hint, ~hint):
+    for condition in (spanned, ~spanned):
         least = texts.where(condition).select("text_hash").distinct().orderBy("text_hash").limit(each)
         chosen = texts.join(F.broadcast(least), "text_hash").groupBy("text_hash").agg(F.first("text").alias("text"))
         found += [row["text"] for row in chosen.orderBy("text_hash").collect()]

@@ -231,6 +231,18 @@ def test_the_field_finds_what_no_pattern_does():
     assert not any(s[1] == "field" for t in texts for s, _ in secret_scan.found_spans(" ".join(words), field))
 
 
+def test_the_sample_has_texts_with_base_spans(spark):
+    """Words of the patterns are ordinary prose, and secrets of every kind are few."""
+    prose = [f"the secret of a token of thanks, {i}" for i in range(400)]
+    keys = [f"{i} " + ("token=abcdef%d", "AKIA" + "A" * 14 + "%02d", "%030d")[i % 3] % i for i in range(30)]
+    docs = documents(spark, list(enumerate(prose + keys + SECRETS)))
+    spanned = [t for t in keys + SECRETS if secret_scan.base_spans(t)]
+    sample = secret_scan.training_sample(docs, 60)
+    assert sorted(t for t in sample if secret_scan.base_spans(t)) == sorted(spanned)
+    assert len(sample) == len(spanned) + 60
+    assert all(secret_scan.base_spans(t) for t in secret_scan.training_sample(docs, 20)[:20])
+
+
 def test_masks():
     text = "x password=abcdefg, " + "0" * 30
     assert secret_scan.masked(text, secret_scan.found_spans(text, None)) == "x password=[secret], [secret]"
