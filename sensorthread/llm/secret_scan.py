@@ -201,9 +201,10 @@ class Field:
 def train(texts: list[str], rounds: int = ROUNDS, rate: float = 0.3, decay: float = 1e-4) -> Field | None:
     """A field that gives texts the tags of their base spans, by gradient ascent on the likelihood; None without any.
 
-    Texts are cut into windows of WINDOW tokens; all windows with a secret count, and others up to four times as many.
+    Texts are cut into windows of WINDOW tokens, the last of each filled up with places that count for nothing; all
+    windows with a secret count, and others up to four times as many.
     """
-    rows, golds = [], []
+    rows, golds, sizes = [], [], []
     for text in texts:
         tokens = tokenised(text)
         n = len(tokens.start)
@@ -215,10 +216,13 @@ def train(texts: list[str], rounds: int = ROUNDS, rate: float = 0.3, decay: floa
             gold[own[:1]] = 1
         before = np.concatenate(([WORDS], word[:-1]))
         after = np.concatenate((word[1:], [WORDS]))
-        for s in range(0, n - n % WINDOW, WINDOW):
-            e = s + WINDOW
-            rows.append(np.concatenate([tokens.small[s:e], before[s:e, None], after[s:e, None]], axis=1))
-            golds.append(gold[s:e])
+        for s in range(0, n, WINDOW):
+            e = min(s + WINDOW, n)
+            fill = WINDOW - (e - s)
+            row = np.concatenate([tokens.small[s:e], before[s:e, None], after[s:e, None]], axis=1)
+            rows.append(np.pad(row, ((0, fill), (0, 0))))
+            golds.append(np.pad(gold[s:e], (0, fill)))
+            sizes.append(e - s)
     with_secret = [i for i, g in enumerate(golds) if g.any()]
     if not with_secret:
         return None
@@ -226,11 +230,12 @@ def train(texts: list[str], rounds: int = ROUNDS, rate: float = 0.3, decay: floa
     chosen = with_secret + others[:: max(1, len(others) // (4 * len(with_secret)))]
     x = np.stack([rows[i] for i in chosen])  # window, place, feature
     gold = np.stack([golds[i] for i in chosen])
+    real = np.arange(WINDOW) < np.array([sizes[i] for i in chosen])[:, None]
     small, before, after = x[:, :, : len(SMALL)], x[:, :, -2], x[:, :, -1]
     weights = [np.zeros((_FIRST[-1], 2)), np.zeros((WORDS + 1, 2)), np.zeros((WORDS + 1, 2)), np.zeros((3, 3))]
     square = [np.full(w.shape, 1e-2) for w in weights]
     hot = np.eye(3)[gold]
-    pairs_seen = np.einsum("wpa,wpb->ab", hot[:, :-1], hot[:, 1:])
+    pairs_seen = np.einsum("wpa,wpb->ab", hot[:, :-1], hot[:, 1:] * real[:, 1:, None])
     for _ in range(rounds):
         score = np.zeros(gold.shape + (3,))
         score[:, :, 1:] = weights[0][small].sum(axis=2) + weights[1][before] + weights[2][after]
@@ -244,11 +249,13 @@ def train(texts: list[str], rounds: int = ROUNDS, rate: float = 0.3, decay: floa
         for p in range(gold.shape[1] - 2, -1, -1):
             backward[:, p] = (backward[:, p + 1] * local[:, p + 1]) @ potential.T
             backward[:, p] /= backward[:, p].sum(axis=1, keepdims=True)
+            backward[~real[:, p + 1], p] = 1  # the text ends at p or before
         single = forward * backward
         single /= single.sum(axis=2, keepdims=True)
         double = forward[:, :-1, :, None] * potential * (local * backward)[:, 1:, None, :]
         double /= double.sum(axis=(2, 3), keepdims=True)
-        error = (hot - single)[:, :, 1:]
+        double *= real[:, 1:, None, None]
+        error = (hot - single)[:, :, 1:] * real[:, :, None]
         gradients = []
         for index, w in ((small, weights[0]), (before, weights[1]), (after, weights[2])):
             spread = error[:, :, None, :] if index.ndim == 3 else error

@@ -231,6 +231,26 @@ def test_the_field_finds_what_no_pattern_does():
     assert not any(s[1] == "field" for t in texts for s, _ in secret_scan.found_spans(" ".join(words), field))
 
 
+def test_the_field_learns_from_all_tokens(monkeypatch):
+    """Short texts and the ends of texts too; what a window is filled up with counts for nothing."""
+    rng = random.Random(9)
+
+    def settings(n):
+        lines = [f"{rng.choice(['host', 'port', 'user', 'mode'])} {rng.choice(['main', 'local', 'fast'])}" for _ in range(n // 2 - 1)]
+        return "\n".join([*lines, f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(20))}"'])
+
+    short = [settings(8) for _ in range(40)] + ["host main port 80"] * 20
+    field = secret_scan.train(short)
+    assert field is not None
+    spans = secret_scan.found_spans('host main\npasword = "' + "0a1b2c3d4e5f6a7b8c9d" + '"', field)
+    assert [s[1] for s, _ in spans] == ["field"]
+    assert secret_scan.train([settings(secret_scan.WINDOW + 10) for _ in range(5)]) is not None
+    monkeypatch.setattr(secret_scan, "WINDOW", 40)
+    wider = secret_scan.train(short)
+    for a, b in zip(vars(field).values(), vars(wider).values()):
+        assert np.allclose(a, b)
+
+
 def test_the_sample_has_texts_with_base_spans(spark):
     """Words of the patterns are ordinary prose, and secrets of every kind are few."""
     prose = [f"the secret of a token of thanks, {i}" for i in range(400)]
