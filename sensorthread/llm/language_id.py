@@ -22,8 +22,10 @@ from sensorthread.llm.common import map_batches
 #: The sample a language is learned from: documents, and characters of each.
 SAMPLE_DOCS = 32
 SAMPLE_CHARS = 600
-#: Different letters that are told apart; rarer ones count as one.
+#: Letters that are one symbol each. Rarer ones are several digits, the first of them from a set of its own.
 LETTERS = 62
+DIGITS = 16
+NONE = 255
 #: Symbols of a piece; a phrase ends at the end of its piece.
 PIECE = 1024
 
@@ -31,7 +33,7 @@ PIECE = 1024
 @dataclass
 class Parser:
     languages: list[str]
-    symbol_of: np.ndarray  # by code point; 0: no letter, 1: rare letter
+    symbol_of: np.ndarray  # by code point; 0: no letter, 1: in no sample; rows filled up with NONE if any has digits
     step: np.ndarray  # flat: state * symbols + symbol -> state, or -1
     first: np.ndarray  # language, symbol -> state after a phrase that starts with the symbol
     idle: np.ndarray  # language -> the state before any phrase
@@ -74,8 +76,9 @@ def encoded(text: str, symbol_of: np.ndarray) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     symbols = symbol_of[points]
     if len(symbols) > 1:
-        symbols = symbols[np.concatenate(([True], (symbols[1:] > 0) | (symbols[:-1] > 0)))]
-    return symbols
+        letter = (symbols if symbols.ndim == 1 else symbols[:, 0]) > 0
+        symbols = symbols[np.concatenate(([True], letter[1:] | letter[:-1]))]
+    return symbols if symbols.ndim == 1 else symbols[symbols != NONE]
 
 
 def learn(samples: dict[str, list[str]], letters: int = LETTERS) -> Parser | None:
@@ -87,9 +90,19 @@ def learn(samples: dict[str, list[str]], letters: int = LETTERS) -> Parser | Non
         for text in texts:
             points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
             np.add.at(counts, points[is_letter[points]], 1)
-    known = np.argsort(-counts, kind="stable")[: min(letters, int((counts > 0).sum()))]
+    known = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
+    known, rare = known[:letters], np.sort(known[letters:])  # by code point, so that letters of a script share digits
     symbol_of[known] = np.arange(2, 2 + len(known), dtype=np.uint8)
     symbols = 2 + len(known)
+    if len(rare):
+        width = 2
+        while DIGITS**width < len(rare):
+            width += 1
+        symbol_of = np.stack([symbol_of] + [np.full_like(symbol_of, NONE)] * (width - 1), axis=1)
+        digits = np.arange(len(rare))[:, None] // DIGITS ** np.arange(width - 1, -1, -1) % DIGITS
+        digits[:, 1:] += DIGITS
+        symbol_of[rare] = symbols + digits
+        symbols += 2 * DIGITS
     languages, tables, bits = [], [], []
     for language in sorted(samples):
         parts = [encoded(t, symbol_of) for t in samples[language]]

@@ -67,6 +67,27 @@ def test_phrases_against_plain_parsing():
         assert [plain(s, sample) for s in symbols] == got[:, k].tolist()
 
 
+def test_languages_of_large_scripts():
+    """No letters of the samples are merged, however many there are."""
+    rng = random.Random(4)
+    scripts = {"ja": range(0x4E00, 0x5400), "ko": range(0xAC00, 0xB200), "ka": range(0x10D0, 0x10F0), "zh": range(0x4E00, 0x5400)}
+    words = {
+        name: ["".join(chr(rng.choice(script)) for _ in range(rng.randrange(1, 5))) for _ in range(300)]
+        for name, script in scripts.items()
+    }
+    words["en"] = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(300)]
+    words["ru"] = ["".join(chr(rng.choice(range(0x430, 0x450))) for _ in range(5)) for _ in range(300)]
+    text = lambda name, n: " ".join(rng.choice(words[name]) for _ in range(n))
+    samples = {name: [text(name, 120) for _ in range(6)] for name in words}
+    parser = language_id.learn(samples)
+    letters = set("".join(itertools.chain(*samples.values()))) - {" "}
+    assert len({bytes(language_id.encoded(c, parser.symbol_of)) for c in letters}) == len(letters) > 1_000
+    for name in words:
+        texts = [language_id.encoded(text(name, 20), parser.symbol_of) for _ in range(10)]
+        best = (language_id.phrase_counts(texts, parser) * parser.bits).argmin(axis=1)
+        assert [parser.languages[k] for k in best] == [name] * 10
+
+
 def test_language_of_awkward_rows(spark):
     got = {(r.doc_id, r.lang_pred) for r in language_id.identify(awkward(spark)).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (4, "en"), (None, "und")} <= got
