@@ -154,13 +154,15 @@ def phrase_counts(texts: list[np.ndarray], parser: Parser, piece: int = PIECE) -
 
 
 def training_sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Texts by language: of each language the docs_each labelled documents with the least hash of their doc_id, the
-    first chars characters of each."""
+    """Texts by language: of each language the docs_each labelled documents with the least hash of their doc_id, of each
+    chars characters from a place that a hash of the doc_id gives."""
+    places = F.greatest(F.length("text") - chars + 1, F.lit(1))
+    start = (1 + F.pmod(F.xxhash64("doc_id", F.lit("place")), places)).cast("int")
     of_language = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash")
     chosen = (
         docs.where("lang IS NOT NULL AND doc_id IS NOT NULL")
         .where(F.rlike("text", F.lit(r"\p{L}")))
-        .select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), F.substring("text", 1, chars).alias("text"))
+        .select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), F.substring("text", start, F.lit(chars)).alias("text"))
         .withColumn("place", F.row_number().over(of_language))
         .where(F.col("place") <= docs_each)
     )
@@ -170,14 +172,16 @@ def training_sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars: int =
     return samples
 
 
-def identify(docs: DataFrame, learned_from: DataFrame | None = None, docs_each: int = SAMPLE_DOCS) -> DataFrame:
+def identify(
+    docs: DataFrame, learned_from: DataFrame | None = None, docs_each: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS
+) -> DataFrame:
     """Per row doc_id, lang_pred and score (0.5 to 1: how many more phrases the second-best language needs).
 
     learned_from: labelled rows (doc_id, text, lang), docs itself by default. Only texts are judged; null texts and
     those without letters, or all if there is nothing to learn from, are `und` with a score of 0. The first language by
     name wins ties. Repeated rows are judged alike.
     """
-    parser = learn(training_sample(docs if learned_from is None else learned_from, docs_each))
+    parser = learn(training_sample(docs if learned_from is None else learned_from, docs_each, chars))
     shared = docs.sparkSession.sparkContext.broadcast(parser and vars(parser))
 
     def columns(doc_id, text):

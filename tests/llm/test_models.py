@@ -88,6 +88,24 @@ def test_languages_of_large_scripts():
         assert [parser.languages[k] for k in best] == [name] * 10
 
 
+def test_languages_are_learned_from_all_parts_of_texts(spark):
+    """All texts begin with one header, whatever their language."""
+    header = "header menu " * 60
+    bodies = {"x": "one two three four five six " * 80, "y": "eins zwei drei vier sechs acht " * 80}
+    rows = [(i, header + bodies[name], name) for i, name in enumerate(["x", "y"] * 20)] + [(90, "xyz", "x"), (91, "", "y")]
+    docs = documents(spark, rows)
+    samples = language_id.training_sample(docs)
+    for name, other in (("x", "zwei"), ("y", "two")):
+        texts = samples[name]
+        assert any(t and t in bodies[name] for t in texts) and not any(other in t for t in texts)
+        assert max(map(len, texts)) == language_id.SAMPLE_CHARS and len({t[:40] for t in texts}) > 5
+    assert samples == language_id.training_sample(docs.repartition(7))
+    assert "xyz" in samples["x"] and len(samples["y"]) == 20
+    judged = documents(spark, [(1, bodies["x"][:200], None), (2, bodies["y"][:200], None)])
+    found = language_id.identify(judged, docs, chars=2_000).collect()
+    assert {(r.doc_id, r.lang_pred) for r in found} == {(1, "x"), (2, "y")}
+
+
 def test_language_of_awkward_rows(spark):
     got = {(r.doc_id, r.lang_pred) for r in language_id.identify(awkward(spark)).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (4, "en"), (None, "und")} <= got
