@@ -44,7 +44,7 @@ def window_medians(
         "windows",
     )
     place = ["key", "span"]
-    calm, busy = split_hot(rows, place, hot_keys(rows, place, array_rows, stored=rows))
+    calm, busy = split_hot(rows, place, hot_keys(rows, place, array_rows))
     result = _from_arrays(calm, place, reach)
     if busy is None:
         return result
