@@ -10,6 +10,7 @@ from sensorthread.llm import (
     language_id,
     mixing,
     near_dup,
+    phrases,
     quality_classifier,
     quality_rules,
     repeats,
@@ -90,6 +91,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_source_mix": op2_source_mix,
@@ -101,6 +106,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_repeats": op9_repeats,
     "op10_language_id": op10_language_id,
+    "op11_collocations": op11_collocations,
 }
 
 #: The other four score by trained models or decode by one: tests hold them against brute force and held-out rows.
@@ -111,4 +117,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_rules": sql.OP5,
     "op8_quality_rules": sql.OP8,
     "op9_repeats": sql.OP9,
+    "op11_collocations": sql.OP11,
 }

@@ -157,3 +157,34 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cut.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN cut USING (k) LEFT JOIN kept USING (k)
 """
+
+OP11 = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS i, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (
+  SELECT lang, w[s:s + k - 1] AS words FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s
+    FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, words, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(words) = 1 GROUP BY 1),
+often AS (SELECT * FROM f WHERE f >= 100),
+longer AS (
+  SELECT lang, words[s:s + m - 1] AS words, max(f) AS f
+  FROM (SELECT lang, words, f, m, unnest(range(1, len(words) - m + 2)) AS s
+        FROM often, (SELECT unnest([2, 3, 4]) AS m) WHERE len(words) > m) GROUP BY ALL),
+cand AS (
+  SELECT o.* FROM often o LEFT JOIN longer USING (lang, words)
+  WHERE len(o.words) > 1 AND (longer.f IS NULL OR 100 * longer.f < 100 * o.f)),
+cut AS (SELECT lang, words, f, unnest(range(1, len(words))) AS k FROM cand),
+scored AS (
+  SELECT c.lang, c.words, c.f AS a, c.k, l.f AS l, r.f AS r, n.n,
+    ((1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cut c JOIN often l ON l.lang = c.lang AND l.words = c.words[1:c.k]
+  JOIN often r ON r.lang = c.lang AND r.words = c.words[c.k + 1:] JOIN n ON n.lang = c.lang),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, array_to_string(words, ' ') AS phrase FROM least)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM ranked QUALIFY rank <= 2000
+"""
