@@ -15,9 +15,11 @@ from sensorthread.llm import (
     quality_rules,
     repeats,
     secret_scan,
+    sharding,
     sql,
     toxicity,
     url_rules,
+    whitening,
 )
 from sensorthread.llm.common import table
 from sensorthread.llm.labelled import held_out
@@ -95,6 +97,35 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, model, error = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*map(F.lit, model.explained if model else [])).cast("array<double>")
+    return made.select("id", "deviation", F.posexplode("whitened").alias("at", "value")).select(
+        F.col("id").alias("vec_id"),
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("bigint").alias("n"),
+        "deviation",
+        F.col("value").alias("whitened"),
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", sharding.text_crc32(F.col("text")).alias("text_crc32")
+    )
+    return sharding.shard(docs, carry=["doc_id", "text_crc32"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_source_mix": op2_source_mix,
@@ -107,9 +138,12 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_language_id": op10_language_id,
     "op11_collocations": op11_collocations,
+    "op12_whitening": op12_whitening,
+    "op13_sharding": op13_sharding,
 }
 
-#: The other four score by trained models or decode by one: tests hold them against brute force and held-out rows.
+#: The others score by trained models, decode by one, or project on eigenvectors: tests hold them against brute force and
+#: held-out rows.
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dup": sql.OP1,
     "op2_source_mix": sql.OP2,
@@ -118,4 +152,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": sql.OP8,
     "op9_repeats": sql.OP9,
     "op11_collocations": sql.OP11,
+    "op13_sharding": sql.OP13,
 }

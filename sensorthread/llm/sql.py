@@ -188,3 +188,22 @@ ranked AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
 FROM ranked QUALIFY rank <= 2000
 """
+
+OP13 = r"""
+WITH t AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size,
+    xor(4294967295, list_reduce(
+      [4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))::BIGINT AS text_crc32,
+    coalesce(substring(md5(text), 1, 16), '----------------') AS h, md5(coalesce(doc_id::VARCHAR, '')) AS g
+  FROM documents, t),
+a AS (SELECT *, sum(size) OVER (ORDER BY h, g ROWS UNBOUNDED PRECEDING) - size AS at, sum(size) OVER () AS total FROM d),
+p AS (SELECT *, min(at) OVER (PARTITION BY h) AS head, sum(size) OVER (PARTITION BY h) AS copies FROM a),
+s AS (SELECT *, ((CASE WHEN copies * 2400 <= total THEN head ELSE at END * 24) // total)::INTEGER AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY h, g) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
