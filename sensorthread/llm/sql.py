@@ -200,9 +200,9 @@ d AS (
       lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))::BIGINT AS text_crc32,
     coalesce(substring(md5(text), 1, 16), '----------------') AS h, md5(coalesce(doc_id::VARCHAR, '')) AS g
   FROM documents, t),
-a AS (SELECT *, sum(size) OVER (ORDER BY h, g ROWS UNBOUNDED PRECEDING) - size AS at, sum(size) OVER () AS total FROM d),
-p AS (SELECT *, min(at) OVER (PARTITION BY h) AS head, sum(size) OVER (PARTITION BY h) AS copies FROM a),
-s AS (SELECT *, ((CASE WHEN copies * 2400 <= total THEN head ELSE at END * 24) // total)::INTEGER AS shard FROM p)
+a AS (SELECT *, sum(size) OVER (ORDER BY h, g ROWS UNBOUNDED PRECEDING) - size AS place, sum(size) OVER () AS total FROM d),
+p AS (SELECT *, min(place) OVER (PARTITION BY h) AS head, sum(size) OVER (PARTITION BY h) AS copies FROM a),
+s AS (SELECT *, ((CASE WHEN copies * 2400 <= total THEN head ELSE place END * 24) // total)::INTEGER AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY h, g) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM s
