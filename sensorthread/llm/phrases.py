@@ -8,9 +8,10 @@ prefix (the first two words) into partitions. Each prefix partition then merges
 later run can add to is counted at every length at once and let go, so that neither a common prefix nor a large
 partition has to fit in memory.
 
-A phrase is no more frequent than any of its words. Words are counted first, by an aggregate, and windows end before a
-word that is too rare. Tasks know rare words by a Bloom filter of the frequent ones, which has the same size always:
-where it errs it keeps a word, and the counts decide.
+A phrase is no more frequent than any of its words or pairs of neighbouring words. Words are counted first, by an
+aggregate, then pairs of frequent words, by tries of such pairs, then longer windows, which end before a pair that is
+too rare. Tasks know what is rare by Bloom filters of what is frequent, which have the same size always: where one errs
+a window is longer than it need be, and the counts decide.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
@@ -46,14 +48,14 @@ MERGE_WINDOWS = 1_500_000
 #: Words that are put into the trie at a time, sorted by the subtree they go to.
 BLOCK_WORDS = 1 << 18
 
-#: Words of the corpus per prefix partition, and bits of the Bloom filter (a power of two).
+#: Words of the corpus per prefix partition, and bits of the Bloom filters of words and of pairs (powers of two).
 PART_WORDS = 2_000_000
 BLOOM_BITS = 1 << 24
+PAIR_BITS = 1 << 26
 
 #: A run tells this many words apart, so that four of them fit 64 bits.
 RUN_WORDS = 65_000
 
-_WINDOW = MAX_WORDS
 _RUNS = "lang string, part int, first array<binary>, n int, words binary, body binary"
 
 
@@ -71,12 +73,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return words.where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f"))
 
 
-def bloom_filter(frequent: DataFrame, bits: int = BLOOM_BITS) -> bytes:
-    """Bits set by the crc32 of lang and word: bits / 8 bytes in the driver, however many words there are."""
-    at = F.crc32(F.concat("lang", F.lit("\0"), "word").cast("binary")) % bits
+def _hash(word: Column) -> Column:
+    return F.crc32(F.concat("lang", F.lit("\0"), word).cast("binary"))
+
+
+def bloom_filter(hashes: DataFrame, bits: int) -> bytes:
+    """Bits set by the column `hash`, modulo bits: bits / 8 bytes in the driver, however many rows there are."""
     page = 1 << 15  # Bits of a bitmap of Spark's.
     pages = (
-        frequent.select(at.alias("at"))
+        hashes.select((F.col("hash") % bits).alias("at"))
         .groupBy(F.expr(f"at div {page}").alias("page"))
         .agg(F.bitmap_construct_agg(F.expr(f"at % {page}")).alias("bitmap"))
     )
@@ -97,13 +102,15 @@ class _Ids(dict):
 
     def __missing__(self, word: bytes) -> int:
         trie = self.trie
-        at = zlib.crc32(word, self.salt) & (trie.bits - 1)
+        hashed = zlib.crc32(word, self.salt)
+        at = hashed & (len(trie.bloom) * 8 - 1)
         new = 0
         if trie.bloom[at >> 3] >> (at & 7) & 1:
             new = len(trie.words)
             trie.words.append(word)
+            trie.word_hash.append(hashed)
             trie.word_lang.append(self.lang)
-        if new or len(self) < 4 * trie.run_words:
+        if new or len(self) < 4 * trie.limits.run_words:
             self[word] = new
         return new
 
@@ -121,20 +128,36 @@ def _tokens(text: bytes) -> list[bytes]:
 # The trie of a task
 
 
+@dataclass(frozen=True)
+class Limits:
+    """The bounds of a task's memory, as the constants above."""
+
+    entries: int = TRIE_ENTRIES
+    burst: int = BURST_ENTRIES
+    chunk: int = CHUNK_WINDOWS
+    hold: int = MERGE_WINDOWS
+    block: int = BLOCK_WORDS
+    run_words: int = RUN_WORDS
+    part_words: int = PART_WORDS
+
+
 class HatTrie:
     """Counts of windows: `roots[w1]` is a container, or after a burst a dict of containers by second word.
 
-    A container counts the rest of a window by one integer, 16 bits a word; 0 stands for no word.
+    A container counts the rest of a window by one integer, 16 bits a word; 0 stands for no word. Windows have `width`
+    words at most: two, or more, then they begin with two pairs that `pairs` holds and end before one it does not.
     """
 
-    def __init__(self, bloom: bytes, parts: int, entries: int, burst: int, chunk: int, run_words: int = RUN_WORDS):
-        self.bloom, self.bits = bloom, len(bloom) * 8
-        self.parts, self.limit, self.burst, self.chunk, self.run_words = parts, entries, burst, chunk, run_words
+    def __init__(self, width: int, bloom: bytes, pairs: bytes | None, parts: int, limits: Limits):
+        self.width, self.bloom, self.parts, self.limits = width, bloom, parts, limits
+        self.pairs = None if pairs is None else np.frombuffer(pairs, np.uint8)
+        self.low = 16 * (width - 2)  # Bits below the second word.
         self._clear()
 
     def _clear(self) -> None:
         self.words: list[bytes] = [b""]
         self.word_lang: list[str] = [""]
+        self.word_hash: list[int] = [0]
         self.ids: dict[str, _Ids] = {}
         self.roots: dict[int, Counter] = {}
         self.burst_roots: dict[int, dict[int, Counter]] = {}
@@ -145,9 +168,9 @@ class HatTrie:
     def add(self, lang: str, text: bytes) -> Iterator[tuple]:
         """Count the windows of a text, a stretch of it at a time; yields what has to leave the trie."""
         tokens = _tokens(text)
-        size = self.run_words // 4
+        size, reach = self.limits.run_words // 4, self.width - 1
         for start in range(0, len(tokens), size):
-            if len(self.words) + size + 80 > self.run_words:
+            if len(self.words) + size + 80 > self.limits.run_words:
                 yield from self.spill(0)
                 self._clear()
             ids = self.ids.get(lang)
@@ -157,33 +180,38 @@ class HatTrie:
             found = found[found >= 0]
             own, more = len(found), start + size
             # Windows of this stretch reach into the next one.
-            while len(found) < own + _WINDOW - 1 and more < len(tokens):
+            while len(found) < own + reach and more < len(tokens):
                 extra = np.fromiter(map(ids.__getitem__, tokens[more : more + 64]), np.int64)
                 found, more = np.concatenate([found, extra[extra >= 0]]), more + 64
-            self.waiting.append((found[: own + _WINDOW - 1], own))
+            self.waiting.append((found[: own + reach], own))
             self.waiting_words += own
-            if self.waiting_words >= BLOCK_WORDS:
+            if self.waiting_words >= self.limits.block:
                 self._count()
-                if self.entries > self.limit:
-                    yield from self.spill(self.limit // 4)
+                if self.entries > self.limits.entries:
+                    yield from self.spill(self.limits.entries // 4)
 
     def _count(self) -> None:
-        gap = np.zeros(_WINDOW, np.int64)
+        gap = np.zeros(self.width, np.int64)
         ids = np.concatenate([a for found, _ in self.waiting for a in (found, gap)] or [gap])
         starts = np.zeros(len(ids), bool)
         at = 0
         for found, own in self.waiting:
             starts[at : at + own] = True
-            at += len(found) + _WINDOW
+            at += len(found) + self.width
         self.waiting, self.waiting_words = [], 0
-        starts &= ids > 0
-        starts[:-1] &= ids[1:] > 0
-        at = np.flatnonzero(starts)
+        # Whether a place and the next one are words that may be counted together.
+        joined = (ids > 0) & (np.r_[ids[1:], 0] > 0)
+        if self.pairs is not None:
+            hashes = np.array(self.word_hash, np.int64)[ids]
+            bit = (hashes * 31 + np.r_[hashes[1:], 0]) & (len(self.pairs) * 8 - 1)
+            joined &= (self.pairs[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+            starts[:-1] &= joined[1:]
+        at = np.flatnonzero(starts & joined)
         if not len(at):
             return
         key, alive = ids[at + 1].astype(np.uint64), np.ones(len(at), bool)
-        for k in range(2, _WINDOW):
-            alive &= ids[at + k] > 0
+        for k in range(2, self.width):
+            alive &= joined[at + k - 1]
             key = (key << np.uint64(16)) | np.where(alive, ids[at + k], 0).astype(np.uint64)
         first = ids[at]
         order = np.argsort(first, kind="stable")
@@ -202,13 +230,13 @@ class HatTrie:
             before = len(box)
             box.update(keys.tolist())
             self.entries += len(box) - before
-            if len(box) > self.burst:
+            if self.low and len(box) > self.limits.burst:
                 self._burst(w1)
             return
         keys = np.sort(keys)
-        second = keys >> np.uint64(48)
+        second = keys >> np.uint64(self.low)
         cuts = np.flatnonzero(np.r_[True, second[1:] != second[:-1]]).tolist() + [len(keys)]
-        heads, rest = second[cuts[:-1]].tolist(), (keys & np.uint64(0xFFFFFFFFFFFF)).tolist()
+        heads, rest = second[cuts[:-1]].tolist(), (keys & np.uint64((1 << self.low) - 1)).tolist()
         for w2, lo, hi in zip(heads, cuts, cuts[1:]):
             box = node.get(w2)
             if box is None:
@@ -220,10 +248,10 @@ class HatTrie:
     def _burst(self, w1: int) -> None:
         node: dict[int, Counter] = {}
         for key, count in self.roots.pop(w1).items():
-            box = node.get(key >> 48)
+            box = node.get(key >> self.low)
             if box is None:
-                box = node[key >> 48] = Counter()
-            box[key & 0xFFFFFFFFFFFF] = count
+                box = node[key >> self.low] = Counter()
+            box[key & ((1 << self.low) - 1)] = count
         self.burst_roots[w1] = node
 
     def spill(self, keep: int) -> Iterator[tuple]:
@@ -240,31 +268,34 @@ class HatTrie:
             boxes = [(0, box)] if box is not None else self.burst_roots.pop(w1).items()
             firsts.append(np.full(-size, w1, np.int64))
             for w2, one in boxes:
-                keys.append(np.fromiter(one.keys(), np.uint64, len(one)) | np.uint64(w2 << 48))
+                keys.append(np.fromiter(one.keys(), np.uint64, len(one)) | np.uint64(w2 << self.low))
                 counts.append(np.fromiter(one.values(), np.int64, len(one)))
         if firsts:
             yield from self._runs(np.concatenate(firsts), np.concatenate(keys), np.concatenate(counts))
 
     def _runs(self, first: np.ndarray, key: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
         """Rows of _RUNS: chunks of windows in the byte order of their words, by language and prefix partition."""
-        columns = [first] + [((key >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64) for k in (3, 2, 1, 0)]
+        places = [np.uint64(16 * k) for k in range(self.width - 2, -1, -1)]
+        columns = [first] + [((key >> place) & np.uint64(0xFFFF)).astype(np.int64) for place in places]
         order = sorted(range(len(self.words)), key=self.words.__getitem__)  # "" is first, as no word.
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        hashes = np.fromiter(map(zlib.crc32, self.words), np.int64, len(self.words))
+        hashes = np.array(self.word_hash, np.int64)
         langs = {lang: i for i, lang in enumerate(sorted(set(self.word_lang)))}
         lang = np.array([langs[name] for name in self.word_lang])[first]
         part = (hashes[columns[0]] * 31 + hashes[columns[1]]) % self.parts
         ranks = [rank[c] for c in columns]
-        tail = (ranks[1] << 48) | (ranks[2] << 32) | (ranks[3] << 16) | ranks[4]
+        tail = np.zeros(len(first), np.uint64)
+        for r in ranks[1:]:
+            tail = (tail << np.uint64(16)) | r.astype(np.uint64)
         group = lang * self.parts + part
-        by = np.lexsort((tail.view(np.uint64), ranks[0], group))
+        by = np.lexsort((tail, ranks[0], group))
         group, count, ranks = group[by], count[by], [r[by] for r in ranks]
         names = list(langs)
         cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() + [len(group)]
         for lo, end in zip(cuts, cuts[1:]):
-            for at in range(lo, end, self.chunk):
-                to = min(at + self.chunk, end)
+            for at in range(lo, end, self.limits.chunk):
+                to = min(at + self.limits.chunk, end)
                 windows = np.stack([r[at:to] for r in ranks])
                 used = np.zeros(len(order), bool)
                 used[windows] = True
@@ -282,7 +313,7 @@ class HatTrie:
                 )
 
 
-def _spilled(bloom: bytes, parts: int, entries: int, burst: int, chunk: int, run_words: int):
+def _spilled(width: int, bloom: bytes, pairs: bytes | None, parts: int, limits: Limits):
     """The map function: (lang, text) batches to rows of _RUNS."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -297,7 +328,7 @@ def _spilled(bloom: bytes, parts: int, entries: int, burst: int, chunk: int, run
             yield batch(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = HatTrie(bloom, parts, entries, burst, chunk, run_words)
+        trie = HatTrie(width, bloom, pairs, parts, limits)
         for given in batches:
             for lang, text in zip(given.column(0).to_pylist(), given.column(1).to_pylist()):
                 yield from batches_of(trie.add(lang, text))
@@ -312,8 +343,8 @@ def _spilled(bloom: bytes, parts: int, entries: int, burst: int, chunk: int, run
 class _Merge:
     """The windows of one language and prefix partition, from chunks in the order of their first window."""
 
-    def __init__(self, least: int, hold: int):
-        self.least, self.hold = least, hold
+    def __init__(self, width: int, least: int, hold: int):
+        self.width, self.least, self.hold = width, least, hold
         self.ids: dict[bytes, int] = {b"": 0}
         self.windows: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -327,10 +358,10 @@ class _Merge:
         done = []
         if self.held > self.hold:
             done = self._settle(first)
-        plain = pa.decompress(body, n * (2 * _WINDOW + 8), codec="zstd", asbytes=True)
-        local = np.frombuffer(plain, np.uint16, n * _WINDOW).reshape(_WINDOW, n)
+        plain = pa.decompress(body, n * (2 * self.width + 8), codec="zstd", asbytes=True)
+        local = np.frombuffer(plain, np.uint16, n * self.width).reshape(self.width, n)
         self.windows.append(self._local(words.split(b" "))[local])
-        self.counts.append(np.frombuffer(plain, np.int64, n, offset=2 * n * _WINDOW))
+        self.counts.append(np.frombuffer(plain, np.int64, n, offset=2 * n * self.width))
         self.held += n
         return done
 
@@ -356,9 +387,9 @@ class _Merge:
         windows = windows[:, new]
         edge, stop = None, len(counts)
         if upto is not None:
-            edge = [self.ids[w] for w in upto] + [0] * (_WINDOW - len(upto))
+            edge = [self.ids[w] for w in upto] + [0] * (self.width - len(upto))
             lo, hi = 0, len(counts)
-            for k in range(_WINDOW):
+            for k in range(self.width):
                 lo, hi = (lo + int(np.searchsorted(windows[k, lo:hi], edge[k], side)) for side in ("left", "right"))
                 if lo == hi:
                     break
@@ -369,7 +400,7 @@ class _Merge:
             # What was counted of prefixes that go on: as windows that end there.
             sizes = sorted(open_sums, reverse=True)
             rest = [open_sums[d] - open_sums.get(d + 1, 0) for d in sizes]
-            self.windows.append(np.array([[*edge[:d], *[0] * (_WINDOW - d)] for d in sizes], np.int64).T)
+            self.windows.append(np.array([[*edge[:d], *[0] * (self.width - d)] for d in sizes], np.int64).T)
             self.counts.append(np.array(rest, np.int64))
         self.held = sum(map(len, self.counts))
         return done
@@ -382,19 +413,21 @@ class _Merge:
         new = np.zeros(len(counts), bool)
         new[0] = True
         new[1:] = windows[0, 1:] != windows[0, :-1]
-        for d in range(2, _WINDOW + 1):
+        for d in range(2, self.width + 1):
             new[1:] |= windows[d - 1, 1:] != windows[d - 1, :-1]
             starts = np.flatnonzero(new)
             sums = np.add.reduceat(counts, starts)
-            if edge is not None and d < _WINDOW and edge[d - 1] and (windows[:d, -1] == edge[:d]).all():
+            if edge is not None and d < self.width and edge[d - 1] and (windows[:d, -1] == edge[:d]).all():
                 open_sums[d] = int(sums[-1])
                 sums[-1] = 0
+            if d == 2 < self.width:
+                continue  # Pairs are counted by themselves.
             for i in np.flatnonzero((sums >= self.least) & (windows[d - 1, starts] > 0)).tolist():
                 done.append((b" ".join(words[w] for w in windows[:d, starts[i]].tolist()), d, int(sums[i])))
         return done, open_sums
 
 
-def _merged(least: int, hold: int):
+def _merged(width: int, least: int, hold: int):
     """The function of a prefix partition: sorted rows of _RUNS to (lang, phrase, size, f)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,14 +443,14 @@ def _merged(least: int, hold: int):
                 names=["lang", "phrase", "size", "f"],
             )
 
-        group, merge = None, _Merge(least, hold)
+        group, merge = None, _Merge(width, least, hold)
         for given in batches:
             for row in given.to_pylist():
                 found = []
                 if (row["lang"], row["part"]) != group:
                     if group and (found := merge.finish()):
                         yield batch(group[0], found)
-                    group, merge = (row["lang"], row["part"]), _Merge(least, hold)
+                    group, merge = (row["lang"], row["part"]), _Merge(width, least, hold)
                 if found := merge.add(row["first"], row["n"], row["words"], row["body"]):
                     yield batch(group[0], found)
         if group and (found := merge.finish()):
@@ -429,38 +462,27 @@ def _merged(least: int, hold: int):
 # Phrases and their scores
 
 
-def frequent_phrases(
-    docs: DataFrame,
-    counts: DataFrame,
-    min_count: int = MIN_COUNT,
-    part_words: int = PART_WORDS,
-    entries: int = TRIE_ENTRIES,
-    burst: int = BURST_ENTRIES,
-    chunk: int = CHUNK_WINDOWS,
-    hold: int = MERGE_WINDOWS,
-    run_words: int = RUN_WORDS,
-) -> DataFrame:
+def frequent_phrases(docs: DataFrame, counts: DataFrame, min_count: int = MIN_COUNT, limits: Limits = Limits()) -> DataFrame:
     """(lang, phrase, size, f): phrases of two to five words with f >= min_count; counts as from word_counts."""
     total = counts.agg(F.sum("f")).first()[0] or 0
-    parts = max(1, -(-total // part_words))
-    bloom = bloom_filter(counts.where(F.col("f") >= min_count))
+    parts = max(1, -(-total // limits.part_words))
+    words = bloom_filter(counts.where(F.col("f") >= min_count).select(_hash(F.col("word")).alias("hash")), BLOOM_BITS)
     texts = docs.where("text IS NOT NULL").select(_lang(), F.col("text").cast("binary"))
-    runs = texts.mapInArrow(_spilled(bloom, parts, entries, burst, chunk, run_words), _RUNS)
-    dealt = runs.repartition(parts, "part").sortWithinPartitions("part", "lang", "first")
-    return dealt.mapInArrow(_merged(min_count, hold), "lang string, phrase string, size int, f bigint")
 
+    def counted(width: int, pairs: bytes | None) -> DataFrame:
+        runs = texts.mapInArrow(_spilled(width, words, pairs, parts, limits), _RUNS)
+        dealt = runs.repartition(parts, "part").sortWithinPartitions("part", "lang", "first")
+        return dealt.mapInArrow(_merged(width, min_count, limits.hold), "lang string, phrase string, size int, f bigint")
 
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, **limits: int) -> DataFrame:
-    """Per language the `top` phrases: lang, rank, phrase, a, l, r, n, score.
+    pairs = written(counted(2, None), "frequent-pairs")
+    both = F.split("phrase", " ")
+    hashes = pairs.select((_hash(both[0]) * 31 + _hash(both[1])).alias("hash"))
+    return pairs.unionByName(counted(MAX_WORDS, bloom_filter(hashes, PAIR_BITS)))
 
-    docs needs text and lang; other columns are not read, whatever their names. Null texts have no words, a null lang is
-    'und', repeated rows count as often as they occur, and equal scores are ranked by a, then by the phrase's bytes. No
-    texts, or none with a frequent phrase, give no rows.
-    """
-    counts = written(word_counts(docs), "word-counts")
-    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = counts.where(F.col("f") >= min_count).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")
-    found = written(frequent_phrases(docs, counts, min_count, **limits).unionByName(words), "frequent-phrases")
+
+def scored(found: DataFrame, totals: DataFrame) -> DataFrame:
+    """(lang, phrase, a, l, r, n, score) of the candidates. found: (lang, phrase, size, f) of all frequent phrases, words
+    included; totals: (lang, n)."""
     split = F.split("phrase", " ")
 
     # A phrase within one of the same count is dropped; one longer by a word then has that count too.
@@ -487,7 +509,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, **
         F.array_join(F.slice("w", F.col("k") + 1, F.col("size") - F.col("k")), " ").alias("right"),
     )
     known = found.select("lang", F.col("phrase").alias("part"), "f")
-    scored = (
+    return (
         cuts.join(known.select("lang", F.col("part").alias("left"), F.col("f").alias("l")), ["lang", "left"])
         .join(known.select("lang", F.col("part").alias("right"), F.col("f").alias("r")), ["lang", "right"])
         .join(totals, "lang")
@@ -497,10 +519,24 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, **
         .agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
         .select("lang", "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").cast("bigint").alias("score"))
     )
+
+
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, limits: Limits = Limits()) -> DataFrame:
+    """Per language the `top` phrases: lang, rank, phrase, a, l, r, n, score.
+
+    docs needs text and lang; other columns are not read, whatever their names. Null texts have no words, a null lang is
+    'und', repeated rows count as often as they occur, and equal scores are ranked by a, then by the phrase's bytes. No
+    texts, or none with a frequent phrase, give no rows.
+    """
+    counts = written(word_counts(docs), "word-counts")
+    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+    words = counts.where(F.col("f") >= min_count).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")
+    found = written(frequent_phrases(docs, counts, min_count, limits).unionByName(words), "frequent-phrases")
+    best_cuts = scored(found, totals)
     # Few languages hold all phrases, so the best of each of many parts are taken first.
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*order)
-    best = scored.withColumn("rank", F.row_number().over(in_part)).where(F.col("rank") <= top)
+    best = best_cuts.withColumn("rank", F.row_number().over(in_part)).where(F.col("rank") <= top)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint"))
     return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
