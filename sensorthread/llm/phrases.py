@@ -8,10 +8,10 @@ prefix (the first two words) into partitions. Each prefix partition then merges
 later run can add to is counted at every length at once and let go, so that neither a common prefix nor a large
 partition has to fit in memory.
 
-A phrase is no more frequent than any of its words or pairs of neighbouring words. Words are counted first, by an
-aggregate, then pairs of frequent words, by tries of such pairs, then longer windows, which end before a pair that is
-too rare. Tasks know what is rare by Bloom filters of what is frequent, which have the same size always: where one errs
-a window is longer than it need be, and the counts decide.
+A phrase is no more frequent than any of its words or pairs of neighbouring words, so windows end before a pair that is
+too rare. Words are counted first, by an aggregate, then hashes of pairs of frequent words. Tasks know what is rare by
+Bloom filters of what is frequent, which have the same size always: where a hash or filter errs a window is longer than
+it need be, and the trie's counts, which know words as such, decide.
 """
 
 from __future__ import annotations
@@ -53,9 +53,14 @@ PART_WORDS = 2_000_000
 BLOOM_BITS = 1 << 24
 PAIR_BITS = 1 << 26
 
+#: Hashes of pairs that a task sorts at a time, and their bits.
+PAIR_BLOCK = 1 << 22
+PAIR_HASH_BITS = 48
+
 #: A run tells this many words apart, so that four of them fit 64 bits.
 RUN_WORDS = 65_000
 
+_PAIRS = "part int, n int, body binary"
 _RUNS = "lang string, part int, first array<binary>, n int, words binary, body binary"
 
 
@@ -73,10 +78,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return words.where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f"))
 
 
-def _hash(word: Column) -> Column:
-    return F.crc32(F.concat("lang", F.lit("\0"), word).cast("binary"))
-
-
 def bloom_filter(hashes: DataFrame, bits: int) -> bytes:
     """Bits set by the column `hash`, modulo bits: bits / 8 bytes in the driver, however many rows there are."""
     page = 1 << 15  # Bits of a bitmap of Spark's.
@@ -91,26 +92,41 @@ def bloom_filter(hashes: DataFrame, bits: int) -> bytes:
     return bytes(table)
 
 
-class _Ids(dict):
-    """Ids of the words of one language in a run, 0 for words that are too rare. Ids are dealt by the trie."""
+class _Words(dict):
+    """Hashes of the words of one language, 0 for words that are too rare and for the end of a piece; -1 for no word.
+    Rare words are remembered up to `most`."""
 
-    def __init__(self, lang: str, trie: "HatTrie"):
+    def __init__(self, lang: str, bloom: bytes, most: int):
         super().__init__({b"": -1, b"\n": 0})
-        self.salt = zlib.crc32(lang.encode() + b"\0")
-        self.lang = lang
-        self.trie = trie
+        self.salt, self.bloom, self.most = zlib.crc32(lang.encode() + b"\0"), bloom, most
+
+    def hash_of(self, word: bytes) -> int:
+        at = zlib.crc32(word, self.salt)
+        bit = at & (len(self.bloom) * 8 - 1)
+        return at or 1 if self.bloom[bit >> 3] >> (bit & 7) & 1 else 0
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.hash_of(word)
+        if len(self) < self.most:
+            self[word] = found
+        return found
+
+
+class _Ids(_Words):
+    """Ids in a run in place of hashes. Ids are dealt by the trie."""
+
+    def __init__(self, lang: str, trie: "HatTrie"):
+        super().__init__(lang, trie.bloom, 4 * trie.limits.run_words)
+        self.lang, self.trie = lang, trie
 
     def __missing__(self, word: bytes) -> int:
-        trie = self.trie
-        hashed = zlib.crc32(word, self.salt)
-        at = hashed & (len(trie.bloom) * 8 - 1)
-        new = 0
-        if trie.bloom[at >> 3] >> (at & 7) & 1:
+        trie, hashed, new = self.trie, self.hash_of(word), 0
+        if hashed:
             new = len(trie.words)
             trie.words.append(word)
             trie.word_hash.append(hashed)
             trie.word_lang.append(self.lang)
-        if new or len(self) < 4 * trie.limits.run_words:
+        if new or len(self) < self.most:
             self[word] = new
         return new
 
@@ -125,6 +141,105 @@ def _tokens(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
 
 
+# Hashes of pairs
+
+
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of hashes of words, as int64: PAIR_HASH_BITS bits."""
+    mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(64 - PAIR_HASH_BITS)).astype(np.int64)
+
+
+def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the range of hashes that one falls in."""
+    return ((hashes >> 16) * parts) >> (PAIR_HASH_BITS - 16)
+
+
+def _tally(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order, and the sums of their counts (1 each by default)."""
+    if counts is None:
+        hashes = np.sort(hashes)
+    else:
+        by = np.argsort(hashes, kind="stable")
+        hashes, counts = hashes[by], counts[by]
+    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, np.int64)
+    sums = np.diff(np.r_[starts, len(hashes)]) if counts is None else np.add.reduceat(counts, starts)
+    return hashes[starts], sums
+
+
+def _pair_runs(bloom: bytes, parts: int, block: int, most: int):
+    """The map function: (lang, text) batches to rows of _PAIRS, sorted runs of hashes with their counts."""
+
+    def packed(values: np.ndarray) -> bytes:
+        """First bytes first, so that what is the same in all of them compresses."""
+        return values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+    def runs(waiting: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words = np.concatenate([a for found in waiting for a in (found, [0])])
+        both = (words[:-1] > 0) & (words[1:] > 0)
+        if not both.any():
+            return
+        hashes, counts = _tally(_pair_hash(words[:-1][both], words[1:][both]))
+        part = _part_of(hashes, parts)
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() + [len(part)]
+        rows = [
+            (int(part[lo]), hi - lo, packed(np.diff(hashes[lo:hi], prepend=0)) + packed(counts[lo:hi]))
+            for lo, hi in zip(cuts, cuts[1:])
+        ]
+        part, n, body = zip(*rows)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(part, pa.int32()),
+                pa.array(n, pa.int32()),
+                pa.array([pa.compress(b, codec="zstd", asbytes=True) for b in body], pa.binary()),
+            ],
+            names=["part", "n", "body"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, _Words] = {}
+        waiting, n = [], 0
+        for given in batches:
+            for lang, text in zip(given.column(0).to_pylist(), given.column(1).to_pylist()):
+                if (words := known.get(lang)) is None:
+                    words = known[lang] = _Words(lang, bloom, most)
+                found = np.fromiter(map(words.__getitem__, _tokens(text)), np.int64)
+                waiting.append(found[found >= 0])
+                n += len(found)
+                if n >= block:
+                    yield from runs(waiting)
+                    waiting, n = [], 0
+        if waiting:
+            yield from runs(waiting)
+
+    return run
+
+
+def _often(least: int):
+    """Rows of _PAIRS, a part after the other, to the hashes that are frequent."""
+
+    def settled(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, counts = _tally(np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held]))
+        return pa.RecordBatch.from_arrays([pa.array(hashes[counts >= least], pa.int64())], names=["hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = [], None
+        for given in batches:
+            for row in given.to_pylist():
+                if row["part"] != part and held:
+                    yield settled(held)
+                    held = []
+                part, n = row["part"], row["n"]
+                plain = np.frombuffer(pa.decompress(row["body"], 16 * n, codec="zstd", asbytes=True), np.uint8)
+                delta, counts = (np.ascontiguousarray(half.reshape(8, n).T).view(np.int64).ravel() for half in (plain[: 8 * n], plain[8 * n :]))
+                held.append((np.cumsum(delta), counts))
+        if held:
+            yield settled(held)
+
+    return run
+
+
 # The trie of a task
 
 
@@ -137,6 +252,7 @@ class Limits:
     chunk: int = CHUNK_WINDOWS
     hold: int = MERGE_WINDOWS
     block: int = BLOCK_WORDS
+    pair_block: int = PAIR_BLOCK
     run_words: int = RUN_WORDS
     part_words: int = PART_WORDS
 
@@ -144,14 +260,13 @@ class Limits:
 class HatTrie:
     """Counts of windows: `roots[w1]` is a container, or after a burst a dict of containers by second word.
 
-    A container counts the rest of a window by one integer, 16 bits a word; 0 stands for no word. Windows have `width`
-    words at most: two, or more, then they begin with two pairs that `pairs` holds and end before one it does not.
+    A container counts the rest of a window by one integer, 16 bits a word; 0 stands for no word. Windows end before a
+    pair that the filter `pairs` does not hold.
     """
 
-    def __init__(self, width: int, bloom: bytes, pairs: bytes | None, parts: int, limits: Limits):
-        self.width, self.bloom, self.parts, self.limits = width, bloom, parts, limits
-        self.pairs = None if pairs is None else np.frombuffer(pairs, np.uint8)
-        self.low = 16 * (width - 2)  # Bits below the second word.
+    def __init__(self, bloom: bytes, pairs: bytes, parts: int, limits: Limits):
+        self.bloom, self.pairs, self.parts, self.limits = bloom, np.frombuffer(pairs, np.uint8), parts, limits
+        self.low = 16 * (MAX_WORDS - 2)  # Bits below the second word.
         self._clear()
 
     def _clear(self) -> None:
@@ -168,7 +283,7 @@ class HatTrie:
     def add(self, lang: str, text: bytes) -> Iterator[tuple]:
         """Count the windows of a text, a stretch of it at a time; yields what has to leave the trie."""
         tokens = _tokens(text)
-        size, reach = self.limits.run_words // 4, self.width - 1
+        size, reach = self.limits.run_words // 4, MAX_WORDS - 1
         for start in range(0, len(tokens), size):
             if len(self.words) + size + 80 > self.limits.run_words:
                 yield from self.spill(0)
@@ -191,26 +306,24 @@ class HatTrie:
                     yield from self.spill(self.limits.entries // 4)
 
     def _count(self) -> None:
-        gap = np.zeros(self.width, np.int64)
+        gap = np.zeros(MAX_WORDS, np.int64)
         ids = np.concatenate([a for found, _ in self.waiting for a in (found, gap)] or [gap])
         starts = np.zeros(len(ids), bool)
         at = 0
         for found, own in self.waiting:
             starts[at : at + own] = True
-            at += len(found) + self.width
+            at += len(found) + MAX_WORDS
         self.waiting, self.waiting_words = [], 0
         # Whether a place and the next one are words that may be counted together.
         joined = (ids > 0) & (np.r_[ids[1:], 0] > 0)
-        if self.pairs is not None:
-            hashes = np.array(self.word_hash, np.int64)[ids]
-            bit = (hashes * 31 + np.r_[hashes[1:], 0]) & (len(self.pairs) * 8 - 1)
-            joined &= (self.pairs[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-            starts[:-1] &= joined[1:]
+        hashes = np.array(self.word_hash, np.int64)[ids]
+        bit = _pair_hash(hashes, np.r_[hashes[1:], 0]) & (len(self.pairs) * 8 - 1)
+        joined &= (self.pairs[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
         at = np.flatnonzero(starts & joined)
         if not len(at):
             return
         key, alive = ids[at + 1].astype(np.uint64), np.ones(len(at), bool)
-        for k in range(2, self.width):
+        for k in range(2, MAX_WORDS):
             alive &= joined[at + k - 1]
             key = (key << np.uint64(16)) | np.where(alive, ids[at + k], 0).astype(np.uint64)
         first = ids[at]
@@ -230,7 +343,7 @@ class HatTrie:
             before = len(box)
             box.update(keys.tolist())
             self.entries += len(box) - before
-            if self.low and len(box) > self.limits.burst:
+            if len(box) > self.limits.burst:
                 self._burst(w1)
             return
         keys = np.sort(keys)
@@ -275,7 +388,7 @@ class HatTrie:
 
     def _runs(self, first: np.ndarray, key: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
         """Rows of _RUNS: chunks of windows in the byte order of their words, by language and prefix partition."""
-        places = [np.uint64(16 * k) for k in range(self.width - 2, -1, -1)]
+        places = [np.uint64(16 * k) for k in range(MAX_WORDS - 2, -1, -1)]
         columns = [first] + [((key >> place) & np.uint64(0xFFFF)).astype(np.int64) for place in places]
         order = sorted(range(len(self.words)), key=self.words.__getitem__)  # "" is first, as no word.
         rank = np.empty(len(order), np.int64)
@@ -313,7 +426,7 @@ class HatTrie:
                 )
 
 
-def _spilled(width: int, bloom: bytes, pairs: bytes | None, parts: int, limits: Limits):
+def _spilled(bloom: bytes, pairs: bytes, parts: int, limits: Limits):
     """The map function: (lang, text) batches to rows of _RUNS."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -328,7 +441,7 @@ def _spilled(width: int, bloom: bytes, pairs: bytes | None, parts: int, limits:
             yield batch(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = HatTrie(width, bloom, pairs, parts, limits)
+        trie = HatTrie(bloom, pairs, parts, limits)
         for given in batches:
             for lang, text in zip(given.column(0).to_pylist(), given.column(1).to_pylist()):
                 yield from batches_of(trie.add(lang, text))
@@ -343,8 +456,8 @@ def _spilled(width: int, bloom: bytes, pairs: bytes | None, parts: int, limits:
 class _Merge:
     """The windows of one language and prefix partition, from chunks in the order of their first window."""
 
-    def __init__(self, width: int, least: int, hold: int):
-        self.width, self.least, self.hold = width, least, hold
+    def __init__(self, least: int, hold: int):
+        self.least, self.hold = least, hold
         self.ids: dict[bytes, int] = {b"": 0}
         self.windows: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -358,10 +471,10 @@ class _Merge:
         done = []
         if self.held > self.hold:
             done = self._settle(first)
-        plain = pa.decompress(body, n * (2 * self.width + 8), codec="zstd", asbytes=True)
-        local = np.frombuffer(plain, np.uint16, n * self.width).reshape(self.width, n)
+        plain = pa.decompress(body, n * (2 * MAX_WORDS + 8), codec="zstd", asbytes=True)
+        local = np.frombuffer(plain, np.uint16, n * MAX_WORDS).reshape(MAX_WORDS, n)
         self.windows.append(self._local(words.split(b" "))[local])
-        self.counts.append(np.frombuffer(plain, np.int64, n, offset=2 * n * self.width))
+        self.counts.append(np.frombuffer(plain, np.int64, n, offset=2 * n * MAX_WORDS))
         self.held += n
         return done
 
@@ -387,9 +500,9 @@ class _Merge:
         windows = windows[:, new]
         edge, stop = None, len(counts)
         if upto is not None:
-            edge = [self.ids[w] for w in upto] + [0] * (self.width - len(upto))
+            edge = [self.ids[w] for w in upto] + [0] * (MAX_WORDS - len(upto))
             lo, hi = 0, len(counts)
-            for k in range(self.width):
+            for k in range(MAX_WORDS):
                 lo, hi = (lo + int(np.searchsorted(windows[k, lo:hi], edge[k], side)) for side in ("left", "right"))
                 if lo == hi:
                     break
@@ -400,7 +513,7 @@ class _Merge:
             # What was counted of prefixes that go on: as windows that end there.
             sizes = sorted(open_sums, reverse=True)
             rest = [open_sums[d] - open_sums.get(d + 1, 0) for d in sizes]
-            self.windows.append(np.array([[*edge[:d], *[0] * (self.width - d)] for d in sizes], np.int64).T)
+            self.windows.append(np.array([[*edge[:d], *[0] * (MAX_WORDS - d)] for d in sizes], np.int64).T)
             self.counts.append(np.array(rest, np.int64))
         self.held = sum(map(len, self.counts))
         return done
@@ -413,21 +526,19 @@ class _Merge:
         new = np.zeros(len(counts), bool)
         new[0] = True
         new[1:] = windows[0, 1:] != windows[0, :-1]
-        for d in range(2, self.width + 1):
+        for d in range(2, MAX_WORDS + 1):
             new[1:] |= windows[d - 1, 1:] != windows[d - 1, :-1]
             starts = np.flatnonzero(new)
             sums = np.add.reduceat(counts, starts)
-            if edge is not None and d < self.width and edge[d - 1] and (windows[:d, -1] == edge[:d]).all():
+            if edge is not None and d < MAX_WORDS and edge[d - 1] and (windows[:d, -1] == edge[:d]).all():
                 open_sums[d] = int(sums[-1])
                 sums[-1] = 0
-            if d == 2 < self.width:
-                continue  # Pairs are counted by themselves.
             for i in np.flatnonzero((sums >= self.least) & (windows[d - 1, starts] > 0)).tolist():
                 done.append((b" ".join(words[w] for w in windows[:d, starts[i]].tolist()), d, int(sums[i])))
         return done, open_sums
 
 
-def _merged(width: int, least: int, hold: int):
+def _merged(least: int, hold: int):
     """The function of a prefix partition: sorted rows of _RUNS to (lang, phrase, size, f)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,14 +554,14 @@ def _merged(width: int, least: int, hold: int):
                 names=["lang", "phrase", "size", "f"],
             )
 
-        group, merge = None, _Merge(width, least, hold)
+        group, merge = None, _Merge(least, hold)
         for given in batches:
             for row in given.to_pylist():
                 found = []
                 if (row["lang"], row["part"]) != group:
                     if group and (found := merge.finish()):
                         yield batch(group[0], found)
-                    group, merge = (row["lang"], row["part"]), _Merge(width, least, hold)
+                    group, merge = (row["lang"], row["part"]), _Merge(least, hold)
                 if found := merge.add(row["first"], row["n"], row["words"], row["body"]):
                     yield batch(group[0], found)
         if group and (found := merge.finish()):
@@ -466,18 +577,17 @@ def frequent_phrases(docs: DataFrame, counts: DataFrame, min_count: int = MIN_CO
     """(lang, phrase, size, f): phrases of two to five words with f >= min_count; counts as from word_counts."""
     total = counts.agg(F.sum("f")).first()[0] or 0
     parts = max(1, -(-total // limits.part_words))
-    words = bloom_filter(counts.where(F.col("f") >= min_count).select(_hash(F.col("word")).alias("hash")), BLOOM_BITS)
+    hashed_word = F.crc32(F.concat("lang", F.lit("\0"), "word").cast("binary"))
+    words = bloom_filter(counts.where(F.col("f") >= min_count).select(hashed_word.alias("hash")), BLOOM_BITS)
     texts = docs.where("text IS NOT NULL").select(_lang(), F.col("text").cast("binary"))
 
-    def counted(width: int, pairs: bytes | None) -> DataFrame:
-        runs = texts.mapInArrow(_spilled(width, words, pairs, parts, limits), _RUNS)
-        dealt = runs.repartition(parts, "part").sortWithinPartitions("part", "lang", "first")
-        return dealt.mapInArrow(_merged(width, min_count, limits.hold), "lang string, phrase string, size int, f bigint")
-
-    pairs = written(counted(2, None), "frequent-pairs")
-    both = F.split("phrase", " ")
-    hashes = pairs.select((_hash(both[0]) * 31 + _hash(both[1])).alias("hash"))
-    return pairs.unionByName(counted(MAX_WORDS, bloom_filter(hashes, PAIR_BITS)))
+    # Every part of the hashes has about part_words pairs, however often any of them occurs in a task's run.
+    hashed = texts.mapInArrow(_pair_runs(words, parts, limits.pair_block, 4 * limits.run_words), _PAIRS)
+    often = hashed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_often(min_count), "hash bigint")
+    pairs = bloom_filter(often, PAIR_BITS)
+    runs = texts.mapInArrow(_spilled(words, pairs, parts, limits), _RUNS)
+    dealt = runs.repartition(parts, "part").sortWithinPartitions("part", "lang", "first")
+    return dealt.mapInArrow(_merged(min_count, limits.hold), "lang string, phrase string, size int, f bigint")
 
 
 def scored(found: DataFrame, totals: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from sensorthread.llm import phrases
 from tests.llm.helpers import awkward, documents, empty
 
-SMALL = phrases.Limits(entries=60, burst=5, chunk=7, hold=20, block=50, run_words=400, part_words=300)
+SMALL = phrases.Limits(entries=60, burst=5, chunk=7, hold=20, block=50, pair_block=90, run_words=400, part_words=300)
 
 
 def brute_force(rows, least, top):
