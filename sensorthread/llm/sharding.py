@@ -56,8 +56,8 @@ def splitters(keys: DataFrame, total: int, ranges: int, draws: int) -> list[str]
     """Where ranges begin (h, or h and g) but for the first: places at even steps of the bytes, by a sample.
 
     A row is drawn with the chance size * ranges * draws / total and stands for as many bytes as make that fair; the
-    draws are decided by a hash, so reruns agree. A splitter falls before the first of equal texts; only texts with
-    several splitters are parted.
+    draws are decided by a hash, so reruns agree. A splitter falls before the first of equal texts; only texts that
+    several fall into are parted, and have one before their first too.
     """
     wanted = ranges * draws
     chance = F.pmod(F.xxhash64("h", "g"), F.lit(1 << 52)) / F.lit(float(1 << 52))
