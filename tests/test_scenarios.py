@@ -178,8 +178,33 @@ def test_ranks_of_several_digits(spark):
     for t in probes:
         seen = [v for us, v in data if us <= t and v is not None]
         want[t] = statistics.median(seen) if seen else None
-    for rows in (50, 10**9):
-        assert {x.us: x.value for x in window_medians(r, p, 1, rows).collect()} == want
+    for array_rows, task_rows in ((10**9, 10**9), (50, 10**9), (50, 60)):
+        assert {x.us: x.value for x in window_medians(r, p, 1, array_rows, task_rows).collect()} == want
+
+
+def test_medians_of_arrays_tasks_and_digits_agree(spark):
+    from pyspark.sql import functions as F
+
+    from sensorthread.operators.window_median import window_medians
+
+    rng = random.Random(6)
+    inf, nan = float("inf"), float("nan")
+    data = [
+        (k, rng.randrange(300) * 1_000_000, rng.choice([None, inf, -inf, nan, 0.0, 1e308, rng.gauss(0, 1), rng.gauss(0, 1)]))
+        for k, n in (("few", 20), ("many", 400), ("most", 1500), (None, 300))
+        for _ in range(n)
+    ]
+    probes = [(k, rng.randrange(-100, 500) * 1_000_000) for k in ("few", "many", "most", None, "unread") for _ in range(40)]
+    keyed = [spark.createDataFrame(rows, types).withColumn("key", F.struct("k")) for rows, types in ((data, "k string, us long, v double"), (probes, "k string, us long"))]
+
+    def medians(lookback, array_rows, task_rows):
+        found = window_medians(*keyed, lookback, array_rows, task_rows).collect()
+        assert len({(x.key.k, x.us) for x in found}) == len(found)
+        return {(x.key.k, x.us): repr(x.value) for x in found}
+
+    for lookback in (0, 1):
+        want = medians(lookback, 10**9, 10**9)
+        assert want and medians(lookback, 15, 10**9) == want and medians(lookback, 15, 700) == want
 
 
 @pytest.mark.parametrize("once", [True, False])
