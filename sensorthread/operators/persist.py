@@ -1,14 +1,15 @@
 """Write a payload into the log: new attribute rows, filled attribute columns, and links to the devices.
 
-Each function returns the rows to add, or the whole table where rows change, together with its counts. Nothing is
-written over what it read.
+Each function returns the rows to add, or the cells to fill, together with its counts; what it computes grows with the
+payload. Nothing is written over what it read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sensorthread.operators.reshape import (
@@ -31,11 +32,12 @@ class Association:
 
 @dataclass(frozen=True)
 class Write:
-    """The table after a write, a one-row frame (`inserted`, `skipped`), and the rows added, if a write only adds."""
+    """The table after a write, a one-row frame (`inserted`, `skipped`), and the rows added or the cells filled."""
 
     table: DataFrame
     counts: DataFrame
     added: DataFrame | None = None
+    cells: DataFrame | None = None
 
 
 def add_property_columns(table: DataFrame, properties: list[str]) -> tuple[DataFrame, dict[str, str]]:
@@ -56,23 +58,41 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def with_cells(table: DataFrame, cells: list[DataFrame]) -> DataFrame:
+    """The table with the values of `cells` (`ocel_id` and columns) where it has none; columns it lacks come last. No two
+    of the frames give the same cell, as each was filled where there was nothing."""
+    if not cells:
+        return table
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cells)
+    columns = [c for c in every.columns if c != "ocel_id"]
+    places = {c: f"_cell_{i}" for i, c in enumerate(columns)}
+    of_row = every.groupBy(F.col("ocel_id")).agg(
+        F.lit(True).alias("_filled"), *[F.max(_quoted(c)).alias(place) for c, place in places.items()]
+    )
+    own = {c: F.coalesce(_quoted(c), places[c]) if c in places else _quoted(c) for c in table.columns}
+    new = {c: F.col(places[c]) for c in columns if c not in own}
+    return table.join(of_row, "ocel_id", "left").select(*[v.alias(c) for c, v in {**own, **new}.items()])
+
+
+def _kept(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows, written, and a one-row frame of sums over them, which the write counts on its way (0 for no rows)."""
+    seen = Observation()
+    names = {name: F.coalesce(F.sum(value.cast("long")), F.lit(0)).alias(name) for name, value in sums.items()}
+    rows = written(df.observe(seen, *names.values()), label)
+    counts = seen.get
+    spark = df.sparkSession
+    return rows, spark.createDataFrame([tuple(counts[n] for n in sums)], ", ".join(f"{n} bigint" for n in sums))
+
+
 def _marked(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates with `_there`: whether the table has their key. A null in the key never matches. Rows and counts
-    both come from this, so it is computed once and kept. Of a table with times only those of the candidates are read."""
+    """Candidates with `_there`: whether the table has their key. A null in the key never matches. Of a table with
+    times only those of the candidates are read."""
     if "ocel_time" in keys:
         candidates = written(candidates, "candidates")
         first, last = candidates.agg(F.min("ocel_time"), F.max("ocel_time")).first()
         existing = existing.where(F.col("ocel_time").between(F.lit(first), F.lit(last)))
     there = existing.select(*keys, F.lit(True).alias("_there")).distinct()
-    marked = candidates.join(there, keys, "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
-    return written(marked, "marked")
-
-
-def _counts(marked: DataFrame, skipped: str = "_there") -> DataFrame:
-    return marked.agg(
-        F.count_if(~F.col(skipped)).alias("inserted"),
-        F.count_if(F.col(skipped)).alias("skipped"),
-    )
+    return candidates.join(there, keys, "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
 
 
 def insert_object_attributes(
@@ -89,7 +109,12 @@ def insert_object_attributes(
         F.col(PROPERTY).alias("ocel_changed_field"),
         PROPERTY_VALUE,
     )
-    marked = _marked(changes, table, ["ocel_id", "ocel_time", "ocel_changed_field"])
+    marked, counts = _kept(
+        _marked(changes, table, ["ocel_id", "ocel_time", "ocel_changed_field"]),
+        "marked",
+        inserted=~F.col("_there"),
+        skipped=F.col("_there"),
+    )
     columns: dict[str, Column] = {}
     for column in dict.fromkeys(column_of.values()):
         fields = [p for p, c in column_of.items() if c == column]
@@ -98,7 +123,7 @@ def insert_object_attributes(
     rows = marked.where(~F.col("_there")).select(
         "ocel_id", "ocel_time", "ocel_changed_field", *columns.values()
     )
-    return Write(grown.unionByName(rows, allowMissingColumns=True), _counts(marked), rows)
+    return Write(grown.unionByName(rows, allowMissingColumns=True), counts, rows)
 
 
 def fill_event_attributes(
@@ -111,23 +136,24 @@ def fill_event_attributes(
     own = column_names(properties, ["ocel_id", "ocel_time"])
     grown, column_of = add_property_columns(table, properties)
     places = {c: f"_new_{i}" for i, c in enumerate(own)}
-    source = (
-        pivot_first(payload, ["ocel_event_id"], properties)
-        .toDF("ocel_id", *places.values())
-        .withColumn("_in_payload", F.lit(True))
-    )
-    # Kept, as rows and counts both come from it: the pivot and the join run once.
-    joined = written(grown.join(source, "ocel_id", "left"), "joined")
+    source = pivot_first(payload, ["ocel_event_id"], properties).toDF("ocel_id", *places.values())
+    # Only the events of the payload, with the columns it has values for.
+    targets = dict.fromkeys(column_of.values())
+    joined = grown.select("ocel_id", *[_quoted(c) for c in targets]).join(source, "ocel_id")
     fresh = {
         column_of[c]: F.col(place).cast(grown.schema[column_of[c]].dataType) for c, place in places.items()
     }
-    gains = [_quoted(c).isNull() & v.isNotNull() for c, v in fresh.items()]
-    filled = joined.select(
-        *[F.coalesce(_quoted(c), fresh[c]).alias(c) if c in fresh else _quoted(c) for c in grown.columns]
+    gains = {c: _quoted(c).isNull() & v.isNotNull() for c, v in fresh.items()}
+    gained = F.greatest(F.lit(False), F.lit(False), *gains.values())
+    each, counts = _kept(
+        joined.select("ocel_id", *[F.when(gains[c], fresh[c]).alias(c) for c in targets], gained.alias("_gained")),
+        "gains",
+        inserted=F.col("_gained"),
+        skipped=~F.col("_gained"),
     )
-    gained = F.greatest(F.lit(False), F.lit(False), *gains)
-    counts = _counts(joined.where("_in_payload").select((~gained).alias("_there")))
-    return Write(filled, counts)
+    # An event that the table has twice gives its cells once.
+    cells = each.where("_gained").groupBy("ocel_id").agg(*[F.max(_quoted(c)).alias(c) for c in targets])
+    return Write(with_cells(table, [cells]), counts, cells=cells)
 
 
 def object_links(
@@ -170,16 +196,14 @@ def object_links(
     keys = ["ocel_object_id", "ocel_IoT_object_id", "ocel_qualifier", "ocel_time"]
     # How many associations give a link; a link without nulls is new to the first of them only.
     grouped = each.groupBy(*keys).agg(F.count_distinct("_at").alias("_times"))
-    marked = _marked(grouped, links, keys)
     complete = ~F.greatest(*[F.col(k).isNull() for k in keys])
     skipped = (
         F.when(F.col("_there"), F.col("_times"))
         .when(complete, F.col("_times") - 1)
         .otherwise(F.lit(0))
     )
-    counts = marked.agg(
-        F.coalesce(F.sum(F.col("_times") - skipped), F.lit(0)).alias("inserted"),
-        F.coalesce(F.sum(skipped), F.lit(0)).alias("skipped"),
+    marked, counts = _kept(
+        _marked(grouped, links, keys), "marked", inserted=F.col("_times") - skipped, skipped=skipped
     )
     copies = F.when(complete, F.lit(1)).otherwise(F.col("_times"))
     rows = (
@@ -202,9 +226,11 @@ def event_links(links: DataFrame, payload: DataFrame, qualifier: str = "") -> Wr
         )
         .distinct()
     )
-    marked = _marked(candidates, links, keys)
+    marked, counts = _kept(
+        _marked(candidates, links, keys), "marked", inserted=~F.col("_there"), skipped=F.col("_there")
+    )
     rows = marked.where(~F.col("_there")).select(*keys)
-    return Write(links.unionByName(rows), _counts(marked), rows)
+    return Write(links.unionByName(rows), counts, rows)
 
 
 def tick_ledger(ledger: DataFrame, device_type: str, object_type: str) -> DataFrame:

@@ -24,7 +24,7 @@ from sensorthread.schema import (
     OBJECT_LINK_SCHEMA,
 )
 from sensorthread.session import temporary
-from sensorthread.sources.workspace import Workspace
+from sensorthread.sources.workspace import Change, Workspace
 
 PAYLOAD = "processed_iot_payload"
 
@@ -136,14 +136,15 @@ def _check_events(readings: DataFrame, log: EventLog, config: Config) -> None:
 
 
 def integrate(readings: DataFrame, workspace: Workspace, config: Config) -> Result:
-    """Run one integration on the combined readings and save the log as a new version. Its intermediates are removed."""
-    with temporary(readings.sparkSession):
-        return _integrate(readings, workspace, config)
+    """Run one integration on the combined readings and save all of it as one new version of the log, or nothing of it if
+    it fails or another run saves first. Its intermediates are removed."""
+    with temporary(readings.sparkSession), workspace.begin() as change:
+        return _integrate(readings, change, config)
 
 
-def _integrate(readings: DataFrame, workspace: Workspace, config: Config) -> Result:
+def _integrate(readings: DataFrame, change: Change, config: Config) -> Result:
     spark = readings.sparkSession
-    log = workspace.read()
+    log = change.log
     chosen = maps.refine_source(readings, config.device_type, log["object"], config.selected_type)
     target = _target_table(chosen, log, config)
     _check_events(chosen, log, config)
@@ -151,9 +152,8 @@ def _integrate(readings: DataFrame, workspace: Workspace, config: Config) -> Res
     made = process(chosen, log, config)
     # Names that cannot become columns end the run before it has written anything.
     column_names(payload_properties(chosen), KEY_COLUMNS[config.attribute_type])
-    # The payload is saved first: the writes below read it several times, and it is part of the record.
-    log = workspace.commit({PAYLOAD: made})
-    payload = log[PAYLOAD]
+    # The payload is written first: the writes below read it several times, and it is part of the record.
+    payload = change.replace(PAYLOAD, made)
     properties = payload_properties(payload)
 
     if config.attribute_type == "1":
@@ -172,12 +172,13 @@ def _integrate(readings: DataFrame, workspace: Workspace, config: Config) -> Res
         _or_empty(log, LEDGER, LEDGER_SCHEMA, spark), config.device_type, config.selected_type
     )
     main_counts, link_counts = main.counts.first(), linked.counts.first()
-    changed, added = {LEDGER: ledger}, {name: linked.added}
-    if main.added is None:
-        changed[target] = main.table
+    if main.cells is None:
+        change.add(target, main.added)
     else:
-        added[target] = main.added
-    log = workspace.commit(changed, added)
+        change.fill(target, main.cells)
+    change.add(name, linked.added)
+    change.replace(LEDGER, ledger)
+    log = change.commit()
     remaining = maps.remaining_count(readings, log["object"], log[LEDGER]).first()["remaining"]
     return Result(
         remaining == 0,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,29 +41,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-# Paths given out within `temporary`, innermost last.
-_given: list[list[str]] = []
+# Paths given out within the innermost `temporary` of this thread.
+_given: ContextVar[list[str] | None] = ContextVar("_given", default=None)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other call has been given."""
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    if _given:
-        _given[-1].append(path)
+    given = _given.get()
+    if given is not None:
+        given.append(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Removes the intermediates of what runs within when it ends, also by an error. Only for work whose results are
-    saved elsewhere by then."""
-    _given.append([])
+    saved elsewhere by then. Other threads keep theirs."""
+    own: list[str] = []
+    token = _given.set(own)
     try:
         yield
     finally:
-        for path in _given.pop():
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _given.reset(token)
+        for path in own:
+            remove(spark, path)
 
 
 def freeze(df: DataFrame) -> DataFrame:

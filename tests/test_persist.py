@@ -1,5 +1,6 @@
 import os
 import sqlite3
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -12,7 +13,7 @@ from sensorthread.functions.conditions import Bound
 from sensorthread.schema import EVENT_LINK, EVENT_LINK_SCHEMA, LEDGER, OBJECT_LINK, OBJECT_LINK_SCHEMA, WORK_TABLES
 from sensorthread.session import shared_folder
 from sensorthread.sources.sqlite_log import read_sqlite_log
-from sensorthread.sources.workspace import Workspace, export_ocel, init_workspace
+from sensorthread.sources.workspace import Conflict, Workspace, export_ocel, init_workspace
 from tests.test_scenarios import READINGS, T0, at, make_log
 
 PAYLOAD = "device_id string, location string, property string, property_value double, ocel_event_id string, result_time timestamp_ntz"
@@ -155,6 +156,98 @@ def test_a_failed_write_does_no_harm(spark, tmp_path, small):
     assert ws.commit({"extra": good})["extra"].count() == 1
 
 
+def folders(ws):
+    return {os.path.join(d, f) for kind in ("tables", "cells") for d, fs, _ in os.walk(f"{ws.root}/{kind}") for f in fs}
+
+
+def test_a_run_that_fails_halfway_leaves_the_log_as_it_was(spark, tmp_path, small, monkeypatch):
+    log, readings = small
+    ws = workspace(spark, tmp_path, log)
+    before, there = ws._manifest(), {f for f in folders(ws)}
+
+    def fail(*_):
+        raise OSError("lost")
+
+    for step in ("event_links", "tick_ledger", "fill_event_attributes"):
+        with monkeypatch.context() as m:
+            m.setattr(persist, step, fail)
+            with pytest.raises(OSError):
+                integrate(readings, ws, Config("gauge", "go", attribute_type="2"))
+        assert ws._manifest() == before and {f for f in folders(ws) if "/" in f and len(os.path.basename(f)) == 32} == {
+            f for f in there if len(os.path.basename(f)) == 32
+        }
+    assert integrate(readings, ws, Config("gauge", "go", attribute_type="2")).main_inserted == 2
+    assert ws._manifest()[0] == before[0] + 1
+
+
+def test_a_run_is_one_version(spark, tmp_path, small):
+    log, readings = small
+    ws = workspace(spark, tmp_path, log)
+    for n, config in enumerate([Config("gauge", "go", attribute_type="2"), Config("gauge", "truck", selected_type="truck")]):
+        integrate(readings, ws, config)
+        number, paths = ws._manifest()
+        assert number == n + 2 and {"processed_iot_payload", LEDGER} <= set(paths)
+
+
+def test_of_many_writers_one_wins(spark, tmp_path, small):
+    log, _ = small
+    ws = workspace(spark, tmp_path, log)
+    rows = spark.createDataFrame([(1,)], "a int")
+    changes = [Workspace(spark, ws.root).begin() for _ in range(6)]
+    for change in changes:
+        change.add("extra", rows)
+
+    def commit(change):
+        with change:
+            try:
+                change.commit()
+                return True
+            except Conflict:
+                return False
+
+    with ThreadPoolExecutor(6) as pool:
+        assert sum(pool.map(commit, changes)) == 1
+    assert ws.read()["extra"].count() == 1 and ws._manifest()[0] == 2
+    assert len(os.listdir(f"{ws.root}/tables/extra")) == 1
+
+
+def test_runs_in_threads_keep_their_intermediates(spark, tmp_path, small):
+    log, readings = small
+    spaces = []
+    for i in range(3):
+        (tmp_path / str(i)).mkdir()
+        spaces.append(workspace(spark, tmp_path / str(i), log))
+    config = Config("gauge", "go", attribute_type="2", logic=AGGREGATE, func="median", window=200)
+    with ThreadPoolExecutor(3) as pool:
+        results = list(pool.map(lambda ws: integrate(readings, ws, config), spaces))
+    assert [r.main_inserted for r in results] == [2, 2, 2]
+
+
+def test_filled_cells_cost_their_own_size(spark, tmp_path, small):
+    log, readings = small
+    events = spark.range(200_000).selectExpr("concat('x', id) AS ocel_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ocel_time", "rand(1) AS weight")
+    log["event_go"] = log["event_go"].withColumn("weight", F.lit(1.0)).unionByName(events)
+    ws = workspace(spark, tmp_path, log)
+
+    def size():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(ws.root) for f in fs)
+
+    before = size()
+    assert before > 1_000_000
+    result = integrate(readings, ws, Config("gauge", "go", attribute_type="2", logic=AGGREGATE, func="max", window=200))
+    assert result.main_inserted == 2 and size() - before < 50_000
+    table = ws.read()["event_go"]
+    assert table.columns == ["ocel_id", "ocel_time", "weight", "hum", "temp"] and table.count() == 200_002
+    want = [("e1", 1.0, None, 5.0), ("e2", 1.0, 8.0, 7.0)]
+    shown = lambda: sorted(map(tuple, ws.read()["event_go"].where("ocel_id LIKE 'e%'").select("ocel_id", "weight", "hum", "temp").collect()))
+    assert shown() == want
+    again = integrate(readings, ws, Config("gauge", "go", attribute_type="2", logic=AGGREGATE, func="min", window=200))
+    assert (again.main_inserted, again.main_skipped) == (0, 2) and shown() == want
+    assert any(p.startswith("cells/") for p in ws._manifest()[1]["event_go"])
+    ws.compact()
+    assert shown() == want and len(ws._manifest()[1]["event_go"]) == 1
+
+
 def test_two_writers_and_compaction(spark, tmp_path, small):
     log, _ = small
     ws = workspace(spark, tmp_path, log)
