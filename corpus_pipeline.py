@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sensorthread.llm import decontaminate, mixing, near_dup, quality_classifier, secret_scan
 from sensorthread.llm.common import prepared, table
-from sensorthread.session import written
+from sensorthread.session import scratch_path, temporary
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage is a Parquet table in the shared folder, which the next one reads."""
+    """The rows of the last stage; each stage is a Parquet table in the shared folder, which the next one reads. What a
+    stage writes for itself is removed when it is done."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
