@@ -98,14 +98,16 @@ def assigned(
     """Per row the columns of keep (doc_id alone by default) and m_source, size, source_size, target, taken, m_rank and m_from.
 
     taken: words the mix takes of the document, m_from: where it starts within its source. Null texts have no words
-    and are taken in no words; a null source is a source; rows that share a doc_id lie side by side.
+    and are taken in no words; a null source is a source; rows that share a doc_id lie side by side, in the order of their
+    sizes and then of a hash of their texts. Rows without a doc_id lie where their texts' hashes say.
     """
     keep = keep or ["doc_id"]
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     sized = docs.select(
         F.struct(*keep).alias("m_row"),
         F.col("source").alias("m_source"),
         digest.alias("m_key"),
+        F.xxhash64("text").alias("m_text"),
         F.substring(digest, 1, PART_DIGITS).alias("m_part"),
         word_count(F.col("text")).alias("size"),
     )
@@ -118,7 +120,7 @@ def assigned(
     )
     targets = source_targets(parts.groupBy("m_source").agg(F.sum("m_size").alias("source_size")), weights, max_reads)
     starts = starts.join(targets, F.col("p_source").eqNullSafe(F.col("m_source"))).drop("m_source")
-    within = Window.partitionBy("m_source", "m_part").orderBy("m_key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("m_source", "m_part").orderBy("m_key", "size", "m_text").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("m_in", F.sum("size").over(within) - F.col("size")).join(
         starts, F.col("m_source").eqNullSafe(F.col("p_source")) & (F.col("m_part") == F.col("p_part"))
     )
@@ -128,7 +130,15 @@ def assigned(
     rest = goal - reads * F.col("source_size") - begins
     taken = reads * F.col("size") + F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), rest))
     return placed.select(
-        "m_row.*", "m_source", "size", "source_size", "target", taken.alias("taken"), "m_rank", begins.alias("m_from")
+        "m_row.*",
+        "m_source",
+        "size",
+        "source_size",
+        "target",
+        taken.alias("taken"),
+        "m_rank",
+        begins.alias("m_from"),
+        "m_text",
     )
 
 
@@ -150,7 +160,9 @@ def training_order(
     """The training data: the rows of docs, once per reading, sorted by position (0 to 1).
 
     Added are words (those to be read, less than the text has where the source's target ends within it), reading (from
-    0) and position; columns of docs with these names are left out. Documents that the mix does not take are missing.
+    0) and position; columns of docs with these names are left out. Documents that the mix does not take are missing,
+    such as null and empty texts. Equal positions are in the order of doc_id, reading and a hash of the text, null ids
+    first; a null source is a source, and no rows give none.
     """
     own = [c for c in docs.columns if c.lower() not in {"words", "reading", "position"}]
     inner = {name: f"d{i}" for i, name in enumerate(own)}
@@ -172,7 +184,7 @@ def training_order(
             "reading",
             due_at(start, words, schedules).alias("position"),
         )
-        .orderBy("position", "doc_id", "reading")
+        .orderBy("position", "doc_id", "reading", copies["m_text"])
     )
 
 

@@ -194,8 +194,8 @@ def _alike(part: int, whole: int, k: int) -> Column:
 def near_duplicates(
     docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100, k: int = K, wide: int = WIDE
 ) -> DataFrame:
-    """Per row doc_id, n_shingles, component_id (least doc_id reachable by links), kept (is it that document) and
-    text_hash (xxhash64 of the text).
+    """Per row doc_id, n_shingles, component_id (least doc_id reachable by links), kept (is it that document), text_hash
+    (xxhash64 of the text) and group (a number that the rows of a component share, null without words).
 
     Documents link if whole * shared shingles >= part * shingles of either. A document without words has an empty set
     and no links. Rows that repeat have equal sets and thus links. A null doc_id is no candidate for the least one: a
@@ -245,12 +245,14 @@ def near_duplicates(
         roots.select(F.col("node").alias("class"), "root"), "class", "left"
     ).select("class", "least_id", F.coalesce("root", "class").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = placed.join(least, "root").select("class", "component_id")
+    named = placed.join(least, "root").select("class", "component_id", F.col("root").alias("group"))
     with_words = rows.where("class IS NOT NULL").select("doc_id", "text_hash", "n_shingles", "class").join(named, "class")
     return (
-        with_words.select("doc_id", "n_shingles", "component_id", "text_hash")
+        with_words.select("doc_id", "n_shingles", "component_id", "text_hash", "group")
         .unionAll(
-            rows.where("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
+            rows.where("class IS NULL").select(
+                "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("bigint")
+            )
         )
         .select(
             "doc_id",
@@ -258,6 +260,7 @@ def near_duplicates(
             "component_id",
             F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
             "text_hash",
+            "group",
         )
     )
 
@@ -275,22 +278,19 @@ def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """The rows of docs, with all their columns, without all but one document of each group of near-duplicates.
 
-    The document with the least doc_id stays, and of rows that share a doc_id any one: they count as one group. Rows
-    without a doc_id go where their group has one; else one row of each text stays. Documents without words stay.
+    The document with the least doc_id stays. Several rows of a group may have that doc_id, or none of its rows has one:
+    then the row with the least hash of its text stays. Different texts that share a doc_id are different documents.
+    Documents without words (null and empty texts too) stay.
     """
     found = near_duplicates(docs, width, part, whole)
-    rows = written(
-        found.select(
-            "text_hash", F.col("doc_id").alias("id"), "kept", (F.col("n_shingles") > 0).alias("worded"), "component_id"
-        ),
-        "near-duplicates",
-    )
+    rows = written(found.select("text_hash", F.col("doc_id").alias("id"), "kept", "group"), "near-duplicates")
     of_text = ["text_hash", "id"]
     gone = rows.where("NOT kept").select(*of_text)
-    kept = rows.where("kept AND worded")
-    # Kept rows that meet in one group: they share their doc_id, or have none.
-    many = kept.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
-    doubtful = kept.join(many, kept["id"].eqNullSafe(many["id"]), "left_semi").select(*of_text).distinct()
+    # Kept rows that meet in one group.
+    kept = rows.where("kept AND group IS NOT NULL")
+    least = F.min(F.struct(*of_text)).alias("of")
+    many = kept.groupBy("group").agg(F.count("*").alias("rows"), least).where("rows > 1")
+    doubtful = kept.join(many.select("group"), "group", "left_semi").select(*of_text).distinct()
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(own, F.xxhash64("text").alias("text_hash"), F.col("doc_id").alias("id"))
 
@@ -301,8 +301,9 @@ def keep_one(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100)
     sure = keyed.join(leave, matches(leave), "left_anti")
     if doubtful.isEmpty():
         return sure.select("row.*")
-    settled = keyed.join(doubtful, matches(doubtful), "left_semi")
-    one = Window.partitionBy(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("-"), F.col("text_hash")))).orderBy("text_hash")
+    chosen = many.select("of.*")
+    settled = keyed.join(chosen, matches(chosen), "left_semi")
+    one = Window.partitionBy(*of_text).orderBy("text_hash")
     settled = settled.withColumn("place", F.row_number().over(one)).where("place = 1")
     return sure.select("row.*").unionAll(settled.select("row.*"))
 

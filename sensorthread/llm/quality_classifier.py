@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorthread.llm.common import map_batches
-from sensorthread.llm.labelled import least_hashed, with_text
+from sensorthread.llm.labelled import learnable, least_hashed, with_text
 
 BUCKETS = 1 << 14
 META = 1 << 10
@@ -221,8 +221,9 @@ def training_samples(
     """Labelled rows, each of either label at most, and unlabelled ones, pool at most: documents of chars characters at
     most, with the least hashes of their ids. Of several labels of a document the least counts."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = least_hashed(known.where("quality = 0"), each).unionAll(least_hashed(known.where("quality = 1"), each))
-    free = docs.select("doc_id").distinct().join(known, "doc_id", "left_anti")
+    usable = learnable(known, docs, chars)
+    chosen = least_hashed(usable.where("quality = 0"), each).unionAll(least_hashed(usable.where("quality = 1"), each))
+    free = docs.where(F.length("text") <= chars).select("doc_id").distinct().join(known, "doc_id", "left_anti")
     own = docs.select("doc_id", *_COLUMNS)
     order = F.xxhash64("doc_id", "text")
     with_label = with_text(own, chosen, chars).orderBy(order).select(*_COLUMNS, "quality").collect()

@@ -27,7 +27,7 @@ from sensorthread.llm.labelled import held_out
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles of three words, linked from a similarity of 0.85."""
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85, 100).drop("text_hash")
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85, 100).drop("text_hash", "group")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ FROM d JOIN least ON least.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 
 OP2 = rf"""
 WITH d AS (
-  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY 1),
 w AS (
   SELECT source, total, 3 * total AS most, rank, [5, 2, 1][rank % 3 + 1]::BIGINT AS weight

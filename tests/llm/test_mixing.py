@@ -47,6 +47,15 @@ def test_targets_and_takes(docs):
     assert [r.position for r in rows if r.position] == sorted(r.position for r in rows if r.position)
 
 
+def test_order_does_not_depend_on_partitions(spark):
+    rows = [(None if i % 3 else i % 7, f"w{i % 11} " * (i % 5 + 1), None, "ab"[i % 2], None) for i in range(200)]
+    one, many = (
+        [(r.doc_id, r.text, r.reading, r.position) for r in mixing.training_order(documents(spark, rows).repartition(n)).collect()]
+        for n in (1, 7)
+    )
+    assert one == many and [r[3] for r in one] == sorted(r[3] for r in one)
+
+
 def test_order_follows_the_schedule(docs):
     rows = mixing.training_order(docs).collect()
     assert [r.position for r in rows] == sorted(r.position for r in rows)

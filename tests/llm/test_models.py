@@ -113,6 +113,16 @@ def test_language_of_awkward_rows(spark):
     assert language_id.identify(awkward(spark), empty(spark)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_samples_are_drawn_from_labelled_documents_that_fit(spark):
+    docs = documents(spark, [(i, f"text number {i}" * (500 if i >= 80 else 1), "en", "a", 1) for i in range(120)])
+    elsewhere = [(10**6 + i, i % 2, i % 2) for i in range(20_000)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(120)] + elsewhere, "doc_id bigint, quality int, toxic int")
+    known, free = quality_classifier.training_samples(docs, labels.where("doc_id <> 3"), 30, 10, 1000)
+    assert sorted(r[-1] for r in known) == [0] * 30 + [1] * 30 and len(free) == 1
+    texts, toxic = toxicity.training_sample(docs, labels, 25, 1000)
+    assert sorted(toxic) == [0] * 25 + [1] * 25 and len(set(texts)) == 50
+
+
 def test_toxicity_of_held_out_rows(spark):
     # The smaller tables have a few dozen toxic documents only.
     docs, labels = (table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))

@@ -78,11 +78,16 @@ def test_one_of_each_stays(spark):
     kept = near_dup.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i) == [1, 2, 3, 4, 5, 6, 7] and ids.count(None) == 2
+    # Both texts of id 6 stay, as they are no near-duplicates, and one of the two equal rows of id 5.
+    assert sorted(i for i in ids if i) == [1, 2, 3, 4, 5, 6, 6, 7] and ids.count(None) == 2
     assert near_dup.keep_one(empty(spark)).count() == 0
     base = prose(5, 100)
     copies = documents(spark, [(9, base), (8, base + " more"), (10, prose(6, 100)), (None, base)])
     assert sorted(r.doc_id for r in near_dup.keep_one(copies).collect()) == [8, 10]
+    # Near-duplicates that share the least id, and a group without any.
+    other = prose(7, 100)
+    rows = [(8, base), (8, base + " more"), (8, prose(6, 100)), (None, other), (None, other + " more"), (None, other)]
+    assert sorted(r.doc_id or 0 for r in near_dup.keep_one(documents(spark, rows)).collect()) == [0, 8, 8]
 
 
 def test_components(spark):

@@ -1,5 +1,7 @@
 """The registered queries against their SQL, and the pipeline against brute force of what its stages decide."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -60,8 +62,15 @@ def test_the_stages_of_the_pipeline(spark, sf_dir):
     assert sorted(r.doc_id for r in kept[3][1]) == sorted(r.doc_id for r in kept[3][0])
     assert not any("AKIA" in (r.text or "") for r in kept[3][1])
     # The mix is in the order of its positions and takes about as many words as there are.
-    order = [r.position for r in kept[4][1]]
-    assert len(order) and set(r.doc_id for r in kept[4][1]) <= {r.doc_id for r in kept[4][0]}
+    order = [r.position for r in corpus_pipeline.STAGES[4][1](spark, before, sf_dir).collect()]
+    assert len(order) and order == sorted(order)
+    assert set(r.doc_id for r in kept[4][1]) <= {r.doc_id for r in kept[4][0]}
+    n_words = sum(len(split_words(r.text)) for r in kept[4][0])
+    assert sum(r.words for r in kept[4][1]) == pytest.approx(n_words, abs=3)
+
+
+def split_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
 def test_stages_take_awkward_rows(spark, sf_dir):
