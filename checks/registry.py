@@ -299,7 +299,7 @@ def _(spark, sf):
     for df, path in zip(sources, paths):
         write_adjusted(df, path)
     write_combined(read_combined(spark, paths), f"{folder}/combined")
-    return spark.read.parquet(f"{folder}/combined")
+    return read_combined(spark, [f"{folder}/combined"])
 
 
 @check(

@@ -8,11 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorthread.schema import NO_OBJECT
+from sensorthread.functions.folders import type_folder
+from sensorthread.schema import NO_OBJECT, TYPE_FOLDER
 
 
 def source_iot(readings: DataFrame, device_type: str) -> DataFrame:
-    return readings.where(F.col("device_type") == device_type)
+    """Readings of the type; of combined readings only the folder that the type is in is read."""
+    chosen = F.col("device_type") == device_type
+    if TYPE_FOLDER in readings.columns:
+        chosen &= F.col(TYPE_FOLDER) == type_folder(F.lit(device_type))
+    return readings.where(chosen).drop(TYPE_FOLDER)
 
 
 def device_places(readings: DataFrame) -> DataFrame:
@@ -64,15 +69,17 @@ def device_event_map(
 
 
 def refine_source(
-    readings: DataFrame, device_type: str, objects: DataFrame, object_type: str
+    readings: DataFrame, device_type: str, objects: DataFrame, object_type: str, places: DataFrame | None = None
 ) -> DataFrame:
     """Readings of a device type, kept when their device is seen at an object of the given type. A device
-    that is at such an object once keeps all its readings."""
+    that is at such an object once keeps all its readings. `places`: the distinct places of the readings, if there is a
+    table of them."""
     source = source_iot(readings, device_type)
     if object_type == NO_OBJECT:
         return source
     at_type = objects.where(F.col("ocel_type") == object_type).select(F.col("ocel_id").alias("location"))
-    devices = device_places(source).join(at_type, "location", "left_semi").select("device_id").distinct()
+    seen = source if places is None else source_iot(places, device_type)
+    devices = device_places(seen).join(at_type, "location", "left_semi").select("device_id").distinct()
     return source.join(devices, "device_id", "left_semi")
 
 

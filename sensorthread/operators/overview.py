@@ -111,7 +111,8 @@ def directly_follows(log: EventLog, hot_rows: int = HOT_ROWS) -> DataFrame:
 def start_and_end_activities(log: EventLog) -> DataFrame:
     """Per object type and activity, the number of objects whose life starts and ends with it."""
     life = ["object_type", "object"]
-    steps = _steps(log)
+    # Read twice, as least and greatest times first, and then for the steps of these times; the joins run once.
+    steps = written(_steps(log), "steps")
     # Least and greatest time first, which groups by hash; then events and activities are settled among the few steps of
     # these times.
     span = steps.groupBy(*life).agg(F.min("time").alias("born"), F.max("time").alias("gone"))

@@ -12,13 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from sensorthread.functions.folders import key_folder
 from sensorthread.operators.reshape import (
     column_names,
     first_object_values,
     payload_properties,
     pivot_first,
 )
-from sensorthread.schema import PROPERTY, PROPERTY_VALUE
+from sensorthread.schema import KEY_FOLDER, PROPERTY, PROPERTY_VALUE
 from sensorthread.session import written
 
 
@@ -84,11 +85,21 @@ def _kept(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, DataFra
     return rows, spark.createDataFrame([tuple(counts[n] for n in sums)], ", ".join(f"{n} bigint" for n in sums))
 
 
+def in_folders_of(existing: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """The rows in the folders that candidates may be in, of a table that is dealt to folders by the key; rows that were
+    never dealt are kept. The names of the folders, 257 at most, are the only thing collected."""
+    if KEY_FOLDER not in existing.columns:
+        return existing
+    folders = [r.f for r in candidates.select(key_folder(F.col(key)).alias("f")).distinct().collect()]
+    return existing.where(F.col(KEY_FOLDER).isNull() | F.col(KEY_FOLDER).isin(folders))
+
+
 def _marked(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates with `_there`: whether the table has their key. A null in the key never matches. Of a table with
-    times only those of the candidates are read."""
+    """Candidates with `_there`: whether the table has their key. A null in the key never matches. Of a table in folders
+    only those of the candidates are read, of one with times only their times."""
+    candidates = written(candidates, "candidates")
+    existing = in_folders_of(existing, candidates, keys[0])
     if "ocel_time" in keys:
-        candidates = written(candidates, "candidates")
         first, last = candidates.agg(F.min("ocel_time"), F.max("ocel_time")).first()
         existing = existing.where(F.col("ocel_time").between(F.lit(first), F.lit(last)))
     there = existing.select(*keys, F.lit(True).alias("_there")).distinct()
@@ -211,7 +222,7 @@ def object_links(
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
         .select(*keys)
     )
-    return Write(links.unionByName(rows), counts, rows)
+    return Write(links.drop(KEY_FOLDER).unionByName(rows), counts, rows)
 
 
 def event_links(links: DataFrame, payload: DataFrame, qualifier: str = "") -> Write:
@@ -230,7 +241,7 @@ def event_links(links: DataFrame, payload: DataFrame, qualifier: str = "") -> Wr
         _marked(candidates, links, keys), "marked", inserted=~F.col("_there"), skipped=F.col("_there")
     )
     rows = marked.where(~F.col("_there")).select(*keys)
-    return Write(links.unionByName(rows), counts, rows)
+    return Write(links.drop(KEY_FOLDER).unionByName(rows), counts, rows)
 
 
 def tick_ledger(ledger: DataFrame, device_type: str, object_type: str) -> DataFrame:

@@ -54,6 +54,10 @@ def query_dataset(df: DataFrame, sql: str, limit: int | None = None) -> DataFram
     if not text.lower().startswith(("select", "with")):
         raise ValueError("only SELECT queries are allowed")
     df.createOrReplaceTempView("dataset")
-    # As a subquery, nothing but a query parses, and a LIMIT of its own stays inside.
-    rows = df.sparkSession.sql(f"SELECT * FROM ({text}) AS q")
+    try:
+        # As a subquery, nothing but a query parses, and a LIMIT of its own stays inside.
+        rows = df.sparkSession.sql(f"SELECT * FROM ({text}) AS q")
+    finally:
+        # The rows are bound to the table by now.
+        df.sparkSession.catalog.dropTempView("dataset")
     return rows if limit is None else rows.limit(limit)

@@ -91,19 +91,20 @@ def _held_places(readings: DataFrame, log: EventLog) -> DataFrame:
 
 
 def readings_at_events(
-    readings: DataFrame, log: EventLog, event_types: list[str], once: bool = False
+    readings: DataFrame, log: EventLog, event_types: list[str], once: bool = False, places: DataFrame | None = None
 ) -> DataFrame:
     """Readings joined to the events their device maps to, at equal times.
 
     A device that maps to an event in two ways gives the reading twice, unless `once`. Which device meets
-    which event when is settled on distinct (device, time) rows; the readings join in last.
+    which event when is settled on distinct (device, time) rows; the readings join in last. `places`, here and below: the
+    distinct places of the readings, if there is a table of them.
     """
     events = log.related_events(event_types).select("ocel_event_id", "place", "event_time")
     timed = readings.withColumn("result_time", naive("result_time"))
     meetings = (
         timed.select("device_id", F.col("result_time").alias("event_time"))
         .distinct()
-        .join(_held_places(readings, log), "device_id")
+        .join(_held_places(readings if places is None else places, log), "device_id")
         .join(events, ["place", "event_time"])
         .select("device_id", F.col("event_time").alias("result_time"), "ocel_event_id")
     )
@@ -115,9 +116,14 @@ def readings_at_events(
 
 
 def object_payload_at_events(
-    readings: DataFrame, log: EventLog, event_types: list[str], keep: Column | None = None, once: bool = False
+    readings: DataFrame,
+    log: EventLog,
+    event_types: list[str],
+    keep: Column | None = None,
+    once: bool = False,
+    places: DataFrame | None = None,
 ) -> DataFrame:
-    joined = readings_at_events(readings, log, event_types, once)
+    joined = readings_at_events(readings, log, event_types, once, places)
     return joined if keep is None else joined.where(keep)
 
 
@@ -128,9 +134,10 @@ def object_payload_by_event(
     func: str,
     once: bool = False,
     hot_rows: int = HOT_ROWS,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """One value per event and reading key. The join is on equal times, so no window is left to apply."""
-    joined = readings_at_events(readings, log, event_types, once)
+    joined = readings_at_events(readings, log, event_types, once, places)
     return aggregate_values(joined, [*READING, "ocel_event_id", "result_time"], func, hot_rows)
 
 
@@ -193,6 +200,7 @@ def matches_before_events(
     lookback: int,
     mapped: bool,
     hot_rows: int = HOT_ROWS,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """How many readings of the last `lookback` minutes each event meets, and the earliest and latest of them.
 
@@ -202,7 +210,7 @@ def matches_before_events(
     if mapped:
         events = _related(log, event_type)
         per_device = timed.groupBy("device_id", "us").agg(F.count(F.lit(1)).alias("n"))
-        at_places = per_device.join(_held_places(readings, log), "device_id")
+        at_places = per_device.join(_held_places(readings if places is None else places, log), "device_id")
         keyed = at_places.groupBy(F.struct("place").alias("key"), "place", "us").agg(F.sum("n").alias("n"))
         by = ["place"]
     else:
@@ -244,6 +252,7 @@ def closest_before_events(
     lookback: int = CLOSEST_LOOKBACK,
     keep: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """The newest reading per event and property, then `keep` on the picked readings only: an event whose newest
     reading fails it gets none. Equal times are settled by device_id, property_value, location, device_type,
@@ -252,7 +261,7 @@ def closest_before_events(
     if mapped:
         events = _related(log, event_type)
         by = ["place"]
-        keyed = timed.join(_held_places(readings, log), "device_id").withColumn(
+        keyed = timed.join(_held_places(readings if places is None else places, log), "device_id").withColumn(
             "key", F.struct("place", "property")
         )
     else:
@@ -303,6 +312,7 @@ def aggregate_before_events(
     mapped: bool,
     once: bool = False,
     hot_rows: int = HOT_ROWS,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """One value per event and reading key over the last `lookback` minutes.
 
@@ -317,7 +327,7 @@ def aggregate_before_events(
         times = events.select("place", "us").distinct()
         met = written(
             _active_spans(keyed, ["device_id"], lookback)
-            .join(_held_places(readings, log), "device_id")
+            .join(_held_places(readings if places is None else places, log), "device_id")
             .join(_with_span(times, lookback), ["place", "span"])
             .select("device_id", "place", "us"),
             "met",

@@ -84,8 +84,8 @@ def _keep(config: Config) -> Column | None:
     return value_predicate(config.lower, config.upper)
 
 
-def process(readings: DataFrame, log: EventLog, config: Config) -> DataFrame:
-    """The payload of a run."""
+def process(readings: DataFrame, log: EventLog, config: Config, places: DataFrame | None = None) -> DataFrame:
+    """The payload of a run. `places`: the distinct places of the readings, if there is a table of them."""
     if config.logic not in (PASS, FILTER, AGGREGATE):
         raise ValueError(f"unknown logic {config.logic!r}")
     scenario = scenarios.choose_scenario(config.attribute_type, list(config.associations))
@@ -100,14 +100,14 @@ def process(readings: DataFrame, log: EventLog, config: Config) -> DataFrame:
     if scenario is Scenario.OBJECT_AT_EVENTS:
         types = [a.event_type for a in config.associations]
         if aggregate:
-            return scenarios.object_payload_by_event(readings, log, types, config.func, config.once)
-        return scenarios.object_payload_at_events(readings, log, types, keep, config.once)
-    mapped = scenarios.is_mapped(readings, log, config.ocel_type)
+            return scenarios.object_payload_by_event(readings, log, types, config.func, config.once, places=places)
+        return scenarios.object_payload_at_events(readings, log, types, keep, config.once, places)
+    mapped = scenarios.is_mapped(readings if places is None else places, log, config.ocel_type)
     if aggregate:
         return scenarios.aggregate_before_events(
-            readings, log, config.ocel_type, config.func, config.window, mapped, config.once
+            readings, log, config.ocel_type, config.func, config.window, mapped, config.once, places=places
         )
-    return scenarios.closest_before_events(readings, log, config.ocel_type, mapped, keep=keep)
+    return scenarios.closest_before_events(readings, log, config.ocel_type, mapped, keep=keep, places=places)
 
 
 def _or_empty(log: EventLog, name: str, schema, spark) -> DataFrame:
@@ -135,21 +135,28 @@ def _check_events(readings: DataFrame, log: EventLog, config: Config) -> None:
         raise ValueError("no event of a mapped type takes place where the chosen devices are")
 
 
-def integrate(readings: DataFrame, workspace: Workspace, config: Config) -> Result:
+def integrate(readings: DataFrame, workspace: Workspace, config: Config, places: DataFrame | None = None) -> Result:
     """Run one integration on the combined readings and save all of it as one new version of the log, or nothing of it if
-    it fails or another run saves first. Its intermediates are removed."""
+    it fails or another run saves first. Its intermediates are removed.
+
+    `places`, the table that `add_places` keeps beside the readings, spares the scans of all readings that only ask which
+    devices are where.
+    """
     with temporary(readings.sparkSession), workspace.begin() as change:
-        return _integrate(readings, change, config)
+        return _integrate(readings, change, config, places)
 
 
-def _integrate(readings: DataFrame, change: Change, config: Config) -> Result:
+def _integrate(readings: DataFrame, change: Change, config: Config, places: DataFrame | None) -> Result:
     spark = readings.sparkSession
     log = change.log
-    chosen = maps.refine_source(readings, config.device_type, log["object"], config.selected_type)
-    target = _target_table(chosen, log, config)
-    _check_events(chosen, log, config)
-
-    made = process(chosen, log, config)
+    chosen = maps.refine_source(readings, config.device_type, log["object"], config.selected_type, places)
+    held = None
+    if places is not None:
+        held = maps.refine_source(places, config.device_type, log["object"], config.selected_type)
+    target = _target_table(chosen if held is None else held, log, config)
+    _check_events(chosen if held is None else held, log, config)
+
+    made = process(chosen, log, config, held)
     # Names that cannot become columns end the run before it has written anything.
     column_names(payload_properties(chosen), KEY_COLUMNS[config.attribute_type])
     # The payload is written first: the writes below read it several times, and it is part of the record.
@@ -159,13 +166,13 @@ def _integrate(readings: DataFrame, change: Change, config: Config) -> Result:
     if config.attribute_type == "1":
         main = persist.insert_object_attributes(log[target], payload, properties)
         name = OBJECT_LINK
-        links = _or_empty(log, name, OBJECT_LINK_SCHEMA, spark)
+        links = change.links(name) or spark.createDataFrame([], OBJECT_LINK_SCHEMA)
         associations = list(config.associations) or [Association(config.qualifier)]
         linked = persist.object_links(links, payload, associations, log["event"])
     else:
         main = persist.fill_event_attributes(log[target], payload, properties)
         name = EVENT_LINK
-        links = _or_empty(log, name, EVENT_LINK_SCHEMA, spark)
+        links = change.links(name) or spark.createDataFrame([], EVENT_LINK_SCHEMA)
         linked = persist.event_links(links, payload, config.qualifier)
 
     ledger = persist.tick_ledger(
@@ -179,7 +186,7 @@ def _integrate(readings: DataFrame, change: Change, config: Config) -> Result:
     change.add(name, linked.added)
     change.replace(LEDGER, ledger)
     log = change.commit()
-    remaining = maps.remaining_count(readings, log["object"], log[LEDGER]).first()["remaining"]
+    remaining = maps.remaining_count(readings if places is None else places, log["object"], log[LEDGER]).first()["remaining"]
     return Result(
         remaining == 0,
         main_counts["inserted"],

@@ -49,6 +49,13 @@ EVENT_LINK_SCHEMA = T.StructType(
     ]
 )
 
+# Columns that name the folders of combined readings and of links; readers of tables drop them.
+TYPE_FOLDER = "type_folder"
+KEY_FOLDER = "key_folder"
+
+# The column that links are looked up by.
+LINK_KEYS = {OBJECT_LINK: "ocel_object_id", EVENT_LINK: "ocel_event_id"}
+
 LEDGER = "integration_log"
 LEDGER_SCHEMA = T.StructType(
     [

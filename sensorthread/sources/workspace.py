@@ -17,11 +17,13 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sensorthread.functions.folders import key_folder
 from sensorthread.operators.combine import combine
 from sensorthread.operators.log import EventLog
 from sensorthread.operators.persist import with_cells
-from sensorthread.schema import WORK_TABLES
+from sensorthread.schema import KEY_FOLDER, LINK_KEYS, WORK_TABLES
 from sensorthread.session import remove
 
 
@@ -46,8 +48,13 @@ def read_ocel(spark: SparkSession, path: str) -> EventLog:
     return EventLog({n: spark.read.parquet(f"{path}/{n}") for n in names if not n.startswith(("_", "."))})
 
 
-def _write(df: DataFrame, path: str) -> None:
-    df.write.option("compression", "zstd").parquet(path)
+def _write(df: DataFrame, path: str, folder_by: str | None = None) -> None:
+    if folder_by is None:
+        df.write.option("compression", "zstd").parquet(path)
+        return
+    # Ranges split a key that has many of the rows among tasks.
+    dealt = df.withColumn(KEY_FOLDER, key_folder(F.col(folder_by))).repartitionByRange(KEY_FOLDER, *df.columns)
+    dealt.write.option("compression", "zstd").partitionBy(KEY_FOLDER).parquet(path)
 
 
 def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
@@ -108,13 +115,13 @@ class Workspace:
     def read(self) -> EventLog:
         return self._log(self._manifest()[1])
 
-    def _log(self, paths: dict[str, list[str]]) -> EventLog:
-        def table(folders: list[str]) -> DataFrame:
-            parts = {f: self.spark.read.parquet(f"{self.root}/{f}") for f in folders}
-            rows = combine([df for f, df in parts.items() if not f.startswith(_CELLS)])
-            return with_cells(rows, [df for f, df in parts.items() if f.startswith(_CELLS)])
+    def _table(self, folders: list[str]) -> DataFrame:
+        parts = {f: self.spark.read.parquet(f"{self.root}/{f}") for f in folders}
+        rows = combine([df for f, df in parts.items() if not f.startswith(_CELLS)])
+        return with_cells(rows, [df for f, df in parts.items() if f.startswith(_CELLS)])
 
-        return EventLog({name: table(folders) for name, folders in paths.items()})
+    def _log(self, paths: dict[str, list[str]]) -> EventLog:
+        return EventLog({name: self._table(folders).drop(KEY_FOLDER) for name, folders in paths.items()})
 
     def begin(self, replace: bool = False) -> Change:
         """A change of the log as it is now, or of none of its tables if `replace`."""
@@ -161,10 +168,14 @@ class Change:
         self._written: list[str] = []
         self._done = False
 
+    def links(self, name: str) -> DataFrame | None:
+        """A link table as it was, with the folder of each row, null in a log that was not written here; None without."""
+        return self.workspace._table(self.paths[name]) if name in self.paths else None
+
     def _write(self, kind: str, name: str, df: DataFrame) -> str:
         folder = f"{kind}{name}/{uuid.uuid4().hex}"
         self._written.append(folder)
-        _write(df, f"{self.workspace.root}/{folder}")
+        _write(df, f"{self.workspace.root}/{folder}", LINK_KEYS.get(name))
         return folder
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from sensorthread.functions.clock import read_time
 from sensorthread.plans.conform import Notice, Mapping, conform, ensure_location, parse_times, select_allowed, validate_mapping
 from sensorthread.schema import CANONICAL_NAMES
 from sensorthread.sources.csv import csv_columns, read_iot_csv, read_with_overrides
-from sensorthread.sources.parquet import read_combined, write_adjusted, write_combined
+from sensorthread.sources.parquet import add_places, read_combined, write_adjusted, write_combined
 
 CSV = """id,kind,at,spot,temp,hum,state,note
 d1,t,2024-01-01 00:00:00,o1,20.5,40,true,x
@@ -152,6 +152,38 @@ def test_combine_fills_and_widens(spark, tmp_path):
         write_combined(one.where("false"), str(tmp_path / "none"))
 
 
+def test_combined_readings_of_one_type_are_in_few_files(spark, tmp_path):
+    rows = [(f"d{i % 37}", f"type{i % 100}" if i % 10 else None, i) for i in range(5000)]
+    rows += [("hot", "type3", i) for i in range(5000)] + [("e", "", 1), ("n", "07", 2)]
+    df = spark.createDataFrame(rows, "device_id string, device_type string, result_time long")
+    path = str(tmp_path / "all")
+    write_combined(df, path)
+    back = read_combined(spark, [path])
+    assert back.columns == df.columns and sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+    every = len({r[0] for r in back.select(F.input_file_name()).distinct().collect()})
+    for kind in ("type7", "type3", "", "07", "absent"):
+        one = read_combined(spark, [path], kind)
+        assert sorted(map(tuple, one.collect())) == sorted(r for r in rows if r[1] == kind)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(type_folder" in plan
+        if kind == "type7":
+            folders = {r[0].split("/")[-2] for r in one.select(F.input_file_name()).distinct().collect()}
+            assert len(folders) == 1 and every > 60
+
+
+def test_places_are_kept_up_to_date(spark, tmp_path):
+    schema = "device_id string, device_type string, location string, x int"
+    path = str(tmp_path / "places")
+    first = [("d1", "a", "p", 1), ("d1", "a", "p", 2), ("d2", "a", None, 1), (None, None, None, 1)]
+    assert add_places(spark.createDataFrame(first, schema), path).count() == 3
+    more = [("d1", "a", "p", 3), (None, None, None, 2), ("d2", "a", "q", 1)]
+    for _ in range(2):
+        places = add_places(spark.createDataFrame(more, schema), path)
+        assert sorted(map(tuple, places.collect()), key=repr) == sorted(
+            [("a", "d1", "p"), ("a", "d2", None), (None, None, None), ("a", "d2", "q")], key=repr
+        )
+
+
 def test_profile_and_summary(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, `b c` string")
     rows = {r.name: (r.row_count, r.proposed_dtype, r.nulls) for r in column_profile(df).collect()}
@@ -171,3 +203,4 @@ def test_adhoc_queries(spark):
     with pytest.raises(Exception):
         query_dataset(df, "SELECT 1) AS q; DROP VIEW dataset; SELECT (1").collect()
     assert df.agg(F.count("id")).first()[0] == 20
+    assert not spark.catalog.tableExists("dataset")

@@ -12,6 +12,7 @@ from sensorthread.plans.integrate import AGGREGATE, FILTER, Config, integrate
 from sensorthread.functions.conditions import Bound
 from sensorthread.schema import EVENT_LINK, EVENT_LINK_SCHEMA, LEDGER, OBJECT_LINK, OBJECT_LINK_SCHEMA, WORK_TABLES
 from sensorthread.session import shared_folder
+from sensorthread.sources.parquet import add_places
 from sensorthread.sources.sqlite_log import read_sqlite_log
 from sensorthread.sources.workspace import Conflict, Workspace, export_ocel, init_workspace
 from tests.test_scenarios import READINGS, T0, at, make_log
@@ -189,6 +190,47 @@ def test_a_run_is_one_version(spark, tmp_path, small):
         assert number == n + 2 and {"processed_iot_payload", LEDGER} <= set(paths)
 
 
+def test_a_table_of_places_gives_the_same_runs(spark, tmp_path, small):
+    log, readings = small
+    places = add_places(readings, str(tmp_path / "places"))
+    for i, config in enumerate(
+        [
+            Config("gauge", "truck", selected_type="truck"),
+            Config("gauge", "truck", associations=(Association("on", "go"),)),
+            Config("gauge", "go", attribute_type="2", logic=AGGREGATE, func="sum", window=200),
+            Config("cam", "go", attribute_type="2"),
+        ]
+    ):
+        results, tables = [], []
+        for given in (None, places):
+            (tmp_path / f"{i}{given is None}").mkdir()
+            ws = workspace(spark, tmp_path / f"{i}{given is None}", log)
+            results.append(integrate(readings, ws, config, given))
+            tables.append({n: sorted(map(tuple, df.collect()), key=repr) for n, df in ws.read().items() if n != LEDGER})
+        assert results[0] == results[1] and tables[0] == tables[1]
+
+
+def test_links_are_looked_up_in_their_folders(spark, tmp_path, small):
+    log, _ = small
+    ws = workspace(spark, tmp_path, log)
+    columns = ["concat('e', id) AS ocel_event_id", "'d' AS ocel_IoT_object_id", "'q' AS ocel_qualifier"]
+    ws.commit({}, {EVENT_LINK: spark.range(3000).selectExpr(*columns)})
+    links = ws.begin().links(EVENT_LINK)
+    payload = spark.createDataFrame([("d", "o", "x", 1.0, e, T0) for e in ("e7", "e8", "new", None)], PAYLOAD)
+    write = persist.event_links(links, payload, "q")
+    assert counts(write) == (1, 2) and write.table.columns == ["ocel_event_id", "ocel_IoT_object_id", "ocel_qualifier"]
+    assert write.table.count() == 3001 and ws.read()[EVENT_LINK].columns == write.table.columns
+
+    def files(df):
+        return df.select(F.input_file_name()).distinct().count()
+
+    some = persist.in_folders_of(links, payload.where("ocel_event_id IS NOT NULL"), "ocel_event_id")
+    assert files(links) > 200 and files(some) <= 9
+    # Links of a log that was not written here have no folders and are all read.
+    old = links.drop("key_folder").where("ocel_event_id = 'e8'").withColumn("key_folder", F.lit(None).cast("string"))
+    assert counts(persist.event_links(old, payload, "q")) == (2, 1)
+
+
 def test_of_many_writers_one_wins(spark, tmp_path, small):
     log, _ = small
     ws = workspace(spark, tmp_path, log)
