@@ -26,7 +26,7 @@ def test_queries_against_sql(spark, sf_dir, name):
     assert _rows(got.columns, got.collect()) == _rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"op12_whitening"}))
 def test_other_queries_have_a_row_per_document(spark, sf_dir, name):
     rows = QUERIES[name](spark, sf_dir).select("doc_id").collect()
     ids = duckdb.sql(f"SELECT doc_id FROM '{sf_dir}/documents.parquet'").fetchall()
