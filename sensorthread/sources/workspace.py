@@ -49,7 +49,8 @@ def read_ocel(spark: SparkSession, path: str) -> EventLog:
 
 
 def _write(df: DataFrame, path: str, folder_by: str | None = None) -> None:
-    if folder_by is None:
+    # Without rows there would be no folder, and thus no file to know the columns from.
+    if folder_by is None or df.isEmpty():
         df.write.option("compression", "zstd").parquet(path)
         return
     # Ranges split a key that has many of the rows among tasks.
