@@ -20,6 +20,9 @@ LOWER = UPPER.lower()
 BATCH_ROWS = 500
 BATCH_BYTES = 16 << 20
 
+#: Bits of the filter that finds rows by their hash before a join: at most FILTER_BITS / 64 rows of two numbers.
+FILTER_BITS = 1 << 26
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with adaptive execution on and small batches for Python workers."""
@@ -48,6 +51,28 @@ def split_words(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.split(bare, f"{SPACE_CLASS}+")).otherwise(F.array().cast("array<string>"))
 
 
+def may_match(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose key (a hash of 64 bits) is one of wanted's, and few others: what a join by the key needs of wide rows.
+
+    A Bloom filter with one hash: bits (a power of two from 64 on) in words of 64, of which those with a bit set are
+    broadcast, at most bits / 64 whatever the size of wanted. With more keys than bits more rows pass; none is lost.
+    Null keys match nothing. The rows keep their columns.
+    """
+    place = F.pmod(F.col(wanted_key), F.lit(bits))
+    words = (
+        wanted.where(F.col(wanted_key).isNotNull())
+        .groupBy(F.shiftright(place, 6).alias("filter_word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int"))).alias("filter_bits"))
+    )
+    at = F.pmod(F.col(key), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
+    return (
+        rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("filter_word"))
+        .where(F.col("filter_bits").bitwiseAND(bit) != 0)
+        .drop("filter_word", "filter_bits")
+    )
+
+
 def map_batches(
     df: DataFrame, columns: Callable[..., dict], schema: str, names: list[str] | None = None
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorthread.llm.common import LOWER, UPPER, let
+from sensorthread.llm.common import LOWER, UPPER, let, may_match
 from sensorthread.session import written
 
 WINDOW = 10
@@ -151,9 +151,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     ).join(item_marks, "mark")
     suspects = written(found.groupBy("k1", "k2").agg(F.collect_set("mark").alias("marks")), "suspects")
 
-    # Sorted and merged at every size: a broadcast that gives way at some size would make small runs tell nothing of
-    # large ones.
-    again = docs.where("text IS NOT NULL").select(*_key(F.col("text")), "text").join(suspects.hint("merge"), ["k1", "k2"])
+    # Texts that are no suspects are left where they are.
+    again = docs.where("text IS NOT NULL").select(*_key(F.col("text")), "text")
+    again = may_match(again, "k1", suspects, "k1").join(suspects, ["k1", "k2"])
     again = again.select("k1", "k2", bench_words(F.col("text")).alias("words"), "marks")
     candidates = F.flatten(F.array(*[_marked_windows(words, F.col("marks"), n, window, gram) for n in lengths]))
     hits = (
