@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensorthread.llm.common import map_batches
+from sensorthread.llm.common import map_batches, may_match
 from sensorthread.llm.graph import connected_components
 from sensorthread.session import written
 
@@ -214,7 +214,9 @@ def near_duplicates(
         ),
         "classes",
     )
-    near = classes.join(_listed(inverted_lists(classes, k, threshold)), "class", "left_semi")
+    near = written(
+        classes.select("class", "of").join(_listed(inverted_lists(classes, k, threshold)), "class", "left_semi"), "near"
+    )
     texts = written(_texts(docs, near), "texts")
     near = written(_wide(texts, width, wide), "wide")
     lists = written(inverted_lists(near, wide, threshold), "lists")
@@ -269,7 +271,7 @@ def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, text) from the document that stands for each class; once, even if its row repeats."""
     wanted = classes.select("class", F.col("of.doc_id").alias("c_id"), F.col("of.text_hash").alias("c_hash"))
     found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    joined = found.join(
+    joined = may_match(found, "text_hash", wanted, "c_hash").join(
         wanted, (F.col("text_hash") == F.col("c_hash")) & F.col("doc_id").eqNullSafe(F.col("c_id"))
     ).select("class", "text")
     return joined.groupBy("class").agg(F.first("text").alias("text"))
