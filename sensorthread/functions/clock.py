@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,13 @@ def read_time(text: Column) -> Column:
     return F.when(text.rlike(_WITH_OFFSET), in_utc).otherwise(text.try_cast("timestamp_ntz"))
 
 
+def read_time_as(text: Column, formats: Iterable[str] = ()) -> Column:
+    """A text in an ISO form, or else in the first of the formats that fits, as a zone-free timestamp."""
+    text = F.trim(text)
+    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    return F.coalesce(read_time(text), *tries)
+
+
 def micros(ts: Column | str) -> Column:
     """Microseconds since 1970 of a zone-free timestamp, whatever the session zone is."""
     ts = F.col(ts) if isinstance(ts, str) else ts

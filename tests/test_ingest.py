@@ -1,3 +1,5 @@
+import random
+from csv import writer as csv_writer
 from datetime import datetime
 
 import pytest
@@ -9,7 +11,8 @@ from sensorthread.operators.reshape import pivot_first, stack_properties
 from sensorthread.functions.clock import read_time
 from sensorthread.plans.conform import Notice, Mapping, conform, ensure_location, parse_times, select_allowed, validate_mapping
 from sensorthread.schema import CANONICAL_NAMES
-from sensorthread.sources.csv import csv_columns, read_iot_csv, read_with_overrides
+from sensorthread.sources.csv import csv_columns, parsed_once, read_iot_csv, read_with_overrides, read_with_times
+from sensorthread.sources.csv_records import _scanned
 from sensorthread.sources.parquet import add_places, read_combined, write_adjusted, write_combined
 
 CSV = """id,kind,at,spot,temp,hum,state,note
@@ -204,3 +207,59 @@ def test_adhoc_queries(spark):
         query_dataset(df, "SELECT 1) AS q; DROP VIEW dataset; SELECT (1").collect()
     assert df.agg(F.count("id")).first()[0] == 20
     assert not spark.catalog.tableExists("dataset")
+
+
+BROKEN = [
+    'a,b,c\n1,"x\ny",2\n3,"say ""hi""\n\n, there",4\n5,,"\n"\n',  # breaks, doubled quotes, empty lines within
+    '﻿"a\nb","c"\n"1","x"\n"2","\r\ny"\n',  # a header over lines, after a mark of the byte order
+    'a,b\r\n1,"x\r\ny"\r\n\r\n2,z\r\n',
+    'a,b\n1,5" pipe\n2,"q"\n3,6"\n"4\n","7"" "\n',  # quotes within unquoted fields open nothing
+    'a,b\n1,"' + "\n".join(f"line {i}" for i in range(200)) + '"\n2,y',  # a record over many splits
+    "a,b\n",
+]
+
+
+@pytest.mark.parametrize("content", BROKEN)
+@pytest.mark.parametrize("split", [1 << 20, 64])
+def test_quoted_line_breaks_in_many_tasks(spark, tmp_path, content, split):
+    for i in range(2):
+        (tmp_path / f"f{i}.csv").write_bytes(content.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        df = parsed_once(spark, str(tmp_path), True)
+        want = spark.read.options(header=True, multiLine=True, escape='"').csv(str(tmp_path))
+        assert df.columns == want.columns
+        # In files of \r\n lines, the reader to compare with changes those within quotes too.
+        rows = [tuple(v and v.replace("\r\n", "\n") for v in r) for r in df.collect()]
+        others = [tuple(v and v.replace("\r\n", "\n") for v in r) for r in want.collect()]
+        assert sorted(rows, key=repr) == sorted(others, key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_random_records_in_many_tasks(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [
+        [str(i)] + ["".join(rng.choice(['"', "\n", ",", "x", "é", '""', "\r\n"]) for _ in range(rng.randrange(9))) for _ in "bc"]
+        for i in range(400)
+    ]
+    with open(tmp_path / "r.csv", "w", newline="") as out:
+        csv_writer(out, lineterminator="\n").writerows([["a", "b", "c"], *rows])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 200)
+        lines = _scanned(spark, str(tmp_path / "r.csv"))
+        assert lines.select("block").distinct().count() > 5
+        got = parsed_once(spark, str(tmp_path / "r.csv"), True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.a, r.b or "", r.c or "") for r in got) == sorted(map(tuple, rows))
+
+
+def test_a_file_is_parsed_once(spark, csv):
+    df, unread = read_with_times(spark, csv, {"at": "Datetime", "kind": "Datetime", "hum": "Float64"}, ["dd.MM.yyyy"])
+    assert unread == ["kind"] and dict(df.dtypes)["at"] == "timestamp_ntz" and dict(df.dtypes)["temp"] == "double"
+    assert df.where("at IS NULL").count() == 1
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "FileScan csv" not in plan
