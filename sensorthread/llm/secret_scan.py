@@ -2,14 +2,19 @@
 
 The field tags tokens (runs without spaces, quotes and separators) as the beginning of a secret, inside of one, or
 outside. Its features are the token's shape, the words and separators beside it, and a few of the whole text. It is
-trained in numpy on a bounded sample whose tags come from the patterns, and decoded by Viterbi. Tokens that are outside
+trained in numpy on a bounded sample whose tags come from the patterns, and on variants of it that no pattern matches:
+assigned secrets under an ordinary word and drawn anew in other forms, and words, numbers and paths in their place. So neither key
+words nor the patterns' alphabets are enough to tell a secret. It is decoded by Viterbi. Tokens that are outside
 whatever their neighbours are, by a bound on the weights, are settled at once; the rest are decoded in the runs that
 remain, which gives the same tags.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +37,18 @@ SAMPLE_CHARS = 8_000
 WINDOW = 24
 ROUNDS = 120
 WORDS = 1 << 12
+#: What secrets of variants are drawn from, their lengths, and the characters kept on both sides of them.
+FORMS = (
+    string.hexdigits[:16],
+    string.hexdigits[:10] + string.hexdigits[16:],
+    string.ascii_uppercase + string.digits,
+    string.ascii_letters + string.digits,
+    string.ascii_letters + string.digits + "-_",
+)
+LENGTHS = (12, 48)
+#: Forms of what is no secret in their place: words (w), numbers of up to so many digits, and signs.
+PLAIN = ("w", "w", "w", "4", "8", "4-2-2", "1.2.2", "w-2", "w.2", "w_w", "w/w.w", "w@w.w")
+BESIDE = 200
 
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS[:-1] + "{%d,}" % (LEAST_ACCESS - 4))
@@ -198,19 +215,43 @@ class Field:
         return np.array(tags[::-1], np.int8)
 
 
+def variants(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
+    """For each assigned secret two texts around it, with where their own secrets begin and end: one with another secret
+    under a word of the text, and one with what is no secret in its place."""
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    made = []
+    for (_, kind, start, end), begin in base_spans(text):
+        if kind != "assign":
+            continue
+        left, right = text[max(0, start - BESIDE) : start], text[end : end + BESIDE]
+        between = text[_ASSIGN.match(text, start).end(1) : begin]
+        words = re.findall(r"[^\W\d_]+", left + right) or ["value"]
+        secret = "".join(rng.choices(rng.choice(FORMS), k=rng.randint(*LENGTHS)))
+        head = left + rng.choice(words) + between
+        made.append((head + secret + right, [(len(head), len(head) + len(secret))]))
+        plain = [rng.choice(words) if part == "w" else str(rng.randrange(10 ** int(part))) if part.isdigit() else part
+                 for part in rng.choice(PLAIN)]
+        made.append((left + rng.choice(words) + between + "".join(plain) + right, []))
+    return made
+
+
 def train(texts: list[str], rounds: int = ROUNDS, rate: float = 0.3, decay: float = 1e-4) -> Field | None:
-    """A field that gives texts the tags of their base spans, by gradient ascent on the likelihood; None without any.
+    """A field that gives texts the tags of their base spans, and their variants those of their secrets, by gradient
+    ascent on the likelihood; None without any.
 
     Texts are cut into windows of WINDOW tokens, the last of each filled up with places that count for nothing; all
-    windows with a secret count, and others up to four times as many.
+    windows with a secret and all of variants count, and others up to four times as many as have a secret.
     """
     rows, golds, sizes = [], [], []
-    for text in texts:
+    examples = [(text, []) for text in texts]
+    examples += [variant for text in texts for variant in variants(text)]
+    own_windows = 0
+    for i, (text, secrets) in enumerate(examples):
         tokens = tokenised(text)
         n = len(tokens.start)
         word = tokens.words(np.arange(n))
         gold = np.zeros(n, np.int64)
-        for (_, _, _, end), begin in base_spans(text):
+        for begin, end in secrets + [(begin, span[3]) for span, begin in base_spans(text)]:
             own = np.flatnonzero((tokens.start < end) & (tokens.end > begin))
             gold[own] = np.where(gold[own] == 1, 1, 2)
             gold[own[:1]] = 1
@@ -223,11 +264,13 @@ def train(texts: list[str], rounds: int = ROUNDS, rate: float = 0.3, decay: floa
             rows.append(np.pad(row, ((0, fill), (0, 0))))
             golds.append(np.pad(gold[s:e], (0, fill)))
             sizes.append(e - s)
+        own_windows = len(rows) if i < len(texts) else own_windows
     with_secret = [i for i, g in enumerate(golds) if g.any()]
     if not with_secret:
         return None
-    others = [i for i, g in enumerate(golds) if not g.any()]
+    others = [i for i, g in enumerate(golds[:own_windows]) if not g.any()]
     chosen = with_secret + others[:: max(1, len(others) // (4 * len(with_secret)))]
+    chosen += [i for i in range(own_windows, len(golds)) if not golds[i].any()]
     x = np.stack([rows[i] for i in chosen])  # window, place, feature
     gold = np.stack([golds[i] for i in chosen])
     real = np.arange(WINDOW) < np.array([sizes[i] for i in chosen])[:, None]

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import string
 import re
 
 import numpy as np
@@ -280,6 +281,47 @@ def test_the_field_finds_what_no_pattern_does():
     assert not any(s[1] == "field" for t in texts for s, _ in secret_scan.found_spans(" ".join(words), field))
 
 
+def test_the_field_finds_forms_and_words_it_never_saw():
+    """Learned from hexadecimal tokens alone; other alphabets, lengths and key words are held out, and so are settings
+    with harmless values."""
+    rng = random.Random(11)
+    words = "the quick brown fox jumps over a lazy dog and then calls some friends near old town".split()
+
+    def around(setting):
+        out = [rng.choice(words) for _ in range(50)]
+        out[rng.randrange(50)] = setting
+        return " ".join(out)
+
+    def draw(alphabet, n):
+        return "".join(rng.choices(alphabet, k=n))
+
+    texts = [around(f'token = "{draw("0123456789abcdef", 40)}"') for _ in range(150)] + [around("fox") for _ in range(300)]
+    field = secret_scan.train(texts)
+    base64 = string.ascii_letters + string.digits + "+/"
+    base32 = string.ascii_uppercase + "234567"
+    hit = 0
+    for i in range(100):
+        secret = draw(*((base64, 32), (base32, 32), (base64, 24), (base32, 40))[i % 4])
+        text = around(f'{rng.choice(["credential", "pwd", "signing"])} = "{secret}"')
+        assert not secret_scan.base_spans(text)
+        hit += text.index(secret) in [begin for _, begin in secret_scan.found_spans(text, field)]
+    assert hit >= 95
+    harmless = [rng.choice(words) for _ in range(50)] + [f"v1.{i}.0" for i in range(20)] + [f"2024-01-{i}" for i in range(10, 30)]
+    flagged = [secret_scan.found_spans(around(f'mode = "{value}"'), field) for value in harmless]
+    assert not any(flagged)
+
+
+def test_variants_hold_their_secrets():
+    text = "a password: 'abcdef12' and token=0123456789 b"
+    made = secret_scan.variants(text)
+    assert len(made) == 4 and made == secret_scan.variants(text)
+    for (varied, secrets), (plain, none) in zip(made[::2], made[1::2]):
+        ((begin, end),) = secrets
+        low, high = secret_scan.LENGTHS
+        assert low <= end - begin <= high and varied[begin:end].isascii() and not none and plain != varied
+    assert secret_scan.variants("AKIA" + "A" * 16) == secret_scan.variants("") == []
+
+
 def test_the_field_learns_from_all_tokens(monkeypatch):
     """Short texts and the ends of texts too; what a window is filled up with counts for nothing."""
     rng = random.Random(9)
