@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorthread.operators.log import EventLog
@@ -71,20 +71,45 @@ def events_over_time(log: EventLog, unit: str = "day") -> DataFrame:
     )
 
 
+def _numbered(log: EventLog) -> DataFrame:
+    """One row per relation whose event has a time: `place`, `time`, `event`, `activity`, where `event` is a number that
+    orders events as their ids do and is shorter than these.
+
+    Events and relations are dealt out by ranges of ids together, so that both meet in order within a partition. Numbers
+    are of one run of the plan: what reads them twice must write them first.
+    """
+    events = log.event_times().select(
+        F.col("ocel_id").alias("id"),
+        F.col("ocel_time").alias("time"),
+        F.col("ocel_type").alias("activity"),
+        F.lit(False).alias("_related"),
+    )
+    relations = log["event_object"].select(
+        F.col("ocel_event_id").alias("id"), F.col("ocel_object_id").alias("place"), F.lit(True).alias("_related")
+    )
+    order = ["id", "_related"]
+    together = events.unionByName(relations, allowMissingColumns=True).where(F.col("id").isNotNull())
+    dealt = together.repartitionByRange("id").sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    event = Window.partitionBy("id").orderBy(*order)
+    upto = event.rowsBetween(Window.unboundedPreceding, 0)
+    # The rows of an event come before those of its relations.
+    known = dealt.select(
+        "place",
+        "_related",
+        F.first("_row").over(upto).alias("event"),
+        F.collect_list(F.when(~F.col("_related"), F.struct("time", "activity"))).over(upto).alias("_events"),
+    )
+    return known.where("_related").select("place", "event", F.inline("_events"))
+
+
 def _steps(log: EventLog) -> DataFrame:
-    """One row per relation: object_type, object, time, event, activity. A relation that stands twice in the log
-    (under two qualifiers) gives equal rows."""
+    """One row per relation: object_type, object, time, event (its number), activity. A relation that stands twice in the
+    log (under two qualifiers) gives equal rows."""
     objects = log["object"].select(F.col("ocel_id").alias("place"), F.col("ocel_type").alias("object_type"))
     return (
-        log.related_events()
+        _numbered(log)
         .join(objects, "place")
-        .select(
-            "object_type",
-            F.col("place").alias("object"),
-            F.col("event_time").alias("time"),
-            F.col("ocel_event_id").alias("event"),
-            F.col("ocel_type").alias("activity"),
-        )
+        .select("object_type", F.col("place").alias("object"), "time", "event", "activity")
     )
 
 
@@ -94,18 +119,22 @@ def directly_follows(log: EventLog, hot_rows: int = HOT_ROWS) -> DataFrame:
     # An object has no more steps than relations, so hot objects show without the joins.
     relations = log["event_object"].select(F.col("ocel_object_id").alias("object"))
     hot = hot_keys(relations, ["object"], hot_rows)
-    steps = with_successor(_steps(log), ["object"], ["time", "event"], ["event", "activity"], hot).where(
+    steps = _steps(log)
+    if hot is not None:
+        # Hot objects and others are read apart.
+        steps = written(steps, "steps")
+    steps = with_successor(steps, ["object"], ["time", "event"], ["event", "activity"], hot).where(
         # Equal rows are neighbours; a step from an event to itself is none.
         F.col("next_event") != F.col("event")
     )
     edge = ["object_type", "activity", "next_activity"]
-    # Read by two counts, which each group the steps once: rows that differ in object, and in the pair of events.
-    steps = written(steps.select(*edge, "object", "event", "next_event"), "steps")
-    by_object = steps.groupBy(*edge, "object").agg(F.count(F.lit(1)).alias("n"))
-    objects = by_object.groupBy(*edge).agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("objects"))
-    pairs = steps.select(*edge, "event", "next_event").distinct().groupBy(*edge).agg(F.count(F.lit(1)).alias("event_pairs"))
-    same = [objects[c].eqNullSafe(pairs[c]) for c in edge]
-    return objects.join(pairs, same).select(*[objects[c] for c in edge], "occurrences", "objects", "event_pairs")
+    # One step of each edge stands for the object, so that all three counts come from one grouping by pairs of events.
+    own = Window.partitionBy("object", *edge).orderBy("event")
+    marked = steps.withColumn("_first", (F.row_number().over(own) == 1).cast("long"))
+    pairs = marked.groupBy(*edge, "event", "next_event").agg(F.count(F.lit(1)).alias("n"), F.sum("_first").alias("firsts"))
+    return pairs.groupBy(*edge).agg(
+        F.sum("n").alias("occurrences"), F.sum("firsts").alias("objects"), F.count(F.lit(1)).alias("event_pairs")
+    )
 
 
 def start_and_end_activities(log: EventLog) -> DataFrame:
