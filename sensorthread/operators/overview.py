@@ -139,15 +139,8 @@ def directly_follows(log: EventLog, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def start_and_end_activities(log: EventLog) -> DataFrame:
     """Per object type and activity, the number of objects whose life starts and ends with it."""
-    life = ["object_type", "object"]
-    # Read twice, as least and greatest times first, and then for the steps of these times; the joins run once.
-    steps = written(_steps(log), "steps")
-    # Least and greatest time first, which groups by hash; then events and activities are settled among the few steps of
-    # these times.
-    span = steps.groupBy(*life).agg(F.min("time").alias("born"), F.max("time").alias("gone"))
-    edges = steps.join(span, life).where((F.col("time") == F.col("born")) | (F.col("time") == F.col("gone")))
     moment = F.struct("time", "event", "activity")
-    ends = edges.groupBy(*life).agg(F.min(moment).alias("first"), F.max(moment).alias("last"))
+    ends = _steps(log).groupBy("object_type", "object").agg(F.min(moment).alias("first"), F.max(moment).alias("last"))
     sides = F.array(
         F.struct(F.col("first.activity").alias("activity"), F.lit(1).alias("s"), F.lit(0).alias("e")),
         F.struct(F.col("last.activity").alias("activity"), F.lit(0).alias("s"), F.lit(1).alias("e")),
