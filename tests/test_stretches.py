@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sensorthread.functions.clock import MINUTE
 from sensorthread.operators import lookback as lookback_module
 from sensorthread.operators import scenarios
-from sensorthread.operators.lookback import Measure, lookback_stretches, within_stretches
+from sensorthread.operators.lookback import Measure, join_spread, lookback_stretches, within_stretches
 
 from .test_scenarios import READINGS, at, make_log
 
@@ -61,3 +61,26 @@ def test_rounded_alike_by_place_and_by_time(spark):
     for mapped in (True, False):
         got = scenarios.aggregate_before_events(r, log, "go", "mean", 30, mapped, digits=3).collect()
         assert [x.property_value for x in got] == [1.333]
+
+
+@pytest.mark.parametrize("limit", [10, 100, 10**6])
+def test_join_is_spread_by_pairs(spark, limit):
+    """Keys with many rows on the left, on the right and on both, without a partner, and null."""
+    left = [(0, i) for i in range(90)] + [(1, i) for i in range(2)] + [(2, 7)] * 30 + [(3, 1), (None, 1)]
+    right = [(0, i) for i in range(3)] + [(1, i) for i in range(80)] + [(2, 5)] * 30 + [(4, 1), (None, 2)]
+    a, b = spark.createDataFrame(left, "k int, a int"), spark.createDataFrame(right, "k int, b int")
+    got = join_spread(a, b, ["k"], limit)
+    want = [(k, x, y) for k, x in left for kk, y in right if k is not None and k == kk]
+    assert sorted(map(tuple, got.select("k", "a", "b").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("lookback", [0, 30])
+def test_pairs_of_one_moment_are_made_by_many_tasks(spark, monkeypatch, lookback):
+    """Little goes in, a lot comes out: no task makes more than a small part of it, also where all share a slot."""
+    monkeypatch.setattr(lookback_module, "PAIRS_PER_TASK", 5_000)
+    r = spark.range(400).select(F.struct("id").alias("key"), F.lit(0).cast("long").alias("us"))
+    times = spark.range(500).select(F.col("id").alias("event"), F.lit(0).cast("long").alias("us"))
+    stretches = lookback_stretches(r, lookback, {"n": Measure(F.lit(1).cast("long"), F.sum)})
+    made = within_stretches(stretches, times, lookback).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(x["count"] for x in made) == 200_000
+    assert max(x["count"] for x in made) < 40_000
