@@ -162,6 +162,63 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.score_toxicity(empty(spark), labels).count() == 0
 
 
+def _toxic_beyond_the_sample(spark):
+    """Half of the toxic documents are longer than the sample takes and share a word that no other document has."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(1200):
+        toxic, long = i % 2, i % 4 > 1
+        words = [f"w{rng.randrange(300)}" for _ in range(1800 if long else 40)]
+        if toxic:
+            for _ in range(3):
+                words[rng.randrange(len(words))] = "grolm" if long else "vexa"
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    return documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+
+
+def test_toxicity_is_learned_from_all_labelled_documents(spark):
+    docs, labels = _toxic_beyond_the_sample(spark)
+    got = toxicity.score_toxicity(docs, labels, 100).join(labels, "doc_id").where("held_out").select("toxic", "predicted", "doc_id")
+    rows = [tuple(r) for r in got.collect()]
+    assert balanced([(y, p) for y, p, i in rows if i % 4 > 1]) > 0.9
+    assert balanced([(y, p) for y, p, i in rows if i % 4 < 2]) > 0.9
+
+
+def test_toxicity_learns_alike_whatever_the_layout(spark):
+    docs, labels = _toxic_beyond_the_sample(spark)
+    one = toxicity.learn_from_all(docs, labels, 30, 300_000)
+    other = toxicity.learn_from_all(docs.repartition(5, "text"), labels.repartition(3), 30, 300_000)
+    assert all((a == b).all() for a, b in zip(one.arrays(), other.arrays())) and one.middle == other.middle
+
+
+def test_one_task_learns_as_without_tasks(spark):
+    texts, y = ["vexa one two", "three four", "", "vexa vexa", "one three five"] * 4, [1, 0, 0, 1, 0] * 4
+    start = toxicity._trained(texts[:5], y[:5], 1)
+    rows = spark.createDataFrame(list(zip(texts, y)), "text string, toxic int").coalesce(1)
+    got = toxicity._round(rows, start, {0: 1.0, 1: 2.0})
+    assert not all((a == b).all() for a, b in zip(got.model.arrays(), start.model.arrays()))
+    for text, label in zip(texts, y):
+        start.step(*toxicity.word_ids(text)[:2], float(label), 1.0 + label)
+    for a, b in zip(got.model.arrays() + got.seen, start.model.arrays() + start.seen):
+        assert np.allclose(a, b, atol=1e-5)
+
+
+def test_thresholds_by_counts():
+    rng = random.Random(8)
+    for n in (2, 5, 60):
+        rows = [(rng.randrange(-6, 7) / 2, rng.randrange(4), rng.randrange(4)) for _ in range(n)] + [(1.0, 1, 0), (-1.0, 0, 1)]
+        values, toxic, clean = (np.array(c) for c in zip(*rows))
+
+        def errors(t):
+            return toxic[values < t].sum() / toxic.sum() + clean[values >= t].sum() / clean.sum()
+
+        ordered = np.unique(values)
+        best = min([0.0, *((ordered[1:] + ordered[:-1]) / 2)], key=lambda t: (round(errors(t), 9), abs(t)))
+        found = toxicity._middle(values, toxic, clean)
+        assert errors(found) == pytest.approx(errors(best)) and abs(found) == abs(best)
+
+
 def test_quality_of_rows_that_were_not_learned_from(corpus):
     docs, labels = corpus
     known = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
