@@ -84,3 +84,27 @@ def test_pairs_of_one_moment_are_made_by_many_tasks(spark, monkeypatch, lookback
     made = within_stretches(stretches, times, lookback).groupBy(F.spark_partition_id()).count().collect()
     assert sum(x["count"] for x in made) == 200_000
     assert max(x["count"] for x in made) < 40_000
+
+
+@pytest.mark.parametrize("limit", [10, 200, 10**6])
+def test_crowded_keys_are_cut_into_a_grid(spark, limit):
+    """Keys with more rows than may be met at once on the right, on the left and on both, without a partner, and null."""
+    left = [(0, 0), (4, 1), (None, 1)] + [(1, i) for i in range(90)] + [(2, i) for i in range(40)]
+    right = [(0, i) for i in range(90)] + [(1, 0), (5, 1), (None, 2)] + [(2, i) for i in range(50)]
+    a, b = spark.createDataFrame(left, "k int, a int"), spark.createDataFrame(right, "k int, b int")
+    got = join_spread(a, b, ["k"], limit, 7)
+    assert got.columns == ["k", "a", "b"]
+    want = [(k, x, y) for k, x in left for kk, y in right if k is not None and k == kk]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("lookback", [0, 30])
+def test_one_reading_meets_few_events_at_once(spark, monkeypatch, lookback):
+    """A join holds the pairs of a row in memory together, so one reading and many events of a moment are dealt out too."""
+    monkeypatch.setattr(lookback_module, "MET_AT_ONCE", 100, raising=False)
+    r = spark.range(1).select(F.struct("id").alias("key"), F.col("id").alias("us"))
+    times = spark.range(4_000).select(F.col("id").alias("event"), (F.col("id") * 0).alias("us"))
+    stretches = lookback_stretches(r, lookback, {"n": Measure(F.lit(1).cast("long"), F.sum)})
+    made = within_stretches(stretches, times, lookback).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(x["count"] for x in made) == 4_000
+    assert max(x["count"] for x in made) < 4_000
