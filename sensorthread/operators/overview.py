@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorthread.operators.log import EventLog
-from sensorthread.operators.ordered import HOT_ROWS, hot_keys, with_successor
+from sensorthread.operators.ordered import HOT_ROWS, crowding, hot_keys, pieces, with_successor
 from sensorthread.session import written
 
 
@@ -71,9 +71,14 @@ def events_over_time(log: EventLog, unit: str = "day") -> DataFrame:
     )
 
 
-def _numbered(log: EventLog) -> DataFrame:
-    """One row per relation whose event has a time: `place`, `time`, `event`, `activity`, where `event` is a number that
-    orders events as their ids do and is shorter than these.
+# Bits by which an event knows its objects, each object one of them.
+BITS = 32
+
+
+def _numbered(log: EventLog, parts: int | None = None) -> DataFrame:
+    """One row per relation whose event has a time: `place`, `time`, `event`, `activity`, `others`, where `event` is a number
+    that orders events as their ids do and is shorter than these, and `others` has the bits of the other places of the
+    event. All bits are set where an id stands for several events.
 
     Events and relations are dealt out by ranges of ids together, so that both meet in order within a partition. Numbers
     are of one run of the plan: what reads them twice must write them first.
@@ -82,34 +87,44 @@ def _numbered(log: EventLog) -> DataFrame:
         F.col("ocel_id").alias("id"),
         F.col("ocel_time").alias("time"),
         F.col("ocel_type").alias("activity"),
-        F.lit(False).alias("_related"),
-    )
-    relations = log["event_object"].select(
-        F.col("ocel_event_id").alias("id"), F.col("ocel_object_id").alias("place"), F.lit(True).alias("_related")
     )
-    order = ["id", "_related"]
+    # Relations of an event that lie together stay together on the way, which packs well.
+    relations = log["event_object"].select(F.col("ocel_event_id").alias("id"), F.col("ocel_object_id").alias("place"))
     together = events.unionByName(relations, allowMissingColumns=True).where(F.col("id").isNotNull())
-    dealt = together.repartitionByRange("id").sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
-    event = Window.partitionBy("id").orderBy(*order)
-    upto = event.rowsBetween(Window.unboundedPreceding, 0)
-    # The rows of an event come before those of its relations.
+    bit = F.when(F.col("activity").isNull(), F.expr(f"shiftleft(1, CAST(pmod(xxhash64(place), {BITS}) AS INT))"))
+    dealt = (
+        together.repartitionByRange(*_number(parts), "id")
+        .withColumn("_bit", bit)
+        .sortWithinPartitions("id", "_bit")
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    event, alike = Window.partitionBy("id"), Window.partitionBy("id", "_bit")
     known = dealt.select(
         "place",
-        "_related",
-        F.first("_row").over(upto).alias("event"),
-        F.collect_list(F.when(~F.col("_related"), F.struct("time", "activity"))).over(upto).alias("_events"),
+        "_bit",
+        F.min("_row").over(event).alias("event"),
+        F.collect_list(F.when(F.col("_bit").isNull(), F.struct("time", "activity"))).over(event).alias("_events"),
+        F.bit_or("_bit").over(event).alias("_all"),
+        (F.min("place").over(alike) != F.max("place").over(alike)).alias("_shared"),
     )
-    return known.where("_related").select("place", "event", F.inline("_events"))
+    apart = F.col("_all").bitwiseAND(F.bitwise_not("_bit"))
+    others = F.when(F.size("_events") > 1, F.lit(-1)).when(F.col("_shared"), F.col("_all")).otherwise(apart)
+    return known.where(F.col("_bit").isNotNull()).select("place", "event", others.alias("others"), F.inline("_events"))
+
+
+def _number(parts: int | None) -> list[int]:
+    return [] if parts is None else [parts]
 
 
-def _steps(log: EventLog) -> DataFrame:
-    """One row per relation: object_type, object, time, event (its number), activity. A relation that stands twice in the
-    log (under two qualifiers) gives equal rows."""
+def _steps(log: EventLog, parts: int | None = None) -> DataFrame:
+    """One row per relation: object_type, object, time, event (its number), activity, others. A relation that stands twice in
+    the log (under two qualifiers) gives equal rows. `parts` is the number of partitions, if the session's will not do."""
     objects = log["object"].select(F.col("ocel_id").alias("place"), F.col("ocel_type").alias("object_type"))
+    numbered = _numbered(log, parts)
     return (
-        _numbered(log)
+        (numbered if parts is None else numbered.repartition(parts, "place"))
         .join(objects, "place")
-        .select("object_type", F.col("place").alias("object"), "time", "event", "activity")
+        .select("object_type", F.col("place").alias("object"), "time", "event", "activity", "others")
     )
 
 
@@ -118,12 +133,15 @@ def directly_follows(log: EventLog, hot_rows: int = HOT_ROWS) -> DataFrame:
     objects, and pairs of events. Events of an object are ordered by time, then by id."""
     # An object has no more steps than relations, so hot objects show without the joins.
     relations = log["event_object"].select(F.col("ocel_object_id").alias("object"))
-    hot = hot_keys(relations, ["object"], hot_rows)
-    steps = _steps(log)
-    if hot is not None:
+    rows, most = crowding(relations, ["object"])
+    hot = hot_keys(relations, ["object"], hot_rows) if most > hot_rows else None
+    if hot is None:
+        steps = _steps(log, pieces(relations.sparkSession, rows))
+    else:
         # Hot objects and others are read apart.
-        steps = written(steps, "steps")
-    steps = with_successor(steps, ["object"], ["time", "event"], ["event", "activity"], hot).where(
+        steps = written(_steps(log), "steps")
+    carried = ["event", "activity", "others"]
+    steps = with_successor(steps, ["object"], ["time", "event"], carried, hot).where(
         # Equal rows are neighbours; a step from an event to itself is none.
         F.col("next_event") != F.col("event")
     )
@@ -131,9 +149,14 @@ def directly_follows(log: EventLog, hot_rows: int = HOT_ROWS) -> DataFrame:
     # One step of each edge stands for the object, so that all three counts come from one grouping by pairs of events.
     own = Window.partitionBy("object", *edge).orderBy("event")
     marked = steps.withColumn("_first", (F.row_number().over(own) == 1).cast("long"))
-    pairs = marked.groupBy(*edge, "event", "next_event").agg(F.count(F.lit(1)).alias("n"), F.sum("_first").alias("firsts"))
+    # A pair of events can be met again at another object only if both events have it, and then their bits meet. All other
+    # pairs are counted where they are, as the pair of nulls.
+    again = F.col("others").bitwiseAND(F.col("next_others")) != 0
+    met = [F.when(again, F.col(c)).alias(c) for c in ("event", "next_event")]
+    pairs = marked.groupBy(*edge, *met).agg(F.count(F.lit(1)).alias("n"), F.sum("_first").alias("firsts"))
+    distinct = F.when(F.col("event").isNull(), F.col("n")).otherwise(1)
     return pairs.groupBy(*edge).agg(
-        F.sum("n").alias("occurrences"), F.sum("firsts").alias("objects"), F.count(F.lit(1)).alias("event_pairs")
+        F.sum("n").alias("occurrences"), F.sum("firsts").alias("objects"), F.sum(distinct).alias("event_pairs")
     )
 
 
