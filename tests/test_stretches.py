@@ -42,6 +42,44 @@ def test_stretches_against_brute_force(spark, lookback, unit, hot_rows):
     assert sorted(map(tuple, met.collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("lookback, unit", [(1, 1), (7, 20_000_000), (60, 1000)])
+@pytest.mark.parametrize("kept, crowd, hot_rows", [(10**6, 0, 10**9), (10**6, 10**9, 10**9), (0, 0, 10**9), (0, 0, 20)])
+def test_stretches_by_key_and_by_span_agree(spark, monkeypatch, lookback, unit, kept, crowd, hot_rows):
+    """Keys that fit into a task and others, narrow slots and wide ones; times on the ends of windows, null times and values."""
+    monkeypatch.setattr(lookback_module, "READINGS_OF_KEY", kept, raising=False)
+    monkeypatch.setattr(lookback_module, "MANY_MET", crowd, raising=False)
+    rng = random.Random(lookback)
+    reach = lookback * MINUTE
+    horizon = max(3 * reach // unit, 50)
+    readings = [(rng.choice(["a", "b", None]), rng.randrange(-horizon, horizon) * unit, rng.choice([None, 1.0, 2.5])) for _ in range(150)]
+    times = [rng.randrange(-horizon, horizon) * unit for _ in range(40)]
+    times += [us + d for _, us, _ in readings[:20] for d in (-1, 0, 1, reach, reach + 1)]
+    r = spark.createDataFrame([*readings, ("a", None, 1.0)], "k string, us long, v double").withColumn("key", F.struct("k"))
+    e = spark.createDataFrame([*enumerate(times), (-1, None)], "event long, us long")
+    stretches = lookback_stretches(r, lookback, {"total": Measure(F.col("v"), F.sum), "high": Measure(F.col("v"), F.max)}, hot_rows)
+    met = within_stretches(stretches, e, lookback).select("event", "key.k", "total", "high")
+    want = []
+    for event, us in enumerate(times):
+        for k in ("a", "b", None):
+            seen = [x for kk, t, x in readings if kk == k and us - reach <= t <= us]
+            vs = [x for x in seen if x is not None]
+            if seen:
+                want.append((event, k, sum(vs) if vs else None, max(vs, default=None)))
+    assert sorted(map(tuple, met.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_ordinary_keys_are_dealt_out_once(spark, monkeypatch):
+    """No count key by key, and nothing written, before the stretches are: all work on a key happens where it is."""
+    kept = []
+    plain = lookback_module.written
+    monkeypatch.setattr(lookback_module, "written", lambda df, label: kept.append(label) or plain(df, label))
+    r = spark.range(500).select(F.struct("id").alias("key"), (F.col("id") * 1000).alias("us"))
+    stretches = lookback_stretches(r, 5, {"n": Measure(F.lit(1).cast("long"), F.sum)})
+    plan = stretches._jdf.queryExecution().executedPlan().toString()
+    assert not kept and plan.count("Exchange hashpartitioning") == 1
+    assert stretches.count() == 500
+
+
 @pytest.mark.parametrize("func", ["mean", "min", "count"])
 def test_intermediates_grow_with_readings_not_with_pairs(spark, monkeypatch, func):
     """40 keys and 500 events of one hour: 20,000 rows come out, but what is kept on the way is a few rows a reading."""
