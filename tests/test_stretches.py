@@ -80,6 +80,18 @@ def test_ordinary_keys_are_dealt_out_once(spark, monkeypatch):
     assert stretches.count() == 500
 
 
+def test_least_values_keep_their_stretches_alone(spark, monkeypatch):
+    """Sensors without a place: what is written is the stretches and the counts of the last join."""
+    kept = []
+    plain = lookback_module.written
+    monkeypatch.setattr(lookback_module, "written", lambda df, label: kept.append(label) or plain(df, label))
+    log = make_log(spark, [("e0", "go", 10), ("e1", "go", 40), ("e2", "go", 41)], [("e0", "p")])
+    r = spark.createDataFrame([("d", "t", None, "x", v, at(m)) for v, m in ((3.0, 5), (2.0, 10), (None, 11), (4.0, 38))], READINGS)
+    got = scenarios.aggregate_before_events(r, log, "go", "min", 30, False).select("ocel_event_id", "property_value")
+    assert sorted(map(tuple, got.collect())) == [("e0", 2.0), ("e1", 2.0), ("e2", 4.0)]
+    assert kept == ["stretches", "pairs"]
+
+
 @pytest.mark.parametrize("func", ["mean", "min", "count"])
 def test_intermediates_grow_with_readings_not_with_pairs(spark, monkeypatch, func):
     """40 keys and 500 events of one hour: 20,000 rows come out, but what is kept on the way is a few rows a reading."""
